@@ -105,21 +105,44 @@ def prefix_sums(rows: DataFrame, keys: list[str], pos: str, measures: list[str],
             .filter(~F.col("_carry")).drop("_carry", "_slice"))
 
 
-def row_ranks(rows: DataFrame, keys: list[str], pos: str, tie: str, out: str,
-              slice_us: int) -> DataFrame:
-    """Row number of each row in (pos, tie) order within its key, sliced."""
+def row_running(rows: DataFrame, keys: list[str], pos: str, tie: str,
+                measures: dict[str, tuple[str, Column]], slice_us: int | None = None,
+                last: int = 0) -> DataFrame:
+    """Running aggregates in the total order (pos, tie) within the keys.
+
+    ``measures`` maps an output to ("sum" | "min", value). ``last=-1`` leaves the
+    row itself out. Sliced, every slice starts from the aggregates of the earlier
+    slices, as in :func:`prefix_sums`.
+    """
+    fold = {"sum": F.sum, "min": F.min}
+    rows = rows.withColumns({f"_m_{o}": v.cast("long") for o, (_, v) in measures.items()})
+    values = [f"_m_{o}" for o in measures]
+
+    def running(parts):
+        w = (Window.partitionBy(*parts).orderBy(F.col(pos), F.col(tie).asc_nulls_first())
+             .rowsBetween(Window.unboundedPreceding, last))
+        return {o: fold[kind](f"_m_{o}").over(w) for o, (kind, _) in measures.items()}
+
+    if slice_us is None:
+        return rows.withColumns(running(keys)).drop(*values)
     sliced = rows.withColumn("_slice", F.floor(F.col(pos) / slice_us))
-    totals = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    totals = sliced.groupBy(*keys, "_slice").agg(
+        *[fold[kind](f"_m_{o}").alias(f"_m_{o}") for o, (kind, _) in measures.items()])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, "_slice", (F.col("_slice") * slice_us - 1).alias(pos),
-                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_one"),
+                          *[fold[kind](f"_m_{o}").over(before).alias(f"_m_{o}")
+                            for o, (kind, _) in measures.items()],
                           F.lit(True).alias("_carry"))
-    w = (Window.partitionBy(*keys, "_slice").orderBy(F.col(pos), F.col(tie).asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return (sliced.withColumns({"_one": F.lit(1).cast("long"), "_carry": F.lit(False)})
+    return (sliced.withColumn("_carry", F.lit(False))
             .unionByName(carry, allowMissingColumns=True)
-            .withColumn(out, F.sum("_one").over(w))
-            .filter(~F.col("_carry")).drop("_carry", "_slice", "_one"))
+            .withColumns(running([*keys, "_slice"]))
+            .filter(~F.col("_carry")).drop("_carry", "_slice", *values))
+
+
+def row_ranks(rows: DataFrame, keys: list[str], pos: str, tie: str, out: str,
+              slice_us: int | None = None) -> DataFrame:
+    """Row number of each row in (pos, tie) order within its keys."""
+    return row_running(rows, keys, pos, tie, {out: ("sum", F.lit(1))}, slice_us)
 
 
 def next_time(rows: DataFrame, keys: list[str], pos: str, tie: str, out: str,
