@@ -10,10 +10,12 @@ from riskengine.fixtures import table, txn_events, txn_orders
 from riskengine.functions.identity import (device_hash, payee_address, payer_address, payer_hash,
                                            payer_of_address)
 from riskengine.functions.timing import epoch_seconds, micros
+from riskengine.models import anomaly, preparation, supervised
 from riskengine.operators import (alerts, compare, contracts, detect, features, heat, history,
                                   metrics, quality, ranking, split)
+from riskengine.plans import scoring, training
 from riskengine.schema import FEATURES
-from riskengine.session import use_utc
+from riskengine.session import materialise, use_utc
 from riskengine.sources import etl, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -647,3 +649,121 @@ def id_overlap(spark, d):
     df = txn_events(spark, d)
     i = F.col("transaction_id").cast("long")
     return split.id_overlap(df.filter(i % 2 == 0), df.filter(i % 3 == 0))
+
+
+# -- models --------------------------------------------------------------------
+
+def _model_table(spark, d):
+    return scoring.model_table(txn_events(spark, d).drop("fraud_probability", "payer_vpa"))
+
+
+@query
+def scaled_features(spark, d):
+    df = txn_events(spark, d).select("transaction_id", "amount", "fraud_probability")
+    return rounded(preparation.scale(df, preparation.fit_scaler(df, ["amount", "fraud_probability"])))
+
+
+@query
+def aligned_matrix(spark, d):
+    df = txn_events(spark, d)
+    i = F.col("transaction_id").cast("long")
+    df = df.select("transaction_id", F.when(i % 7 != 0, F.col("amount")).alias("amount"),
+                   F.when(i % 5 == 0, F.lit("x")).otherwise(F.col("amount").cast("string")).alias("V1"),
+                   F.when(i % 11 == 0, F.lit(float("inf"))).otherwise(F.lit(1.5)).alias("V2"))
+    return rounded(preparation.align_features(df, ["V2", "amount", "V1", "V9"], 0.0))
+
+
+@query
+def class_weight(spark, d):
+    return rounded(preparation.class_weight(txn_events(spark, d)))
+
+
+@query
+def label_encode(spark, d):
+    """Codes of the categories, with NULL as a category."""
+    df = txn_events(spark, d)
+    i = F.col("transaction_id").cast("long")
+    df = df.withColumn("device_id", F.when(i % 13 != 0, F.col("device_id")))
+    return preparation.category_codes(df, ["payee_vpa", "device_id"])
+
+
+@query
+def encoded_rows(spark, d):
+    """Encoder fitted on half of the rows; unseen values take the code of missing."""
+    df = txn_events(spark, d)
+    i = F.col("transaction_id").cast("long")
+    df = df.withColumn("payer_id", F.when(i % 13 != 0, F.col("payer_id")))
+    enc = preparation.fit_encoder(df.filter(i % 40 == 0), ["payer_id", "payee_vpa"])
+    return enc.transform(df).select("transaction_id", F.col("payer_id").cast("long").alias("payer_code"),
+                                    F.col("payee_vpa").cast("long").alias("payee_code"))
+
+
+@query
+def anomaly_scores(spark, d):
+    f = materialise(features.build_features(txn_events(spark, d)), "features")
+    return anomaly.train_forest(f).score(f).select("transaction_id", r4("anomaly_score"))
+
+
+@query
+def anomaly_top_precision(spark, d):
+    """Frauds among the one percent most anomalous rows."""
+    df = txn_events(spark, d)
+    f = materialise(features.build_features(df), "features")
+    scored = anomaly.train_forest(f).score(f).join(
+        df.select("transaction_id", "is_fraud"), "transaction_id")
+    scored = materialise(scored.select("transaction_id", "event_timestamp", "is_fraud", "anomaly_score"), "anomaly")
+    cut = alerts.budget_threshold(scored, 0.01, "anomaly_score")
+    return rounded(scored.crossJoin(F.broadcast(cut)).filter("anomaly_score >= threshold").agg(
+        F.count(F.lit(1)).alias("n_flagged"), F.avg("is_fraud").alias("precision")))
+
+
+@query
+def anomaly_importance(spark, d):
+    f = materialise(features.build_features(txn_events(spark, d)), "features")
+    return rounded(anomaly.permutation_importance(anomaly.train_forest(f), f))
+
+
+GBT = {"maxIter": 10, "maxDepth": 4}
+
+
+def _trained(spark, d, **kw):
+    table_ = materialise(_model_table(spark, d), "model-table")
+    return training.run_training(table_, test_days=7, **{**GBT, **kw})
+
+
+@query
+def gbt_scores(spark, d):
+    return _trained(spark, d, two_stage=False).test_scores.select("transaction_id", r4("fraud_probability"))
+
+
+@query
+def two_stage_report(spark, d):
+    return rounded(_trained(spark, d).report)
+
+
+@query
+def feature_importance(spark, d):
+    return rounded(_trained(spark, d).model.importance())
+
+
+@query
+def stage_comparison(spark, d):
+    table_ = materialise(_model_table(spark, d), "model-table")
+    return rounded(training.compare_stages(table_, test_days=7, **GBT))
+
+
+@query
+def batch_score(spark, d):
+    """Scores of the unlabelled rows, with features over the whole history."""
+    df = txn_events(spark, d).drop("fraud_probability", "payer_vpa")
+    late = F.col("event_timestamp") >= F.lit("2024-01-25").cast("timestamp")
+    df = df.withColumn("is_fraud", F.when(~late, F.col("is_fraud")))
+    table_ = materialise(scoring.model_table(df), "model-table")
+    model = supervised.train_supervised(table_, **GBT)
+    return scoring.score_unlabelled(df, model).select("transaction_id", r4("fraud_probability"))
+
+
+@query
+def backtest_range(spark, d):
+    out = scoring.run_backtest(txn_events(spark, d), "2024-01-08", "2024-01-14", BUDGET)
+    return rounded(out["daily"])

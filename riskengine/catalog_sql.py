@@ -490,4 +490,25 @@ SQL: dict[str, str] = {
       'INR' AS currency, payer_txn_count_24h, device_txn_count_24h, is_fraud FROM feat JOIN txn USING (transaction_id)""",
     "distinct_devices": f"WITH {TXN} SELECT DISTINCT payer_id, device_id FROM txn",
     "id_overlap": f"WITH {TXN} SELECT transaction_id FROM txn WHERE event_id % 2 = 0 AND event_id % 3 = 0",
+    "scaled_features": f"""WITH {TXN} SELECT transaction_id,
+      round((amount - avg(amount) OVER ()) / stddev_pop(amount) OVER (), 4) AS amount,
+      round((score - avg(score) OVER ()) / stddev_pop(score) OVER (), 4) AS fraud_probability FROM txn""",
+    "aligned_matrix": f"""WITH {TXN} SELECT transaction_id, CASE WHEN event_id % 11 = 0 THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END AS "V2",
+      CASE WHEN event_id % 7 <> 0 THEN round(amount, 4) ELSE 0.0::DOUBLE END AS amount,
+      CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE ELSE round(amount, 4) END AS "V1", 0.0::DOUBLE AS "V9" FROM txn""",
+    "class_weight": f"""WITH {TXN} SELECT count(*) FILTER (is_fraud = 0) AS n_legit, count(*) FILTER (is_fraud = 1) AS n_fraud,
+      round(count(*) FILTER (is_fraud = 0)::DOUBLE / count(*) FILTER (is_fraud = 1), 4) AS weight FROM txn""",
+    "label_encode": f"""WITH {TXN}, v AS (SELECT DISTINCT 'payee_vpa' AS "column", payee_vpa AS value FROM txn UNION ALL
+      SELECT DISTINCT 'device_id', CASE WHEN event_id % 13 <> 0 THEN device_id ELSE '__MISSING__' END FROM txn)
+      SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS code FROM v""",
+    "encoded_rows": f"""WITH {TXN}, t AS (SELECT transaction_id, event_id, payee_vpa,
+      CASE WHEN event_id % 13 <> 0 THEN payer_id ELSE '__MISSING__' END AS payer FROM txn),
+      a AS (SELECT payer, dense_rank() OVER (ORDER BY payer) - 1 AS code FROM (SELECT DISTINCT payer FROM t WHERE event_id % 40 = 0)),
+      b AS (SELECT payee_vpa, dense_rank() OVER (ORDER BY payee_vpa) - 1 AS code
+        FROM (SELECT DISTINCT payee_vpa FROM t WHERE event_id % 40 = 0))
+      SELECT transaction_id, coalesce(a.code, (SELECT code FROM a WHERE payer = '__MISSING__'), 0) AS payer_code,
+      coalesce(b.code, 0) AS payee_code FROM t LEFT JOIN a USING (payer) LEFT JOIN b USING (payee_vpa)""",
+    "backtest_range": f"""WITH {_daily(0.01)} SELECT event_date, num_transactions, num_alerts, tp, fp, fn, tn, total_fraud,
+      total_legit, {_round('alert_rate precision recall false_alert_rate')} FROM daily
+      WHERE event_date BETWEEN '2024-01-08' AND '2024-01-14'""",
 }
