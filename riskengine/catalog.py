@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,8 +16,10 @@ from riskengine.operators import (alerts, compare, contracts, detect, features,
                                   metrics, quality, ranking, split)
 from riskengine.plans import scoring, training
 from riskengine.schema import FEATURES
-from riskengine.session import materialise, use_utc
+from riskengine.session import materialise, shared_dir, use_utc
 from riskengine.sources import etl, tables
+from riskengine.streaming import policy, source
+from riskengine.streaming.features import FeatureStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -767,3 +770,99 @@ def batch_score(spark, d):
 def backtest_range(spark, d):
     out = scoring.run_backtest(txn_events(spark, d), "2024-01-08", "2024-01-14", BUDGET)
     return rounded(out["daily"])
+
+
+# -- streams -------------------------------------------------------------------
+
+def _staged(df: DataFrame, name: str, parts: int = 3) -> tuple[str, str]:
+    """Lay the table out as ``parts`` time-ordered drops of a stream; (folder, source path)."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    r = df.agg(F.min("event_timestamp").cast("double"), F.max("event_timestamp").cast("double")).first()
+    width = (r[1] - r[0]) / parts
+    slot = F.least(F.lit(parts - 1), F.floor((F.col("event_timestamp").cast("double") - r[0]) / width))
+    for i in range(parts):
+        df.filter(slot == i).coalesce(1).write.mode("append").parquet(f"{root}/source")
+    return root, f"{root}/source"
+
+
+@query
+def stream_features_parity(spark, d):
+    """Features of the streamed events; the batch result is the yardstick."""
+    df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
+    root, src = _staged(df, "features")
+    stream = FeatureStream(spark, f"{root}/out", df.schema)
+    source.run_to_end(source.read_events(spark, src, df.schema, 1), f"{root}/checkpoint", stream)
+    return rounded(stream.read("features").drop("event_timestamp", "batch_id"))
+
+
+@query
+def stream_parity_differences(spark, d):
+    """Batch features against streamed features: no row is expected."""
+    df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
+    root, src = _staged(df, "parity")
+    stream = FeatureStream(spark, f"{root}/out", df.schema)
+    source.run_to_end(source.read_events(spark, src, df.schema, 1), f"{root}/checkpoint", stream)
+    return compare.compare_frames(features.build_features(df), stream.read("features").drop("batch_id"))
+
+
+@query
+def stream_alert_policy(spark, d):
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "payee_vpa", "fraud_probability")
+    root, src = _staged(df, "policy")
+    events = source.read_events(spark, src, df.schema, 1)
+    source.append_to(policy.alert_stream(events, "payee_vpa", BUDGET, window=300), f"{root}/checkpoint", f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select("transaction_id", "should_alert", "budget_exceeded", "daily_count")
+
+
+@query
+def stream_daily_metrics(spark, d):
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "fraud_probability",
+                                     (F.col("fraud_probability") > 0.2).alias("alert"))
+    root, src = _staged(df, "metrics")
+    out = f"{root}/out"
+    source.run_to_end(policy.daily_service_metrics(source.read_events(spark, src, df.schema, 1)),
+                      f"{root}/checkpoint", lambda b, i: b.write.mode("overwrite").parquet(out), "complete")
+    return rounded(spark.read.parquet(out))
+
+
+@query
+def stream_gate(spark, d):
+    df = _gated(spark, d).select("transaction_id", "event_timestamp", "amount", "currency",
+                                 "label_available_timestamp")
+    root, src = _staged(df, "gate")
+    events = source.read_events(spark, src, df.schema, 1)
+    source.run_to_end(events, f"{root}/checkpoint", source.gated(events, f"{root}/passed", f"{root}/stopped"))
+    return spark.read.parquet(f"{root}/stopped").select("transaction_id")
+
+
+@query
+def stream_deduplicated(spark, d):
+    """Every third event is sent twice."""
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "amount")
+    twice = df.unionByName(df.filter(F.col("transaction_id").cast("long") % 3 == 0))
+    root, src = _staged(twice, "dedup")
+    events = source.deduplicate(source.read_events(spark, src, df.schema, 1))
+    source.append_to(events, f"{root}/checkpoint", f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select("transaction_id", "amount")
+
+
+@query
+def stream_seek(spark, d):
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp")
+    root, src = _staged(df, "seek")
+    events = source.read_events(spark, src, df.schema, 1, start="2024-01-20")
+    source.append_to(events, f"{root}/checkpoint", f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select("transaction_id")
+
+
+@query
+def stream_scores(spark, d):
+    """Streamed rows scored by a model trained on the batch table."""
+    df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
+    table_ = materialise(scoring.model_table(df), "model-table")
+    model = supervised.train_supervised(table_, **GBT)
+    root, src = _staged(df, "scores")
+    stream = FeatureStream(spark, f"{root}/out", df.schema, model=model)
+    source.run_to_end(source.read_events(spark, src, df.schema, 1), f"{root}/checkpoint", stream)
+    return stream.read("scores").select("transaction_id", r4("fraud_probability"), "risk_tier")

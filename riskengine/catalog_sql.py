@@ -511,4 +511,15 @@ SQL: dict[str, str] = {
     "backtest_range": f"""WITH {_daily(0.01)} SELECT event_date, num_transactions, num_alerts, tp, fp, fn, tn, total_fraud,
       total_legit, {_round('alert_rate precision recall false_alert_rate')} FROM daily
       WHERE event_date BETWEEN '2024-01-08' AND '2024-01-14'""",
+    "stream_features_parity": f"WITH {_features(TXN)} SELECT * FROM feat",
+    "stream_parity_differences": """SELECT CAST(event_id AS VARCHAR) AS transaction_id, '' AS "column",
+      '' AS left_value, '' AS right_value FROM events WHERE event_id IS NULL""",
+    "stream_alert_policy": f"""WITH RECURSIVE {TXN}, {_ROLL}, {_sequential('thr')}
+      SELECT transaction_id, should_alert, budget_exceeded, daily_count FROM seq""",
+    "stream_daily_metrics": f"""WITH {TXN} SELECT event_date, count(*) AS total_requests,
+      count(*) FILTER (score > 0.2) AS total_alerts, round(avg(score), 4) AS avg_score FROM txn GROUP BY event_date""",
+    "stream_gate": f"""WITH {GATED} SELECT transaction_id FROM gated
+      WHERE NOT (amount > 0 AND currency = 'INR' AND (label_ts IS NULL OR label_ts > ts))""",
+    "stream_deduplicated": f"WITH {TXN} SELECT transaction_id, amount FROM txn",
+    "stream_seek": f"WITH {TXN} SELECT transaction_id FROM txn WHERE ts >= TIMESTAMP '2024-01-20'",
 }
