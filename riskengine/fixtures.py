@@ -45,3 +45,21 @@ def txn_orders(spark: SparkSession, sf_dir: str, payers: int = 50) -> DataFrame:
         (F.col("o_orderkey") % 11 == 0).cast("int").alias("is_fraud"),
         plus_hours(ts, (F.lit(6) + (F.col("o_orderkey") * 37) % 66)).alias("label_available_timestamp"),
         F.round(F.col("o_totalprice") / 600000, 6).alias("fraud_probability"))
+
+
+def txn_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as transactions, for runs at the size of the published baseline.
+
+    Their keys repeat, so the id is a hash of the whole row; not for row checks.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    ts = F.col("l_shipdate").cast("timestamp")
+    return li.select(
+        F.xxhash64(*li.columns).cast("string").alias("transaction_id"),
+        plus_hours(ts, F.col("l_orderkey") % 24).alias("event_timestamp"),
+        F.concat(F.lit("u"), F.col("l_partkey")).alias("payer_id"),
+        F.concat(F.lit("d"), F.col("l_suppkey")).alias("device_id"),
+        F.concat(F.lit("m"), F.col("l_suppkey") % 50).alias("payee_vpa"),
+        F.col("l_extendedprice").alias("amount"),
+        ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 29 == 0).cast("int").alias("is_fraud"),
+        plus_hours(ts, 48).alias("label_available_timestamp"))

@@ -97,8 +97,10 @@ class Encoder:
 def fit_encoder(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> Encoder:
     if not columns:
         return Encoder((), None)
-    sizes = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
-    large = [c for c in columns if sizes[c] > max_categories]
+    rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    near = [c for c in columns if rough[c] > max_categories * 0.5]  # count only these exactly
+    sizes = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first() if near else {}
+    large = [c for c in near if sizes[c] > max_categories]
     if large:
         raise ValueError(f"too many categories to encode: {large}")
     filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskengine.functions.timing import SECOND, event_date, micros
 from riskengine.operators.heat import (HOT_ROWS, KeyProfile, profile_keys, row_ranks, row_running)
-from riskengine.operators.ranking import BUCKETS, clean_score, kth_largest
+from riskengine.operators.ranking import clean_score, kth_largest
 from riskengine.session import materialise
 
 BUDGET = 0.005
@@ -33,7 +33,7 @@ def _dated(df: DataFrame, ts: str) -> DataFrame:
 
 def alert_cutoffs(scored: DataFrame, budgets: list[float], *, score: str = SCORE,
                   ts: str = "event_timestamp", id_col: str = "transaction_id",
-                  buckets: int = BUCKETS) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """For each day and budget, the last alerted row in (score desc, time, id) order.
 
     Gives (event_date, alert_budget, n, k, value, us, id). The k-th row is found

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 1024  # the driver holds this many edges; raise it for larger inputs
+BUCKETS = 1024                          # the driver holds this many edges
+BUCKETS_CONF = "spark.riskengine.buckets"  # raise it for larger inputs
 _LOW = float("-inf")
 
 
@@ -21,7 +22,8 @@ def clean_score(score: str) -> Column:
     return F.when(s.isNull() | F.isnan(s), F.lit(_LOW)).otherwise(s)
 
 
-def score_edges(df: DataFrame, score: str, buckets: int = BUCKETS) -> list[float]:
+def score_edges(df: DataFrame, score: str, buckets: int | None = None) -> list[float]:
+    buckets = buckets or int(df.sparkSession.conf.get(BUCKETS_CONF, str(BUCKETS)))
     qs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(clean_score(score), qs, buckets * 10).alias("q")).first()
     return sorted({float(v) for v in (row["q"] or []) if v not in (_LOW, float("inf"))})
@@ -38,7 +40,7 @@ def with_bucket(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 
 def kth_largest(df: DataFrame, groups: list[str], score: str, wanted: list[tuple[str, object]], *,
                 sub: Column | None = None, edges: list[float] | None = None,
-                buckets: int = BUCKETS) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """The k-th largest score of every group, for each wanted (label, k as a function of n).
 
     Gives (groups, label, n, k, value[, sub], left): ``left`` is how many rows of
@@ -104,7 +106,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[float],
         F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))).alias("value"))
 
 
-def score_curve(df: DataFrame, score: str, label: str, buckets: int = BUCKETS) -> DataFrame:
+def score_curve(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
     """One row per distinct score, descending: rows and frauds at it and above it.
 
     Columns: score, n, pos, n_above, pos_above (both including the score itself),

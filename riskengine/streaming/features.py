@@ -20,10 +20,12 @@ from riskengine.operators.alerts import risk_tier
 from riskengine.operators.features import INPUTS, build_features
 from riskengine.sources.etl import join_raw
 
+_PROGRESS = T.StructType([T.StructField("max_us", T.LongType())])
+
 
 @dataclass
 class FeatureStream:
-    """``path`` holds history, features, scores and late rows.
+    """``path`` holds history, progress, features, scores and late rows.
 
     ``lateness_us``: rows older than the newest event seen in earlier batches by
     more than this go to the late table; their features could no longer be right.
@@ -55,22 +57,26 @@ class FeatureStream:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         past = self._table("history", before=batch_id)
-        seen = past.agg(F.max(micros("event_timestamp"))).first()[0]
+        seen = self._table("progress", _PROGRESS, before=batch_id).agg(F.max("max_us")).first()[0]
         fresh = batch.select(*self.schema.names).dropDuplicates(["transaction_id"])
         if seen is not None:
-            fresh = fresh.join(past.select("transaction_id"), "transaction_id", "left_anti")
             cut = seen - self.lateness_us
-            self._write(fresh.filter(micros("event_timestamp") < cut), "late", batch_id)
-            fresh = fresh.filter(micros("event_timestamp") >= cut)
+            late = micros("event_timestamp") < cut
+            self._write(fresh.filter(late), "late", batch_id)
+            # a repeat of a row that is not late is itself not late
+            recent = past.filter(F.col("event_timestamp") >= F.timestamp_micros(F.lit(cut)))
+            fresh = fresh.filter(~late).join(recent.select("transaction_id"), "transaction_id", "left_anti")
         self._write(fresh.select(*self.schema.names), "history", batch_id)
 
         mine = self.spark.read.schema(self.schema).parquet(f"{self.path}/history/batch_id={batch_id}")
-        first = mine.agg(F.min(micros("event_timestamp"))).first()[0]
+        first, last = mine.agg(F.min(micros("event_timestamp")), F.max(micros("event_timestamp"))).first()
         if first is None:
             return
+        self._write(self.spark.createDataFrame([(last,)], _PROGRESS), "progress", batch_id)
         context = past.drop("batch_id")
         if self.lookback_days is not None:
-            context = context.filter(micros("event_timestamp") >= first - self.lookback_days * DAY)
+            since = F.timestamp_micros(F.lit(first - self.lookback_days * DAY))
+            context = context.filter(F.col("event_timestamp") >= since)
         if self.labels is not None:
             context = context.drop("is_fraud", "label_available_timestamp").join(
                 self.labels, "transaction_id", "left").select(*self.schema.names)
