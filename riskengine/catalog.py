@@ -368,12 +368,12 @@ def standardise_upi(spark, d):
 
 @query
 def generate_dataset(spark, d):
-    """Train and test halves: merge, standardise, map, union."""
+    """Train (status F) and test orders: merge, standardise, map, union."""
     raw = _raw(spark, d)
     ident = table(spark, d, "customer").select(
         F.col("c_custkey").alias("TransactionID"), F.col("c_mktsegment").alias("id_12"))
-    half = F.col("TransactionID") % 2 == 0
-    out = etl.generate_dataset(raw.filter(half), ident, raw.filter(~half).drop("isFraud"), ident)
+    train = F.col("card4") == "F"
+    out = etl.generate_dataset(raw.filter(train), ident, raw.filter(~train).drop("isFraud"), ident)
     return _shape(out).join(out.select(F.col("transaction_id").cast("string").alias("transaction_id"), "id_12"),
                             "transaction_id")
 
@@ -389,9 +389,10 @@ def payer_fingerprint(spark, d):
 
 @query
 def identity_merge(spark, d):
-    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "TransactionID")
-    c = table(spark, d, "customer").filter("c_custkey % 4 = 0").withColumnRenamed("c_custkey", "TransactionID")
-    return etl.merge_identity(o, c).select("o_orderkey", "TransactionID", "o_totalprice", "c_name", "c_acctbal")
+    """Most orders have no identity row."""
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "TransactionID")
+    c = table(spark, d, "customer").withColumnRenamed("c_custkey", "TransactionID")
+    return etl.merge_identity(o, c).select("TransactionID", "o_custkey", "o_totalprice", "c_name", "c_acctbal")
 
 
 @query
@@ -594,19 +595,18 @@ def pattern_members(spark, d):
 
 @query
 def batch_stream_diff(spark, d):
-    """The table against a copy with missing, late and changed rows."""
-    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "amount")
-    i = F.col("transaction_id").cast("long")
-    other = (df.filter(i % 211 != 0)
-             .withColumn("amount", F.when(i % 199 == 0, F.col("amount") + 1).otherwise(F.col("amount"))))
+    """The table against a copy without errors and with whole amounts."""
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "payee_vpa", "amount")
+    other = (df.filter(F.col("payee_vpa") != "merchant_error@upi")
+             .withColumn("amount", F.floor("amount").cast("double")))
     return compare.batch_stream_diff(df, other).select("transaction_id", "column")
 
 
 @query
 def union_train_test(spark, d):
-    df = txn_events(spark, d).select("transaction_id", "amount", F.col("is_fraud").cast("double"))
-    i = F.col("transaction_id").cast("long")
-    return etl.union_sets(df.filter(i % 2 == 0), df.filter(i % 2 == 1).drop("is_fraud"))
+    df = txn_events(spark, d).select("transaction_id", "amount", "payee_vpa", F.col("is_fraud").cast("double"))
+    test = F.col("payee_vpa") == "merchant_view@upi"
+    return etl.union_sets(df.filter(~test), df.filter(test).drop("is_fraud"))
 
 
 @query
@@ -627,8 +627,7 @@ def sampled_rows(spark, d):
 @query
 def labelled_rows(spark, d):
     df = txn_events(spark, d)
-    i = F.col("transaction_id").cast("long")
-    df = df.withColumn("is_fraud", F.when(i % 5 != 0, F.col("is_fraud")))
+    df = df.withColumn("is_fraud", F.when(F.col("payee_vpa") != "merchant_view@upi", F.col("is_fraud")))
     return (tables.labelled(df).select("transaction_id", F.lit("labelled").alias("part"))
             .unionByName(tables.unlabelled(df).select("transaction_id", F.lit("unlabelled").alias("part"))))
 
@@ -649,9 +648,10 @@ def distinct_devices(spark, d):
 
 @query
 def id_overlap(spark, d):
-    df = txn_events(spark, d)
-    i = F.col("transaction_id").cast("long")
-    return split.id_overlap(df.filter(i % 2 == 0), df.filter(i % 3 == 0))
+    """Two overlapping periods."""
+    df, t = txn_events(spark, d), F.col("event_timestamp")
+    return split.id_overlap(df.filter(t < F.lit("2024-01-20").cast("timestamp")),
+                            df.filter(t >= F.lit("2024-01-10").cast("timestamp")))
 
 
 # -- models --------------------------------------------------------------------
@@ -692,12 +692,13 @@ def label_encode(spark, d):
 
 @query
 def encoded_rows(spark, d):
-    """Encoder fitted on half of the rows; unseen values take the code of missing."""
-    df = txn_events(spark, d)
-    i = F.col("transaction_id").cast("long")
-    df = df.withColumn("payer_id", F.when(i % 13 != 0, F.col("payer_id")))
-    enc = preparation.fit_encoder(df.filter(i % 40 == 0), ["payer_id", "payee_vpa"])
-    return enc.transform(df).select("transaction_id", F.col("payer_id").cast("long").alias("payer_code"),
+    """Encoder fitted on the earlier rows; unseen values take the code of missing."""
+    df = txn_events(spark, d).select(
+        "transaction_id", "event_timestamp", "payee_vpa",
+        F.when(F.col("amount") > 5, F.concat_ws("/", "device_id", "payee_vpa")).alias("pair"))
+    early = df.filter(F.col("event_timestamp") < F.lit("2024-01-10").cast("timestamp"))
+    enc = preparation.fit_encoder(early, ["pair", "payee_vpa"])
+    return enc.transform(df).select("transaction_id", F.col("pair").cast("long").alias("pair_code"),
                                     F.col("payee_vpa").cast("long").alias("payee_code"))
 
 
@@ -838,9 +839,9 @@ def stream_gate(spark, d):
 
 @query
 def stream_deduplicated(spark, d):
-    """Every third event is sent twice."""
-    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "amount")
-    twice = df.unionByName(df.filter(F.col("transaction_id").cast("long") % 3 == 0))
+    """Clicks are sent twice."""
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "amount", "payee_vpa")
+    twice = df.unionByName(df.filter(F.col("payee_vpa") == "merchant_click@upi"))
     root, src = _staged(twice, "dedup")
     events = source.deduplicate(source.read_events(spark, src, df.schema, 1))
     source.append_to(events, f"{root}/checkpoint", f"{root}/out")

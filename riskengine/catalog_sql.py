@@ -401,15 +401,15 @@ SQL: dict[str, str] = {
     "evaluation_report": _report(),
     "standardise_upi": f"WITH {RAW} SELECT * EXCLUDE (k) FROM shape",
     "generate_dataset": f"""WITH {RAW} SELECT shape.* EXCLUDE (k) REPLACE (
-      CASE WHEN k % 2 = 0 THEN is_fraud END AS is_fraud), c_mktsegment AS id_12
-      FROM shape LEFT JOIN customer ON c_custkey = k""",
+      CASE WHEN o_orderstatus = 'F' THEN is_fraud END AS is_fraud), c_mktsegment AS id_12
+      FROM shape JOIN orders ON o_orderkey = k LEFT JOIN customer ON c_custkey = k""",
     "payer_fingerprint": f"""WITH h AS (SELECT *, substr(sha256({_SALT} || o_custkey || '|' || o_orderstatus || '|'
       || o_orderpriority), 1, 12) AS payer_id FROM orders)
       SELECT o_orderkey, payer_id, 'user_' || payer_id || '@upi' AS payer_vpa,
       CASE WHEN o_orderkey % 4 = 0 THEN substr(sha256('upi_phase1_v1|dev|' || o_orderpriority), 1, 12)
       ELSE 'unknown_device' END AS device_id, 'merchant_' || o_orderstatus || '@upi' AS payee_vpa FROM h""",
-    "identity_merge": """SELECT o_orderkey, o_custkey AS "TransactionID", o_totalprice, c_name, c_acctbal
-      FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 4 = 0""",
+    "identity_merge": """SELECT o_orderkey AS "TransactionID", o_custkey, o_totalprice, c_name, c_acctbal
+      FROM orders LEFT JOIN customer ON o_orderkey = c_custkey""",
     "identity_key_check": """SELECT (SELECT count(*) FROM orders) AS n_before,
       (SELECT count(*) FROM orders LEFT JOIN customer ON o_custkey = c_custkey) AS n_after""",
     "normalise_vpa": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR)
@@ -477,19 +477,20 @@ SQL: dict[str, str] = {
     "pattern_members": f"""WITH {GATED} SELECT DISTINCT fraud_pattern, payer_id, device_id,
       CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM gated WHERE fraud_pattern = 'ring'""",
     "batch_stream_diff": f"""WITH {TXN} SELECT transaction_id,
-      CASE WHEN event_id % 211 = 0 THEN '<row>' ELSE 'amount' END AS "column" FROM txn
-      WHERE event_id % 211 = 0 OR event_id % 199 = 0""",
-    "union_train_test": f"""WITH {TXN} SELECT transaction_id, amount,
-      CASE WHEN event_id % 2 = 0 THEN is_fraud::DOUBLE END AS is_fraud FROM txn""",
+      CASE WHEN payee_vpa = 'merchant_error@upi' THEN '<row>' ELSE 'amount' END AS "column" FROM txn
+      WHERE payee_vpa = 'merchant_error@upi' OR amount <> floor(amount)""",
+    "union_train_test": f"""WITH {TXN} SELECT transaction_id, amount, payee_vpa,
+      CASE WHEN payee_vpa <> 'merchant_view@upi' THEN is_fraud::DOUBLE END AS is_fraud FROM txn""",
     "top_scores": f"""WITH {TXN} SELECT transaction_id, score AS fraud_probability FROM txn
       ORDER BY score DESC, transaction_id LIMIT 10""",
     "first_by_time": f"WITH {ORD} SELECT transaction_id, payer_id FROM txn ORDER BY ts, transaction_id LIMIT 100",
     "labelled_rows": f"""WITH {TXN} SELECT transaction_id,
-      CASE WHEN event_id % 5 <> 0 THEN 'labelled' ELSE 'unlabelled' END AS part FROM txn""",
+      CASE WHEN payee_vpa <> 'merchant_view@upi' THEN 'labelled' ELSE 'unlabelled' END AS part FROM txn""",
     "training_table": f"""WITH {_features(TXN)} SELECT transaction_id, payer_id, payee_vpa, round(amount, 4) AS amount,
       'INR' AS currency, payer_txn_count_24h, device_txn_count_24h, is_fraud FROM feat JOIN txn USING (transaction_id)""",
     "distinct_devices": f"WITH {TXN} SELECT DISTINCT payer_id, device_id FROM txn",
-    "id_overlap": f"WITH {TXN} SELECT transaction_id FROM txn WHERE event_id % 2 = 0 AND event_id % 3 = 0",
+    "id_overlap": f"""WITH {TXN} SELECT transaction_id FROM txn
+      WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'""",
     "scaled_features": f"""WITH {TXN} SELECT transaction_id,
       round((amount - avg(amount) OVER ()) / stddev_pop(amount) OVER (), 4) AS amount,
       round((score - avg(score) OVER ()) / stddev_pop(score) OVER (), 4) AS fraud_probability FROM txn""",
@@ -501,13 +502,13 @@ SQL: dict[str, str] = {
     "label_encode": f"""WITH {TXN}, v AS (SELECT DISTINCT 'payee_vpa' AS "column", payee_vpa AS value FROM txn UNION ALL
       SELECT DISTINCT 'device_id', CASE WHEN event_id % 13 <> 0 THEN device_id ELSE '__MISSING__' END FROM txn)
       SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS code FROM v""",
-    "encoded_rows": f"""WITH {TXN}, t AS (SELECT transaction_id, event_id, payee_vpa,
-      CASE WHEN event_id % 13 <> 0 THEN payer_id ELSE '__MISSING__' END AS payer FROM txn),
-      a AS (SELECT payer, dense_rank() OVER (ORDER BY payer) - 1 AS code FROM (SELECT DISTINCT payer FROM t WHERE event_id % 40 = 0)),
-      b AS (SELECT payee_vpa, dense_rank() OVER (ORDER BY payee_vpa) - 1 AS code
-        FROM (SELECT DISTINCT payee_vpa FROM t WHERE event_id % 40 = 0))
-      SELECT transaction_id, coalesce(a.code, (SELECT code FROM a WHERE payer = '__MISSING__'), 0) AS payer_code,
-      coalesce(b.code, 0) AS payee_code FROM t LEFT JOIN a USING (payer) LEFT JOIN b USING (payee_vpa)""",
+    "encoded_rows": f"""WITH {TXN}, t AS (SELECT transaction_id, ts, payee_vpa,
+      CASE WHEN amount > 5 THEN device_id || '/' || payee_vpa ELSE '__MISSING__' END AS pair FROM txn),
+      early AS (SELECT * FROM t WHERE ts < TIMESTAMP '2024-01-10'),
+      a AS (SELECT pair, dense_rank() OVER (ORDER BY pair) - 1 AS code FROM (SELECT DISTINCT pair FROM early)),
+      b AS (SELECT payee_vpa, dense_rank() OVER (ORDER BY payee_vpa) - 1 AS code FROM (SELECT DISTINCT payee_vpa FROM early))
+      SELECT transaction_id, coalesce(a.code, (SELECT code FROM a WHERE pair = '__MISSING__'), 0) AS pair_code,
+      coalesce(b.code, 0) AS payee_code FROM t LEFT JOIN a USING (pair) LEFT JOIN b USING (payee_vpa)""",
     "backtest_range": f"""WITH {_daily(0.01)} SELECT event_date, num_transactions, num_alerts, tp, fp, fn, tn, total_fraud,
       total_legit, {_round('alert_rate precision recall false_alert_rate')} FROM daily
       WHERE event_date BETWEEN '2024-01-08' AND '2024-01-14'""",
