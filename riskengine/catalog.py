@@ -18,7 +18,7 @@ from riskengine.plans import scoring, training
 from riskengine.schema import FEATURES
 from riskengine.session import materialise, shared_dir, use_utc
 from riskengine.sources import etl, tables
-from riskengine.streaming import policy, source
+from riskengine.streaming import keyed, policy, source
 from riskengine.streaming.features import FeatureStream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -867,3 +867,14 @@ def stream_scores(spark, d):
     stream = FeatureStream(spark, f"{root}/out", df.schema, model=model)
     source.run_to_end(source.read_events(spark, src, df.schema, 1), f"{root}/checkpoint", stream)
     return stream.read("scores").select("transaction_id", r4("fraud_probability"), "risk_tier")
+
+
+@query
+def stream_keyed_features(spark, d):
+    """The same features from bounded per-key state."""
+    df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
+    root, src = _staged(df, "keyed")
+    keyed.use_rocksdb(spark)
+    events = source.read_events(spark, src, df.schema, 1)
+    source.append_to(keyed.keyed_features(events), f"{root}/checkpoint", f"{root}/out")
+    return rounded(spark.read.parquet(f"{root}/out").drop("event_timestamp"))

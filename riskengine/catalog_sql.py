@@ -523,4 +523,5 @@ SQL: dict[str, str] = {
       WHERE NOT (amount > 0 AND currency = 'INR' AND (label_ts IS NULL OR label_ts > ts))""",
     "stream_deduplicated": f"WITH {TXN} SELECT transaction_id, amount FROM txn",
     "stream_seek": f"WITH {TXN} SELECT transaction_id FROM txn WHERE ts >= TIMESTAMP '2024-01-20'",
+    "stream_keyed_features": f"WITH {_features(TXN)} SELECT * FROM feat",
 }

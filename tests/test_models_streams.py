@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helpers import TXN, assert_same, brute, messy
 from riskengine.models import anomaly, preparation, supervised
 from riskengine.plans import scoring, training
-from riskengine.streaming import policy, source
+from riskengine.streaming import keyed, policy, source
 from riskengine.streaming.features import FeatureStream
 from test_alerts_metrics import SCORED, fold
 
@@ -149,3 +149,22 @@ def test_stream_policy_equals_the_loop(spark, tmp_path):
     assert len(got) == 600
     for g in got:
         assert (g["alert_threshold"], g["daily_count"], g["daily_budget"], g["should_alert"], g["budget_exceeded"]) == want[g["transaction_id"]]
+
+
+@pytest.mark.parametrize("rows_kept", [1000, 25])
+def test_keyed_stream_features(spark, tmp_path, rows_kept):
+    rows = messy(240)
+    drops(rows, TXN, spark, str(tmp_path / "in"), 3)
+    schema = spark.createDataFrame([], TXN).schema
+    keyed.use_rocksdb(spark)
+    events = source.read_events(spark, str(tmp_path / "in"), schema, 1)
+    source.append_to(keyed.keyed_features(events, rows_kept), str(tmp_path / "cp"), str(tmp_path / "out"))
+    got = {r["transaction_id"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = brute(rows)
+    if rows_kept == 1000:
+        assert_same(got, want)
+    else:  # counts are cut at the rows kept
+        assert set(got) == set(want)
+        for tid, f in want.items():
+            assert got[tid]["payer_txn_count_24h"] == min(f["payer_txn_count_24h"], 25)
+            assert got[tid]["payer_past_fraud_count_30d"] <= f["payer_past_fraud_count_30d"]
