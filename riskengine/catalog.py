@@ -878,3 +878,45 @@ def stream_keyed_features(spark, d):
     events = source.read_events(spark, src, df.schema, 1)
     source.append_to(keyed.keyed_features(events), f"{root}/checkpoint", f"{root}/out")
     return rounded(spark.read.parquet(f"{root}/out").drop("event_timestamp"))
+
+
+# -- sources and sinks ---------------------------------------------------------
+
+@query
+def csv_to_table(spark, d):
+    """CSV with a declared schema into the date-partitioned table, and back."""
+    root = f"{shared_dir(spark)}/tables/csv-{uuid.uuid4().hex}"
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "payer_id", "amount")
+    tables.write_csv(df, f"{root}/csv")
+    tables.csv_to_table(spark, f"{root}/csv", f"{root}/table", df.schema)
+    back = tables.read_transactions(spark, f"{root}/table")
+    return back.select("transaction_id", micros("event_timestamp").alias("event_us"), "payer_id", r4("amount"),
+                       F.col("event_date").cast("string").alias("event_date"))
+
+
+@query
+def one_day_scan(spark, d):
+    """One event date of the partitioned table: the others are not read."""
+    root = f"{shared_dir(spark)}/tables/day-{uuid.uuid4().hex}"
+    tables.write_transactions(txn_events(spark, d), root)
+    day = tables.read_transactions(spark, root, start="2024-01-15", end="2024-01-15")
+    return day.select("transaction_id", r4("amount"))
+
+
+@query
+def report_round_trip(spark, d):
+    """Daily metrics written as JSON rows and read back."""
+    path = f"{shared_dir(spark)}/tables/report-{uuid.uuid4().hex}"
+    daily = rounded(_daily(spark, d))
+    tables.write_report(daily, path)
+    return tables.read_report(spark, path, daily.schema)
+
+
+@query
+def sorted_table(spark, d):
+    """A globally time-sorted table; each of its files is in order."""
+    path = f"{shared_dir(spark)}/tables/sorted-{uuid.uuid4().hex}"
+    tables.write_sorted(txn_events(spark, d).select("event_timestamp", "transaction_id"), path)
+    order = quality.file_order(spark.read.parquet(path), "event_timestamp")
+    return order.agg(F.min("increasing_share").alias("lowest_share"), F.min("success").alias("in_order")).crossJoin(
+        spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")))

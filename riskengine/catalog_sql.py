@@ -524,4 +524,11 @@ SQL: dict[str, str] = {
     "stream_deduplicated": f"WITH {TXN} SELECT transaction_id, amount FROM txn",
     "stream_seek": f"WITH {TXN} SELECT transaction_id FROM txn WHERE ts >= TIMESTAMP '2024-01-20'",
     "stream_keyed_features": f"WITH {_features(TXN)} SELECT * FROM feat",
+    "csv_to_table": f"""WITH {TXN} SELECT transaction_id, us AS event_us, payer_id, round(amount, 4) AS amount,
+      event_date FROM txn""",
+    "one_day_scan": f"""WITH {TXN} SELECT transaction_id, round(amount, 4) AS amount FROM txn
+      WHERE event_date = '2024-01-15'""",
+    "report_round_trip": f"""WITH {_daily(0.01)} SELECT event_date, num_transactions, num_alerts, tp, fp, fn, tn, total_fraud,
+      total_legit, {_round('alert_rate precision recall false_alert_rate')} FROM daily""",
+    "sorted_table": "SELECT 1.0::DOUBLE AS lowest_share, true AS in_order, count(*) AS n FROM events",
 }

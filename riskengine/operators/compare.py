@@ -29,9 +29,8 @@ def compare_frames(a: DataFrame, b: DataFrame, key: str = "transaction_id",
         diffs.append(F.when(both & ~same, F.struct(
             F.lit(c).alias("column"), x.cast("string").alias("left_value"),
             y.cast("string").alias("right_value"))))
-    return (j.select(F.coalesce("_ka", "_kb").alias(key),
-                     F.explode(F.array_compact(F.array(*diffs))).alias("_d"))
-            .select(key, "_d.*"))
+    return (j.select(F.coalesce("_ka", "_kb").alias(key), F.explode(F.array(*diffs)).alias("_d"))
+            .filter(F.col("_d").isNotNull()).select(key, "_d.*"))
 
 
 def batch_stream_diff(batch: DataFrame, stream: DataFrame) -> DataFrame:

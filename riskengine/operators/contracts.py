@@ -44,21 +44,27 @@ def _columns(df: DataFrame, strict: bool) -> tuple[dict[str, Column], list[Colum
     return typed, reasons
 
 
-def checked(df: DataFrame, strict: bool = False) -> DataFrame:
-    """Coerced core columns, all other columns as they came, and ``reject_reasons``."""
-    typed, reasons = _columns(df, strict)
+def _typed_rows(df: DataFrame, typed: dict[str, Column], *more: Column) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in df.columns if c not in typed]
     core = [v.alias(n) for n, v in typed.items()
             if n in df.columns or n in REQUIRED or n == "currency"]
-    return df.select(*core, *rest, F.array_compact(F.array(*reasons)).alias("reject_reasons"))
+    return df.select(*core, *rest, *more)
+
+
+def checked(df: DataFrame, strict: bool = False) -> DataFrame:
+    """Coerced core columns, all other columns as they came, and ``reject_reasons``."""
+    typed, reasons = _columns(df, strict)
+    return _typed_rows(df, typed, F.array_compact(F.array(*reasons)).alias("reject_reasons"))
 
 
 def enforce(df: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid rows, typed) and (rejected rows, as they came, with reasons)."""
     typed, reasons = _columns(df, strict)
-    why = F.array_compact(F.array(*reasons))
-    valid = checked(df, strict).filter(F.size("reject_reasons") == 0).drop("reject_reasons")
-    rejects = df.withColumn("reject_reasons", why).filter(F.size("reject_reasons") > 0)
+    bad = F.lit(False)
+    for r in reasons:
+        bad = bad | r.isNotNull()
+    valid = _typed_rows(df.filter(~bad), typed)
+    rejects = df.filter(bad).withColumn("reject_reasons", F.array_compact(F.array(*reasons)))
     return valid, rejects
 
 

@@ -71,8 +71,9 @@ def _active_totals(rows: DataFrame, key: str, facts: list[Active],
         events.append(F.when(live, event(f.start, False, {g.name: 1 for g in group})))
         events.append(F.when(live & f.end.isNotNull(),
                              event(f.end, False, {g.name: -1 for g in group})))
-    stream = (rows.select(key, F.struct(*kept).alias("_row"),
-                          F.explode(F.filter(F.array(*events), lambda e: e.isNotNull())).alias("_e"))
+    # NULL entries are dropped after the explode: that stays in generated code
+    stream = (rows.select(key, F.struct(*kept).alias("_row"), F.explode(F.array(*events)).alias("_e"))
+              .filter(F.col("_e").isNotNull())
               .select(key, F.when(F.col("_e._probe"), F.col("_row")).alias("_row"),
                       "_e._pos", *[f"_e.{f.name}" for f in facts]))
     done = prefix_sums(stream, [key], "_pos", [f.name for f in facts], slice_us)
@@ -101,8 +102,9 @@ class EntityFeatures:
     def outputs(self):
         return self.longs + [n for n, _ in self.sums]
 
-    def outputs_by_frame(self, frames: bool) -> bool:
-        return frames and bool(self.counts or self.sums)
+    def places_by_key(self, frames: bool) -> bool:
+        """Whether a window over the key alone comes before those over (key, value)."""
+        return any(d[2] == "rows" for d in self.distinct) or (frames and bool(self.counts or self.sums))
 
 
 def _frames(rows: DataFrame, spec: EntityFeatures, amount: str) -> DataFrame:
@@ -125,6 +127,13 @@ def _entity(rows: DataFrame, spec: EntityFeatures, id_col: str, amount: str,
     facts: list[Active] = []
     always = F.lit(True)
     us = F.col("_us")
+    helpers = [f"_{h}{i}" for i in range(len(spec.distinct)) for h in ("nth", "again")]
+    # the (time, id) sort of the row bound comes first: the RANGE frames reuse it
+    for i, (_, _, unit, bound) in enumerate(spec.distinct):
+        if unit == "rows":
+            rows = nth_later(rows, [spec.key], "_us", id_col, bound, f"_nth{i}", slice_us)
+        else:
+            rows = rows.withColumn(f"_nth{i}", us + bound * SECOND)
     if frames:
         rows = _frames(rows, spec, amount)
     else:
@@ -133,20 +142,11 @@ def _entity(rows: DataFrame, spec: EntityFeatures, id_col: str, amount: str,
             facts.append(Active(name, start, us + seconds * SECOND, always))
         for name, seconds in spec.sums:
             facts.append(Active(name, start, us + seconds * SECOND, always, F.col(amount)))
-    helpers = []
-    if frames or slice_us is None:
-        # the span form has no window over the key alone; place the rows by key first
-        if spec.distinct and all(d[2] != "rows" for d in spec.distinct) and not spec.outputs_by_frame(frames):
-            rows = rows.repartition(F.col(spec.key))
-    for i, (name, value, unit, bound) in enumerate(spec.distinct):
-        again, nth = f"_again{i}", f"_nth{i}"
-        helpers += [again, nth]
-        if unit == "rows":
-            rows = nth_later(rows, [spec.key], "_us", id_col, bound, nth, slice_us)
-        else:
-            rows = rows.withColumn(nth, us + bound * SECOND)
-        rows = next_time(rows, [spec.key, value], "_us", id_col, again, slice_us)
-        facts.append(Active(name, us, F.least(nth, again), F.col(value).isNotNull()))
+    if slice_us is None and spec.distinct and not spec.places_by_key(frames):
+        rows = rows.repartition(F.col(spec.key))  # else (key, value) would be shuffled first
+    for i, (name, value, _, _) in enumerate(spec.distinct):
+        rows = next_time(rows, [spec.key, value], "_us", id_col, f"_again{i}", slice_us)
+        facts.append(Active(name, us, F.least(f"_nth{i}", f"_again{i}"), F.col(value).isNotNull()))
     for name, days in spec.risk:
         label = micros("label_available_timestamp")
         facts.append(Active(name, F.greatest(us, label), us + days * DAY,

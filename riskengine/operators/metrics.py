@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from riskengine.operators.alerts import (BUDGET, SCORE, alert_cutoffs, alerts_by_budget,
                                          risk_tier)
 from riskengine.operators.ranking import exact_quantiles, score_curve
+from riskengine.session import materialise
 
 BUDGETS = [0.001, 0.005, 0.01, 0.02, 0.05]
 TARGET_PRECISION = 0.70
@@ -120,7 +121,7 @@ def budget_curve(scored: DataFrame, budgets: list[float] | None = None, *,
                  label: str = "is_fraud", **kw) -> DataFrame:
     """Precision and recall under the daily top-k policy, one row per budget."""
     budgets = budgets or BUDGETS
-    cutoffs = alert_cutoffs(scored, budgets, **kw)
+    cutoffs = materialise(alert_cutoffs(scored, budgets, **kw), "cutoffs")  # read twice, one row per day and budget
     hits = alerts_by_budget(scored, budgets, cutoffs=cutoffs, **kw).groupBy("alert_budget").agg(
         (F.count(F.when(F.col("alert"), 1)) / F.count(F.lit(1))).alias("actual_alert_rate"),
         *confusion(F.col("alert"), label))

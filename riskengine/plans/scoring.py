@@ -10,6 +10,7 @@ from riskengine.operators.alerts import BUDGET, daily_alerts, risk_tier
 from riskengine.operators.features import build_features
 from riskengine.operators.metrics import (backtest_summary, budget_adherence, cumulative_metrics,
                                           daily_metrics)
+from riskengine.session import materialise
 from riskengine.sources.etl import join_raw
 from riskengine.sources.tables import unlabelled, write_report
 
@@ -50,7 +51,7 @@ def run_backtest(scored: DataFrame, start: str, end: str, budget: float = BUDGET
     """Replay of the days in [start, end]: one job, since days do not depend on each other."""
     day = F.to_date("event_timestamp")
     rows = scored.filter((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date")))
-    daily = daily_metrics(daily_alerts(rows, budget))
+    daily = materialise(daily_metrics(daily_alerts(rows, budget)), "daily")  # one row per day, read four times
     out = {"daily": daily, "cumulative": cumulative_metrics(daily),
            "violations": budget_adherence(daily, budget), "summary": backtest_summary(daily, budget)}
     if output:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskengine.functions.timing import event_date
 
+MICROS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # text sinks keep the microseconds
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              timestamp_format: str | None = None) -> DataFrame:
@@ -71,12 +73,12 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", MICROS_FORMAT).csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """Metric rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("timestampFormat", MICROS_FORMAT).json(path)
 
 
 def read_report(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
