@@ -74,35 +74,38 @@ def by_heat(df: DataFrame, key: str, profile: KeyProfile,
     return out
 
 
-def prefix_sums(rows: DataFrame, keys: list[str], pos: str, measures: list[str],
-                slice_us: int | None = None, include_peers: bool = False) -> DataFrame:
-    """Replace each measure by its running sum over rows of the key with a smaller ``pos``.
+def prefix_sums(rows: DataFrame, keys: list[str], pos: str, measures: dict[str, Column],
+                slice_us: int | None = None, light: DataFrame | None = None) -> DataFrame:
+    """Add, per measure, its sum over the rows of the key with a strictly smaller ``pos``.
 
     A running frame is one pass over the sorted partition, whatever the density.
     With ``slice_us`` the partitions are (keys, time slice) and each slice starts
-    from the totals of the earlier ones. ``include_peers`` also counts rows of
-    equal ``pos``.
+    from the totals of the earlier ones. Measures are computed after the shuffle:
+    only the columns they are made from travel. ``light`` may give the same rows
+    without their payload, for the totals.
     """
-    last = 0 if include_peers else -1
+    names = list(measures)
 
     def running(parts):
-        w = Window.partitionBy(*parts).orderBy(pos).rangeBetween(Window.unboundedPreceding, last)
-        return {m: F.sum(m).over(w) for m in measures}
+        w = Window.partitionBy(*parts).orderBy(pos).rangeBetween(Window.unboundedPreceding, -1)
+        return {m: F.sum(f"_m{i}").over(w) for i, m in enumerate(names)}
 
+    inputs = {f"_m{i}": measures[m].cast("long") for i, m in enumerate(names)}
     if slice_us is None:
-        return rows.withColumns(running(keys))
+        return rows.withColumns(inputs).withColumns(running(keys)).drop(*inputs)
 
-    sliced = rows.withColumn("_slice", F.floor(F.col(pos) / slice_us))
-    totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
+    slot = F.floor(F.col(pos) / slice_us)
+    sliced = rows.withColumn("_slice", slot)
+    totals = ((rows if light is None else light).withColumn("_slice", slot)
+              .groupBy(*keys, "_slice").agg(*[F.sum(v).alias(m) for m, v in inputs.items()]))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, "_slice", (F.col("_slice") * slice_us - 1).alias(pos),
-                          *[F.sum(m).over(before).cast(rows.schema[m].dataType).alias(m)
-                            for m in measures],
-                          F.lit(True).alias("_carry"))
-    return (sliced.withColumn("_carry", F.lit(False))
-            .unionByName(carry, allowMissingColumns=True)
-            .withColumns(running([*keys, "_slice"]))
-            .filter(~F.col("_carry")).drop("_carry", "_slice"))
+                          F.array(*[F.sum(m).over(before) for m in inputs]).alias("_carry"))
+    both = sliced.withColumn("_carry", F.lit(None).cast("array<bigint>")).unionByName(
+        carry, allowMissingColumns=True).repartition(*keys, "_slice")
+    carried = {m: F.coalesce(F.element_at("_carry", i + 1), v) for i, (m, v) in enumerate(inputs.items())}
+    return (both.withColumns(carried).withColumns(running([*keys, "_slice"]))
+            .filter(F.col("_carry").isNull()).drop("_carry", "_slice", *inputs))
 
 
 def row_running(rows: DataFrame, keys: list[str], pos: str, tie: str,

@@ -31,12 +31,15 @@ PAYER_WINDOWS = {"5min": 300, "1h": 3600, "24h": 86400}
 DEVICE_WINDOWS = {"1h": 3600, "24h": 86400}
 LAST_ROWS = 1000
 RISK_DAYS = 30
-MONEY = "decimal(28,8)"  # sums of hot keys are exact, so differences of running sums are too
+FRACTION = 10**9  # sums of hot keys add whole units and billionths as integers: exact, any order
 
 
 @dataclass(frozen=True)
 class Active:
-    """A fact counted on (start, end]; NULL end means for ever, false ``when`` never."""
+    """A fact counted on (start, end]; NULL end means for ever, false ``when`` never.
+
+    The weight, where there is one, is the same column for all facts of a table.
+    """
 
     name: str
     start: Column
@@ -47,40 +50,62 @@ class Active:
 
 def _active_totals(rows: DataFrame, key: str, facts: list[Active],
                    slice_us: int | None) -> DataFrame:
+    """Add every fact's active total at each row's own time."""
     kept = [c for c in rows.columns if c != key]
+    row_type = rows.select(F.struct(*kept).alias("r")).schema["r"].dataType
+    spans: dict[str, list[Active]] = {}
+    for f in facts:
+        spans.setdefault(f"{f.start}|{f.end}|{f.when}", []).append(f)
 
-    def event(pos, probe, deltas):
-        fields = [pos.cast("long").alias("_pos"), F.lit(probe).alias("_probe")]
-        for f in facts:
-            d = deltas.get(f.name)
-            if f.weight is None:
-                fields.append((F.lit(None).cast("long") if d is None
-                               else F.lit(d).cast("long")).alias(f.name))
-            else:
-                fields.append((F.lit(None).cast(MONEY) if d is None
-                               else (f.weight * d).cast(MONEY)).alias(f.name))
-        return F.struct(*fields)
+    # kind 0 is the row itself, and starts the spans in its flags: it cannot see its
+    # own time, so no separate event is needed. Other starts are odd kinds, ends even.
+    measures: dict[str, Column] = {}
+    weights: dict[str, Column] = {}
+    flags, more = F.lit(0), []
 
-    by_span: dict[str, list[Active]] = {}
-    for f in facts:
-        by_span.setdefault(f"{f.start}|{f.end}|{f.when}", []).append(f)
-    events = [event(F.col("_us"), True, {})]
-    for group in by_span.values():
+    def event(pos, kind, row=None, flags=None):
+        return F.struct(pos.cast("long").alias("pos"), F.lit(kind).cast("byte").alias("kind"),
+                        (F.lit(0) if flags is None else flags).cast("int").alias("flags"),
+                        (F.lit(None) if row is None else row).cast(row_type).alias("row"))
+
+    for i, group in enumerate(spans.values()):
         f = group[0]
         live = f.when & F.col(key).isNotNull() & (f.end.isNull() | (f.end > f.start))
-        events.append(F.when(live, event(f.start, False, {g.name: 1 for g in group})))
-        events.append(F.when(live & f.end.isNotNull(),
-                             event(f.end, False, {g.name: -1 for g in group})))
-    # NULL entries are dropped after the explode: that stays in generated code
-    stream = (rows.select(key, F.struct(*kept).alias("_row"), F.explode(F.array(*events)).alias("_e"))
-              .filter(F.col("_e").isNotNull())
-              .select(key, F.when(F.col("_e._probe"), F.col("_row")).alias("_row"),
-                      "_e._pos", *[f"_e.{f.name}" for f in facts]))
-    done = prefix_sums(stream, [key], "_pos", [f.name for f in facts], slice_us)
-    seen = done.filter(F.col("_row").isNotNull())
-    return seen.select(key, "_row.*", *[
-        F.coalesce(F.col(f.name), F.lit(0)).cast("double" if f.weight is not None else "long")
-        .alias(f.name) for f in facts])
+        sign = F.when(F.col("_kind") == 2 * i + 2, -1)
+        if str(f.start) == str(F.col("_us")):
+            flags = flags + F.when(live, 1 << i).otherwise(0)
+            sign = sign.when(F.col("_flags").bitwiseAND(1 << i) != 0, 1)
+        else:
+            more.append(F.when(live, event(f.start, 2 * i + 1)))
+            sign = sign.when(F.col("_kind") == 2 * i + 1, 1)
+        more.append(F.when(live & f.end.isNotNull(), event(f.end, 2 * i + 2)))
+        for g in group:
+            if g.weight is None:
+                measures[g.name] = sign
+            else:
+                whole = F.floor(g.weight)
+                weights["_whole"], weights["_part"] = whole, F.round((g.weight - whole) * FRACTION).cast("long")
+                measures[g.name] = sign * F.col("_whole")
+                measures[f"{g.name}__part"] = sign * F.col("_part")
+
+    def stream(row):
+        # NULL entries are dropped after the explode: that stays in generated code
+        events = F.array(event(F.col("_us"), 0, row, flags), *more)
+        return (rows.select(key, *[w.alias(n) for n, w in weights.items()], F.explode(events).alias("_e"))
+                .filter(F.col("_e").isNotNull())
+                .select(key, *weights, F.col("_e.pos").alias("_pos"), F.col("_e.kind").alias("_kind"),
+                        F.col("_e.flags").alias("_flags"), F.col("_e.row").alias("_row")))
+
+    seen = prefix_sums(stream(F.struct(*kept)), [key], "_pos", measures, slice_us,
+                       light=stream(None).drop("_row")).filter(F.col("_row").isNotNull())
+
+    def total(f):
+        n = F.coalesce(F.col(f.name), F.lit(0))
+        if f.weight is None:
+            return n.cast("long").alias(f.name)
+        return (n + F.coalesce(F.col(f"{f.name}__part"), F.lit(0)) / F.lit(float(FRACTION))).alias(f.name)
+
+    return seen.select(key, "_row.*", *[total(f) for f in facts])
 
 
 @dataclass(frozen=True)
@@ -169,8 +194,9 @@ def entity_features(df: DataFrame, spec: EntityFeatures, *, id_col: str = "trans
                     profile: KeyProfile | None = None) -> DataFrame:
     """Add the features of ``spec`` to every row of ``df``.
 
-    Without a profile the keys are counted first. Rows of hot keys are written to
-    the shared folder between their passes. Project ``df`` to the columns
+    Without a profile the keys are counted first. Rows of hot keys are read several
+    times and written to the shared folder between passes: give this a stored table
+    or a cheap projection of one. Project ``df`` to the columns
     needed before calling: all of them travel through the shuffle.
     """
     profile = profile or profile_keys(df, spec.key)
@@ -183,8 +209,7 @@ def entity_features(df: DataFrame, spec: EntityFeatures, *, id_col: str = "trans
 
     out = by_heat(rows, spec.key, profile,
                   cold=lambda d: _entity(d, spec, id_col, amount, small, None),
-                  hot=lambda d: _entity(materialise(d, "hot"), spec, id_col, amount, False,
-                                        profile.slice_us),
+                  hot=lambda d: _entity(d, spec, id_col, amount, False, profile.slice_us),
                   null=zeros)
     keep = [*df.columns, *spec.outputs]
     return out.select(*dict.fromkeys(keep))

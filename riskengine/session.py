@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_dirs: dict[str, str] = {}  # local sessions without a shared folder
+
 
 def build_session(app: str = "riskengine", master: str | None = None, **conf) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -42,9 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="riskengine-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="riskengine-")
+    return _local_dirs[app]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
