@@ -43,18 +43,23 @@ def unlabelled(df: DataFrame) -> DataFrame:
     return df.filter(F.col("is_fraud").isNull())
 
 
-def write_transactions(df: DataFrame, path: str, *, files_per_day: int = 8,
+def write_transactions(df: DataFrame, path: str, *, rows_per_file: int = 5_000_000,
                        time_sorted: bool = True) -> None:
     """Drop-and-reload into Parquet partitioned by event date.
 
-    A day is spread over ``files_per_day`` writers by a hash of the id, so a heavy
-    day is not one task; rows are sorted by time inside each file.
+    Each day gets as many writers as its row count asks for, so a heavy day is
+    not one task; rows are sorted by time inside each file.
     """
     out = df.withColumn("event_date", event_date("event_timestamp"))
-    out = out.repartition("event_date", F.pmod(F.xxhash64("transaction_id"), F.lit(files_per_day)))
+    days = out.groupBy("event_date").agg(  # one row per day
+        F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_writers"))
+    days = days.withColumnRenamed("event_date", "_day")
+    out = (out.join(F.broadcast(days), F.col("event_date").eqNullSafe(F.col("_day")))
+           .withColumn("_writer", F.pmod(F.xxhash64("transaction_id"), F.col("_writers")))
+           .drop("_day", "_writers").repartition("event_date", "_writer"))
     if time_sorted:
         out = out.sortWithinPartitions("event_date", "event_timestamp", "transaction_id")
-    out.write.mode("overwrite").partitionBy("event_date").parquet(path)
+    out.drop("_writer").write.mode("overwrite").partitionBy("event_date").parquet(path)
 
 
 def write_sorted(df: DataFrame, path: str, by: Iterable[str] = ("event_timestamp", "transaction_id")) -> None:

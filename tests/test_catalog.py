@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from check_queries import connect, difference
 
-SLOW = {"stage_comparison", "two_stage_report", "gbt_scores", "stream_scores", "batch_score", "anomaly_importance"}
+SLOW = {"stage_comparison", "two_stage_report", "gbt_scores", "stream_scores", "batch_score", "anomaly_importance",
+        "anomaly_top_precision", "feature_importance", "stream_parity_differences"}
 SQL = entry.oracle_sql()
 
 

@@ -174,3 +174,19 @@ def test_rings(spark):
     df = spark.createDataFrame(rows, TXN)
     assert [(r["device_id"], r["n_payers"]) for r in detect.shared_devices(df, 3).collect()] == [("d1", 4)]
     assert {r["payer_id"] for r in detect.ring_members(df, 3).collect()} == set("abcd")
+
+
+def test_heavy_day_gets_more_writers(spark, tmp_path):
+    t = datetime(2025, 1, 1)
+    rows = [(f"t{i}", t + timedelta(minutes=i % 60), "p", "d", "m", 1.0, 0, t) for i in range(200)]
+    rows += [("u", t + timedelta(days=1), "p", "d", "m", 1.0, 0, t)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # would merge such small writers
+    try:
+        tables.write_transactions(spark.createDataFrame(rows, TXN), str(tmp_path / "t"), rows_per_file=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    day = tmp_path / "t" / "event_date=2025-01-01"
+    assert len(list(day.glob("*.parquet"))) > 1
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == 201
+    assert all(r["success"] for r in quality.file_order(back.filter("event_date = '2025-01-01'"), "event_timestamp").collect())
