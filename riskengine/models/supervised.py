@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from riskengine.models.preparation import (Encoder, align_features, class_weight, fit_encoder, load_json,
                                            model_columns, save_json, split_by_type)
 
-# The reference hyper-parameters under their Spark names.
+# Hyper-parameters existing models were trained with, under their Spark names.
 PARAMS = {"maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
           "maxIter": 300, "seed": 42}
 ABSENT = -999.0  # Spark trees have no missing branch: sentinel plus a flag column
