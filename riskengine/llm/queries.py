@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.llm import chat, licenses
+from riskengine.llm import chat, licenses, ngram_join
 from riskengine.session import materialise as stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,23 @@ FROM d LEFT JOIN k USING (row) GROUP BY row, doc_id
 
 
 SQL["op8_license_scan"] = license_sql()
+
+
+@query
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op10_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+g AS (SELECT row, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(len(w) - 4), i -> array_to_string(w[i + 1 : i + 5], ' ')) END) AS s FROM d),
+u AS (SELECT row, len(s) AS n, unnest(s) AS t FROM g),
+c AS (SELECT a.row AS a, b.row AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k
+    FROM u a JOIN u b ON a.t = b.t AND a.row <> b.row GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * k >= 75 * (n + m - k)),
+r AS (SELECT row AS a, row AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT g.doc_id, len(s)::BIGINT AS n_shingles, min(h.doc_id) AS component_id
+FROM g JOIN r ON g.row = r.a JOIN g h ON h.row = r.b GROUP BY g.row, g.doc_id, s
+"""
