@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.llm import chat, licenses, ngram_join
+from riskengine.llm import chat, licenses, ngram_join, pii
 from riskengine.session import materialise as stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ r AS (SELECT row AS a, row AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON l.
 SELECT g.doc_id, len(s)::BIGINT AS n_shingles, min(h.doc_id) AS component_id
 FROM g JOIN r ON g.row = r.a JOIN g h ON h.row = r.b GROUP BY g.row, g.doc_id, s
 """
+
+
+@query
+def op2_pii_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(pii.spans(docs, keep=("doc_id",)))
