@@ -35,6 +35,7 @@ from riskengine.session import materialise
 SIMILARITY = (3, 4)   # as a fraction, so that comparisons are exact
 SKETCH_BITS = 20      # counters of the sketch: 4 MB a task, 1 MB of classes sent to the tasks
 CHUNKS = 64
+FILTER_BITS = 24      # bits of the filter on texts: 2 MB sent to the tasks
 LONGEST = 6           # largest k considered
 
 
@@ -49,14 +50,14 @@ def sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
                 np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         if total.any():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array(
-                [c.tobytes() for c in np.split(total, CHUNKS)], pa.binary())})
+                [c.astype(np.uint32).tobytes() for c in np.split(total, CHUNKS)], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                c = np.frombuffer(raw.as_buffer(), np.int64)
-                total[chunk] = total[chunk] + c if chunk in total else c.copy()
+                c = np.frombuffer(raw.as_buffer(), np.uint32)
+                total[chunk] = total.get(chunk, 0) + c.astype(np.int64)
         for chunk, c in total.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary())})
 
@@ -152,31 +153,46 @@ def graph(df: DataFrame, text: str = "text", similarity: tuple[int, int] = SIMIL
     nodes = materialise(nodes.join(met, "sig").withColumn(
         "central", F.col("met") / (F.col("n") - F.ceil(F.col("n") * similarity[0] / similarity[1]) + F.col("k"))), "ngram-classes")
 
+    # one text of each class that shares a prefix shingle with another; a bitmap of their hashes keeps
+    # most other texts from being hashed and dealt out, a join makes the choice exact
+    slot = F.expr(f"(text_hash & {(1 << FILTER_BITS) - 1}) + 1")
+    bits_set = {r.b: r.m for r in nodes.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()}  # at most 2^FILTER_BITS bits
+    wanted_bits = spark.sparkContext.broadcast(bits_set)
+
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for b, m in wanted_bits.value.items():  # buckets of 2^15 bits, numbered from 1
+            bitmap[(b - 1) << 15:b << 15] = np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")
+        seen: set[int] = set()
         for batch in batches:
-            found = list(shingles.sets(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([shingles.signature(s) for s in found], pa.int64()),
-                                              pa.array([s.tobytes() for s in found], pa.binary())], names=["sig", "blob"])
-    # one text of each class that shares a prefix shingle with another
-    needed = (named.select("_text_hash", "_text").join(nodes.select(F.col("text_hash").alias("_text_hash")), "_text_hash", "left_semi")
-              .dropDuplicates(["_text_hash"]).select("_text"))
-    bodies = materialise(needed.mapInArrow(blobs, "sig long, blob binary"), "ngram-sets")
-
-    info = posts.join(nodes.select("sig", "n", "k", "central"), "sig")
+            hashes = batch.column(0).to_numpy(zero_copy_only=False)
+            keep = bitmap[hashes & ((1 << FILTER_BITS) - 1)]
+            for i in np.flatnonzero(keep):
+                keep[i] = hashes[i] not in seen
+                seen.add(hashes[i])
+            chosen = batch.filter(pa.array(keep))
+            for piece in shingles.pieces(chosen.column(1)) if len(chosen) else ():
+                found = list(shingles.sets(piece))
+                yield pa.RecordBatch.from_arrays([pa.array([shingles.signature(s) for s in found], pa.int64()),
+                                                  pa.array([s.tobytes() for s in found], pa.binary())], names=["sig", "blob"])
+    bodies = materialise(named.select("_text_hash", "_text").mapInArrow(blobs, "sig long, blob binary").join(
+        nodes.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "ngram-sets")
+
+    info = materialise(posts.join(nodes.select("sig", "n", "k", "central"), "sig"), "ngram-postings")
     hubs = info.groupBy("key").agg(F.max(F.struct("central", -F.col("n"), "sig")).alias("hub")).select(
-        "key", F.col("hub.sig").alias("a"))
+        "key", F.col("hub.sig").alias("a"), (-F.col("hub.col2")).alias("n_a"))
     size = {r: F.col(f"n_{r}") for r in "ab"}
     near = (F.least(*size.values()) * similarity[1] >= F.greatest(*size.values()) * similarity[0])
-    sizes = nodes.select("sig", "n")
-    star = (posts.withColumnRenamed("sig", "b").join(hubs, "key").where("a <> b").select("a", "b").distinct())
-    star = (star.join(sizes.withColumnsRenamed({"sig": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"sig": "b", "n": "n_b"}), "b")
-            .where(near).select("a", "b"))
+    # each class is tried with the hub it meets most often; what that misses is left to the second pass
+    star = (info.select("key", F.col("sig").alias("b"), F.col("n").alias("n_b")).join(hubs, "key").where((F.col("a") != F.col("b")) & near)
+            .groupBy("b", "a").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
     first = materialise(verified(star, bodies, similarity), "ngram-links")
 
-    part = components.connected(first, posts.select("sig").distinct())
-    placed = materialise(info.join(part.withColumnsRenamed({"node": "sig", "component": "part"}), "sig"), "ngram-placed")
+    part = components.connected(first, info.select("sig").distinct())
+    placed = info.drop("central").join(part.withColumnsRenamed({"node": "sig", "component": "part"}), "sig")
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    open_posts = placed.join(mixed, "key", "left_semi")
+    open_posts = materialise(placed.join(mixed, "key", "left_semi"), "ngram-open")
     main = (open_posts.groupBy("key", "part").count().groupBy("key").agg(F.max(F.struct("count", "part")).alias("m"))
             .select("key", F.col("m.part").alias("main")))
     sides = {r: open_posts.select("key", *[F.col(c).alias(f"{c}_{r}") for c in ("sig", "n", "k", "part")]) for r in "ab"}
