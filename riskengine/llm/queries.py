@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.llm import chat, licenses, ngram_join, pii
+from riskengine.llm import chat, licenses, ngram_join, pii, token_files
 from riskengine.session import materialise as stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ FROM g JOIN r ON g.row = r.a JOIN g h ON h.row = r.b GROUP BY g.row, g.doc_id, s
 def op2_pii_spans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.report(pii.spans(docs, keep=("doc_id",)))
+
+
+@query
+def op5_token_files(spark, sf_dir):
+    return token_files.write_and_read(table(spark, sf_dir, "documents").select("doc_id", "text"))
