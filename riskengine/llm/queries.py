@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.llm import chat, licenses, ngram_join, pii, token_files
+from riskengine.llm import chat, contamination, licenses, ngram_join, pii, token_files
 from riskengine.session import materialise as stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,25 @@ def op2_pii_spans(spark, sf_dir):
 @query
 def op5_token_files(spark, sf_dir):
     return token_files.write_and_read(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_benchmark_containment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.contained(docs, table(spark, sf_dir, "benchmark")).drop("_key")
+
+
+SQL["op9_benchmark_containment"] = r"""
+WITH a AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM benchmark),
+s AS (SELECT item, item_id, least(5, len(w)) AS width, list_distinct(list_transform(range(len(w) - least(5, len(w)) + 1),
+  i -> array_to_string(w[i + 1 : i + least(5, len(w))], ' '))) AS g FROM b WHERE len(w) > 0 AND item_id IS NOT NULL),
+q AS (SELECT item, item_id, width, len(g) AS n_item, unnest(g) AS gram FROM s),
+k AS (SELECT DISTINCT width FROM s),
+p AS (SELECT row, doc_id, width, unnest(list_distinct(list_transform(range(len(w) - width + 1), i -> array_to_string(w[i + 1 : i + width], ' ')))) AS gram
+  FROM a, k WHERE len(w) >= width)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM p JOIN q USING (gram, width) GROUP BY row, doc_id, item, item_id, n_item HAVING count(*) * 4 >= n_item * 3
+"""
