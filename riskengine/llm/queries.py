@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.llm import chat, contamination, licenses, ngram_join, pii, token_files
+from riskengine.llm import chat, contamination, licenses, ngram_join, pii, token_files, toxicity
 from riskengine.session import materialise as stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ p AS (SELECT row, doc_id, width, unnest(list_distinct(list_transform(range(len(w
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
 FROM p JOIN q USING (gram, width) GROUP BY row, doc_id, item, item_id, n_item HAVING count(*) * 4 >= n_item * 3
 """
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels")).drop("segments")

@@ -18,8 +18,8 @@ BLOCK = 1 << 20  # bytes hashed at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD = np.ones(256, dtype=bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -70,28 +70,33 @@ def pieces(column: pa.Array, most: int = 8 * BLOCK) -> Iterator[pa.Array]:
         i = j
 
 
+def word_places(part: pa.Array, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first word of each text and the end) of the runs of bytes marked in ``word``."""
+    offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
+    raw = part.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    cuts = offsets - offsets[0]
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = word[data]
+    opens, closes = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    # texts meet without a space: a word ends and another starts at the cut
+    inner = cuts[1:-1]
+    split = inner[inside[inner] & inside[inner + 1]]
+    opens[split] = True
+    closes[split] = True
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
+    return data, starts, ends, np.searchsorted(starts, cuts, side="left")
+
+
 def sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; NULL is the empty text."""
     for part in pieces(column.fill_null("")):
-        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
-        raw = part.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-        cuts = offsets - offsets[0]
-        inside = np.zeros(len(data) + 2, dtype=bool)
-        inside[1:-1] = ~_SPACE[data]
-        opens, closes = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
-        # texts meet without a space: a word ends and another starts at the cut
-        inner = cuts[1:-1]
-        split = inner[inside[inner] & inside[inner + 1]]
-        opens[split] = True
-        closes[split] = True
-        starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
+        data, starts, ends, at = word_places(part)
         words = word_hashes(data, starts, ends)
         grams = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
         for k in range(WORDS):
             grams = grams * _STEP + words[k:k + len(grams)]
         grams = mix(grams)
-        at = np.searchsorted(starts, cuts, side="left")
         for a, b in zip(at[:-1], at[1:]):
             if b - a >= WORDS:
                 yield distinct(grams[a:b - WORDS + 1])
