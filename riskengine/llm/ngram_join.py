@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskengine.llm import components, shingles
 from riskengine.llm.text import whole
@@ -153,41 +153,18 @@ def graph(df: DataFrame, text: str = "text", similarity: tuple[int, int] = SIMIL
     nodes = materialise(nodes.join(met, "sig").withColumn(
         "central", F.col("met") / (F.col("n") - F.ceil(F.col("n") * similarity[0] / similarity[1]) + F.col("k"))), "ngram-classes")
 
-    # one text of each class that shares a prefix shingle with another; a bitmap of their hashes keeps
-    # most other texts from being hashed and dealt out, a join makes the choice exact
-    slot = F.expr(f"(text_hash & {(1 << FILTER_BITS) - 1}) + 1")
-    bits_set = {r.b: r.m for r in nodes.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()}  # at most 2^FILTER_BITS bits
-    wanted_bits = spark.sparkContext.broadcast(bits_set)
-
-    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for b, m in wanted_bits.value.items():  # buckets of 2^15 bits, numbered from 1
-            bitmap[(b - 1) << 15:b << 15] = np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")
-        seen: set[int] = set()
-        for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False)
-            keep = bitmap[hashes & ((1 << FILTER_BITS) - 1)]
-            for i in np.flatnonzero(keep):
-                keep[i] = hashes[i] not in seen
-                seen.add(hashes[i])
-            chosen = batch.filter(pa.array(keep))
-            for piece in shingles.pieces(chosen.column(1)) if len(chosen) else ():
-                found = list(shingles.sets(piece))
-                yield pa.RecordBatch.from_arrays([pa.array([shingles.signature(s) for s in found], pa.int64()),
-                                                  pa.array([s.tobytes() for s in found], pa.binary())], names=["sig", "blob"])
-    bodies = materialise(named.select("_text_hash", "_text").mapInArrow(blobs, "sig long, blob binary").join(
-        nodes.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "ngram-sets")
-
     info = materialise(posts.join(nodes.select("sig", "n", "k", "central"), "sig"), "ngram-postings")
-    hubs = info.groupBy("key").agg(F.max(F.struct("central", -F.col("n"), "sig")).alias("hub")).select(
-        "key", F.col("hub.sig").alias("a"), (-F.col("hub.col2")).alias("n_a"))
+    hubs = info.groupBy("key").agg(F.max(F.struct("central", -F.col("n"), "sig", "k")).alias("hub")).select(
+        "key", F.col("hub.sig").alias("a"), (-F.col("hub.col2")).alias("n_a"), F.col("hub.k").alias("k_a"))
     size = {r: F.col(f"n_{r}") for r in "ab"}
     near = (F.least(*size.values()) * similarity[1] >= F.greatest(*size.values()) * similarity[0])
+    enough = least_meetings(similarity)
     # each class is tried with the hub it meets most often; what that misses is left to the second pass
-    star = (info.select("key", F.col("sig").alias("b"), F.col("n").alias("n_b")).join(hubs, "key").where((F.col("a") != F.col("b")) & near)
-            .groupBy("b", "a").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
-    first = materialise(verified(star, bodies, similarity), "ngram-links")
+    star = (info.select("key", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b")).join(hubs, "key")
+            .where((F.col("a") != F.col("b")) & near).groupBy("b", "a").agg(
+                F.count("*").alias("met"), *[F.min(c).alias(c) for c in ("n_a", "n_b", "k_a", "k_b")])
+            .where(F.col("met") * 2 >= enough).groupBy("b").agg(F.max(F.struct("met", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
+    first = materialise(verified(star, nodes, named, similarity), "ngram-links")
 
     part = components.connected(first, info.select("sig").distinct())
     placed = info.drop("central").join(part.withColumnsRenamed({"node": "sig", "component": "part"}), "sig")
@@ -199,10 +176,13 @@ def graph(df: DataFrame, text: str = "text", similarity: tuple[int, int] = SIMIL
     small = sides["a"].join(main, "key").where("part_a <> main")
     pairs = small.join(sides["b"], "key").where(
         (F.col("part_a") != F.col("part_b")) & near & ((F.col("part_b") == F.col("main")) | (F.col("sig_a") < F.col("sig_b"))))
-    wanted = (pairs.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b"),
-                           F.least("k_a", "k_b").alias("k"))
-              .groupBy("a", "b").agg(F.count("*").alias("met"), F.min("k").alias("k")).where("met >= k").select("a", "b"))
-    second = materialise(verified(wanted, bodies, similarity), "ngram-links")
+    # the pair (a, b) of a key with its smaller sig first
+    flip = F.col("sig_a") > F.col("sig_b")
+    ordered = pairs.select(*[F.when(flip, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}")
+                             for c in ("sig", "n", "k") for x, y in ("ab", "ba")])
+    wanted = (ordered.groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(
+        F.count("*").alias("met"), *[F.min(c).alias(c) for c in ("n_a", "n_b", "k_a", "k_b")]).where(F.col("met") >= enough).select("a", "b"))
+    second = materialise(verified(wanted, nodes, named, similarity), "ngram-links")
     return docs, first.unionByName(second)
 
 
@@ -234,8 +214,52 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(key[send], sig[send])
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def least_meetings(similarity: tuple[int, int]) -> Column:
+    """How many prefix shingles a pair (n_a, k_a, n_b, k_b) has to share to be similar enough.
+
+    Let x be the set whose prefix ends first. All that both share up to there has been met; of
+    the rest, x holds ceil(t n_x) - k_x. With the o shared shingles that the pair needs, it has to
+    meet o - ceil(t n_x) + k_x. Never less than min(k_a, k_b), and far more for sets of like size.
+    """
+    p, q = similarity
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * p / (p + q))
+    return F.least(*[need - F.ceil(F.col(f"n_{x}") * p / q) + F.col(f"k_{x}") for x in "ab"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Only texts of the pairs are needed, one of each class. A bitmap of their hashes keeps most
+    other texts from being hashed and dealt out; a join makes the choice exact.
+    """
+    pairs = materialise(pairs, "ngram-pairs")
+    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    chosen = materialise(nodes.join(ends, "sig").select("sig", "text_hash"), "ngram-chosen")
+    mask = (1 << FILTER_BITS) - 1
+    slot = F.expr(f"(text_hash & {mask}) + 1")
+    held = {r.b: r.m for r in chosen.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()}  # at most 2^FILTER_BITS bits
+    shared = pairs.sparkSession.sparkContext.broadcast(held)
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for b, m in shared.value.items():  # buckets of 2^15 bits, numbered from 1
+            bitmap[(b - 1) << 15:b << 15] = np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")
+        seen: set[int] = set()
+        for batch in batches:
+            hashes = batch.column(0).to_numpy(zero_copy_only=False)
+            keep = bitmap[hashes & mask]
+            for i in np.flatnonzero(keep):
+                keep[i] = hashes[i] not in seen
+                seen.add(int(hashes[i]))
+            some = batch.filter(pa.array(keep))
+            for piece in shingles.pieces(some.column(1)) if len(some) else ():
+                found = list(shingles.sets(piece))
+                yield pa.RecordBatch.from_arrays([pa.array([shingles.signature(s) for s in found], pa.int64()),
+                                                  pa.array([s.tobytes() for s in found], pa.binary())], names=["sig", "blob"])
+    bodies = texts.select("_text_hash", "_text").mapInArrow(blobs, "sig long, blob binary").join(
+        chosen.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    bodies = materialise(bodies, "ngram-sets")
     one = {r: bodies.select(F.col("sig").alias(r), F.col("blob").alias(f"blob_{r}")) for r in "ab"}
     both = pairs.join(one["a"], "a").join(one["b"], "b").select("a", "b", "blob_a", "blob_b")
 

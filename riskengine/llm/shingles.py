@@ -121,5 +121,5 @@ def signature(s: np.ndarray) -> int:
     """One signed 64-bit name for a set (0 for the empty one)."""
     if not len(s):
         return 0
-    x = mix(np.array([np.sum(mix(s), dtype=np.uint64) + np.uint64(len(s)) * _BASE], np.uint64))
+    x = mix(np.array([np.sum(mix(s), dtype=np.uint64)]) + np.array([len(s)], np.uint64) * _BASE)
     return int(x.view(np.int64)[0])
