@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.llm import chat, contamination, licenses, ngram_join, pii, token_files, toxicity
+from riskengine.llm import chat, contamination, licenses, mixing, ngram_join, pii, token_files, toxicity, weighted_sampling
+from riskengine.llm.mixing import Target
 from riskengine.session import materialise as stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +139,30 @@ FROM p JOIN q USING (gram, width) GROUP BY row, doc_id, item, item_id, n_item HA
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, table(spark, sf_dir, "labels")).drop("segments")
+
+
+@query
+def op3_weighted_fingerprint(spark, sf_dir):
+    return weighted_sampling.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_temperature_mix(spark, sf_dir):
+    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("_h")
+
+
+SQL["op4_temperature_mix"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, '') AS name,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n FROM documents),
+s AS (SELECT name, sum(n)::BIGINT AS total, sum(n) / sum(sum(n)) OVER () AS p FROM d GROUP BY name),
+m AS (SELECT max(p) AS top, min(p) AS low, max(total) AS largest FROM s),
+e AS (SELECT *, CASE WHEN low = top THEN 0 ELSE greatest(0, ceil({mixing.STEPS} * (1 - ln({Target().repeat}) / ln(top / low)))) / {mixing.STEPS} END AS a FROM m),
+z AS (SELECT any_value(a) AS a, sum(p ** a) AS z, any_value(largest) * sum(p ** a) / any_value(top) ** any_value(a) AS budget FROM s, e),
+t AS (SELECT name, total, round(p ** a / z * budget)::BIGINT AS quota, greatest(1, ceil(round(budget) / {mixing.BLOCK_TOKENS})) AS blocks FROM s, z),
+u AS (SELECT d.*, total, quota, blocks, unnest(range(greatest(1, ceil(quota / total))::BIGINT)) AS epoch FROM d JOIN t USING (name) WHERE quota > 0),
+v AS (SELECT *, ('0x' || substr(md5({mixing.SEED} || ':' || epoch || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u,
+    ('0x' || substr(md5({mixing.SEED + 1} || ':' || epoch || ':' || name || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS v FROM u),
+w AS (SELECT *, epoch * total + coalesce(sum(n) OVER (PARTITION BY name, epoch ORDER BY u, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM v),
+x AS (SELECT *, floor(at / quota * blocks)::BIGINT AS block FROM w WHERE at < quota)
+SELECT doc_id, source, epoch, block, row_number() OVER (PARTITION BY block ORDER BY v, doc_id, epoch, n) AS slot, n AS n_tokens FROM x
+"""
