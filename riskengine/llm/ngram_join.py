@@ -131,9 +131,9 @@ def graph(df: DataFrame, text: str = "text", similarity: tuple[int, int] = SIMIL
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, others = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        for piece in (p for batch in batches for p in shingles.pieces(batch.column(0))):
             keys, sigs = [], []
-            for s in shingles.sets(batch.column(0)):
+            for s in shingles.sets(piece):
                 sig = shingles.signature(s)
                 if sig and sig not in seen:  # a class posts once a task
                     seen.add(sig)
@@ -242,13 +242,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: t
     shared = pairs.sparkSession.sparkContext.broadcast(held)
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(1 << FILTER_BITS, dtype=bool)
+        bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for b, m in shared.value.items():  # buckets of 2^15 bits, numbered from 1
-            bitmap[(b - 1) << 15:b << 15] = np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")
+            bitmap[(b - 1) << 12:b << 12] = np.frombuffer(m, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             hashes = batch.column(0).to_numpy(zero_copy_only=False)
-            keep = bitmap[hashes & mask]
+            keep = (bitmap[(hashes & mask) >> 3] >> (hashes & 7).astype(np.uint8) & 1).astype(bool)
             for i in np.flatnonzero(keep):
                 keep[i] = hashes[i] not in seen
                 seen.add(int(hashes[i]))

@@ -59,7 +59,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def pieces(column: pa.Array, most: int = 8 * BLOCK) -> Iterator[pa.Array]:
+def pieces(column: pa.Array, most: int = 2 * BLOCK) -> Iterator[pa.Array]:
     """Slices of a text column of bounded bytes (at least one text each)."""
     column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
