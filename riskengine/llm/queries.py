@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.llm import chat, contamination, licenses, mixing, ngram_join, pii, token_files, toxicity, weighted_sampling
+from riskengine.llm import chat, contamination, html_text, licenses, mixing, ngram_join, pii, token_files, toxicity, weighted_sampling
 from riskengine.llm.mixing import Target
 from riskengine.session import materialise as stored
 
@@ -166,3 +166,18 @@ w AS (SELECT *, epoch * total + coalesce(sum(n) OVER (PARTITION BY name, epoch O
 x AS (SELECT *, floor(at / quota * blocks)::BIGINT AS block FROM w WHERE at < quota)
 SELECT doc_id, source, epoch, block, row_number() OVER (PARTITION BY block ORDER BY v, doc_id, epoch, n) AS slot, n AS n_tokens FROM x
 """
+
+
+@query
+def op1_host_suffix_array(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+SQL["op1_host_suffix_array"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, row_number() OVER () AS row, regexp_split_to_array(regexp_replace(h, '</?b>', '', 'g'), '</?(?:p|h1)>') AS parts FROM a),
+c AS (SELECT row, page_id, url, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM b),
+d AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(part, '<br>', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM c)
+SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '') AS text,
+  length(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), ''))::BIGINT AS n_chars FROM d GROUP BY row, page_id, url
+"""
