@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskengine.llm import components, shingles
-from riskengine.llm.text import whole
+from riskengine.llm.text import key_of, maybe_in, whole, without
 from riskengine.session import materialise
 
 SIMILARITY = (3, 4)   # as a fraction, so that comparisons are exact
@@ -288,3 +288,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return placed.join(names, "_part", "left").select(
         F.col("_key").alias(key), "n_shingles",
         F.when(F.col("_sig") == 0, F.col("_key")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest key.
+
+    Rows without words stay. Of a repeated row one stays. Decisions travel as content
+    numbers past a fixed-size bitmap, so the texts of most documents are not dealt out.
+    """
+    number = key_of(key, text)
+    docs, links = graph(df.select(F.col(key).alias("_id"), number.alias("_c"), F.col(text).alias("_text_in")), "_text_in")
+    part = components.connected(links, None).select(F.col("node").alias("_sig"), "component")
+    placed = docs.where("_sig <> 0").join(part, "_sig", "left").select("_c", F.coalesce("component", "_sig").alias("part"), F.struct(
+        F.col("_id").isNull().alias("unnamed"), F.col("_id"), F.col("_c")).alias("rank"))
+    placed = materialise(placed, "ngram-parts")
+    first = placed.groupBy("part").agg(F.min("rank").alias("best")).select("part", F.col("best._c").alias("stays"))
+    decided = placed.join(first, "part")
+    gone = materialise(decided.where("_c <> stays").select("_c").distinct(), "ngram-gone")
+    many = materialise(decided.where("_c = stays").groupBy("_c").count().where("count > 1").select("_c"), "ngram-repeated")
+    rest = without(df, key, text, gone)
+    flagged = maybe_in(rest.withColumn("_key", number), "_key", many)
+    again = flagged.where("_may").join(many.withColumnRenamed("_c", "_key").withColumn("_many", F.lit(True)), "_key", "left")
+    unique = again.where("_many is null").select(*df.columns).unionByName(
+        again.where("_many").dropDuplicates(["_key"]).select(*df.columns))
+    return flagged.where("not _may").select(*df.columns).unionByName(unique)

@@ -89,16 +89,16 @@ def op10_ngram_join(spark, sf_dir):
 
 SQL["op10_ngram_join"] = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT row, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(len(w) - 4), i -> array_to_string(w[i + 1 : i + 5], ' ')) END) AS s FROM d),
+    ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS s FROM d),
 u AS (SELECT row, len(s) AS n, unnest(s) AS t FROM g),
 c AS (SELECT a.row AS a, b.row AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k
     FROM u a JOIN u b ON a.t = b.t AND a.row <> b.row GROUP BY ALL),
 l AS (SELECT a, b FROM c WHERE 100 * k >= 75 * (n + m - k)),
 r AS (SELECT row AS a, row AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-SELECT g.doc_id, len(s)::BIGINT AS n_shingles, min(h.doc_id) AS component_id
-FROM g JOIN r ON g.row = r.a JOIN g h ON h.row = r.b GROUP BY g.row, g.doc_id, s
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, min(h.doc_id) AS component_id
+FROM g JOIN r ON g.row = r.a JOIN g h ON h.row = r.b GROUP BY g.row, g.doc_id, g.s
 """
 
 
@@ -120,15 +120,15 @@ def op9_benchmark_containment(spark, sf_dir):
 
 
 SQL["op9_benchmark_containment"] = r"""
-WITH a AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+WITH a AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
-b AS (SELECT row_number() OVER () AS item, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+b AS (SELECT row_number() OVER () AS item, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM benchmark),
 s AS (SELECT item, item_id, least(5, len(w)) AS width, list_distinct(list_transform(range(len(w) - least(5, len(w)) + 1),
-  i -> array_to_string(w[i + 1 : i + least(5, len(w))], ' '))) AS g FROM b WHERE len(w) > 0 AND item_id IS NOT NULL),
+  lambda i: array_to_string(w[i + 1 : i + least(5, len(w))], ' '))) AS g FROM b WHERE len(w) > 0 AND item_id IS NOT NULL),
 q AS (SELECT item, item_id, width, len(g) AS n_item, unnest(g) AS gram FROM s),
 k AS (SELECT DISTINCT width FROM s),
-p AS (SELECT row, doc_id, width, unnest(list_distinct(list_transform(range(len(w) - width + 1), i -> array_to_string(w[i + 1 : i + width], ' ')))) AS gram
+p AS (SELECT row, doc_id, width, unnest(list_distinct(list_transform(range(len(w) - width + 1), lambda i: array_to_string(w[i + 1 : i + width], ' ')))) AS gram
   FROM a, k WHERE len(w) >= width)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
 FROM p JOIN q USING (gram, width) GROUP BY row, doc_id, item, item_id, n_item HAVING count(*) * 4 >= n_item * 3
@@ -162,8 +162,8 @@ t AS (SELECT name, total, round(p ** a / z * budget)::BIGINT AS quota, greatest(
 u AS (SELECT d.*, total, quota, blocks, unnest(range(greatest(1, ceil(quota / total))::BIGINT)) AS epoch FROM d JOIN t USING (name) WHERE quota > 0),
 v AS (SELECT *, ('0x' || substr(md5({mixing.SEED} || ':' || epoch || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u,
     ('0x' || substr(md5({mixing.SEED + 1} || ':' || epoch || ':' || name || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS v FROM u),
-w AS (SELECT *, epoch * total + coalesce(sum(n) OVER (PARTITION BY name, epoch ORDER BY u, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM v),
-x AS (SELECT *, floor(at / quota * blocks)::BIGINT AS block FROM w WHERE at < quota)
+w AS (SELECT *, epoch * total + coalesce(sum(n) OVER (PARTITION BY name, epoch ORDER BY u, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM v),
+x AS (SELECT *, floor(pos / quota * blocks)::BIGINT AS block FROM w WHERE pos < quota)
 SELECT doc_id, source, epoch, block, row_number() OVER (PARTITION BY block ORDER BY v, doc_id, epoch, n) AS slot, n AS n_tokens FROM x
 """
 
