@@ -29,7 +29,8 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
         if v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA:
             return "NULL"
         if isinstance(v, float) or type(v).__name__.startswith("float"):
-            return repr(float(v) + 0.0)
+            v = float(v) + 0.0  # pandas may give nullable integers as floats
+            return str(int(v)) if v.is_integer() else repr(v)
         return str(v)
     return sorted(tuple(cell(v) for v in row) for row in df.astype(object).itertuples(index=False, name=None))
 
