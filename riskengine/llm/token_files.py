@@ -7,8 +7,8 @@ Spark commits files and repeats lost tasks. Blocks in the order (part, block) ho
 documents in the order of the key. Memory holds one block, whatever a task holds.
 
 A cut before a single space between two other characters that are not white space is
-always a boundary of the tokenizer's own pieces, so words are encoded once for each
-Arrow batch and gathered; texts with other white space around spaces are encoded whole.
+always a boundary of the tokenizer's own pieces, so distinct words are encoded once
+and gathered; texts with other white space around spaces are encoded whole.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ from riskengine.session import shared_dir
 TOKENIZER = "byte_bpe_50k.json"
 END = 2                    # id after each document
 BLOCK_IDS = 1_000_000
+PIECE = 8 << 20            # bytes of text split at a time
+CACHED_WORDS = 400_000     # some 60 MB a worker
+GROUP = 20_000             # words encoded at a time
 OTHER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 ODD = f"^ | $|{OTHER_SPACE} | {OTHER_SPACE}"
 SCHEMA = "part int, block int, keys array<bigint>, sizes array<bigint>, payload binary"
@@ -56,19 +59,55 @@ def encode_whole(t, texts: list[str]) -> list[np.ndarray]:
 
 def encode(column: pa.Array, name: str = TOKENIZER) -> Iterator[np.ndarray]:
     """The ids of each text (without an end id); NULL is the empty text."""
-    t, opens = tokenizer(name)
-    for part in shingles.pieces(column.fill_null("")):
+    t, _ = tokenizer(name)
+    for part in shingles.pieces(column.fill_null(""), PIECE):
         odd = pc.match_substring_regex(part, ODD).to_numpy(zero_copy_only=False)
         empty = pc.equal(part, "").to_numpy(zero_copy_only=False)
         plain = part.filter(pa.array(~odd & ~empty))
         apart = iter(encode_whole(t, part.filter(pa.array(odd)).to_pylist()))
-        words = iter(encode_words(t, opens, plain) if len(plain) else ())
+        words = iter(encode_words(name, plain) if len(plain) else ())
         for o, e in zip(odd, empty):
             yield np.zeros(0, np.uint32) if e else next(apart) if o else next(words)
 
 
-def encode_words(t, opens: np.ndarray, texts: pa.Array) -> Iterator[np.ndarray]:
+class Words:
+    """Ids of words with a space before them, kept by a worker process for all its tasks.
+
+    The first ``CACHED_WORDS`` distinct words stay; later ones are encoded again in each piece.
+    Results do not depend on what is cached.
+    """
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.cut = np.zeros(1, np.int64)
+
+    def find(self, t, opens: np.ndarray, table: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size) for the words of ``table``."""
+        at = np.array([self.index.get(w, -1) for w in table], np.int64)
+        missing = np.flatnonzero(at < 0)
+        new = [table[i] for i in missing]
+        parts = [np.array(t.encode_batch_fast([" " + " ".join(new[i:i + GROUP])], add_special_tokens=False)[0].ids, np.uint32)
+                 for i in range(0, len(new), GROUP)]
+        more = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        cut = np.append(np.flatnonzero(opens[more]), len(more)).astype(np.int64)
+        known = len(self.cut) - 1
+        at[missing] = known + np.arange(len(new))
+        ids, ends = np.concatenate([self.ids, more]), np.concatenate([self.cut, len(self.ids) + cut[1:]])
+        if known + len(new) <= CACHED_WORDS:
+            self.index.update(zip(new, range(known, known + len(new))))
+            self.ids, self.cut = ids, ends
+        return ids, ends[at], ends[at + 1] - ends[at]
+
+
+@lru_cache(maxsize=4)
+def words_of(name: str) -> Words:
+    return Words()
+
+
+def encode_words(name: str, texts: pa.Array) -> Iterator[np.ndarray]:
     """Texts whose spaces stand single between other characters: each distinct word is encoded once."""
+    t, opens = tokenizer(name)
     lists = pc.split_pattern(texts, " ")
     at = lists.offsets.to_numpy()
     flat = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
@@ -77,11 +116,11 @@ def encode_words(t, opens: np.ndarray, texts: pa.Array) -> Iterator[np.ndarray]:
     table = flat.dictionary.to_pylist()
     first = np.unique(code[at[:-1]])  # words that open a text have no space before them
     heads = encode_whole(t, [table[i] for i in first])
-    every = np.array(t.encode_batch_fast([" " + " ".join(table)], add_special_tokens=False)[0].ids, np.uint32)
-    cut = np.append(np.flatnonzero(opens[every]), len(every))
+    every, begin, size = words_of(name).find(t, opens, table)
     ids = np.concatenate([every, *heads])
-    size = np.concatenate([np.diff(cut), [len(h) for h in heads]]).astype(np.int64)
-    begin = np.concatenate([cut[:-1], len(every) + np.cumsum([0, *(len(h) for h in heads)])[:-1]]).astype(np.int64)
+    length = np.array([len(h) for h in heads], np.int64)
+    size = np.concatenate([size, length])
+    begin = np.concatenate([begin, len(every) + np.cumsum(length) - length])
     code[at[:-1]] = len(table) + np.searchsorted(first, code[at[:-1]])
     n = size[code]
     ends = np.cumsum(n)
