@@ -10,8 +10,9 @@
    A document's evidence is the excess of its best segment over what chance gives a
    text of its length; a logistic curve turns it into a probability.
 
-Counts come from two thirds of the labelled rows that may be learnt from, calibration
-from the other third. All models are sums over all these rows, of bounded size.
+Calibration sees texts that its counts have not seen: counts come from two thirds of the
+labelled rows that may be learnt from, calibration from the other third, whose counts are
+added afterwards. All models are sums over all these rows, of bounded size.
 """
 
 from __future__ import annotations
@@ -26,16 +27,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskengine.llm import shingles
 from riskengine.llm.text import maybe_in, whole
+from riskengine.session import materialise
 
 BITS = 19                      # buckets of the hashed counts
 CHUNKS = 64
-MASSES = (8.0, 8.0, 20.0)      # prior mass of four bytes, five bytes, whole word
-DRIFT = 0.5
+MASSES = (4.0, 4.0, 10.0)      # prior mass of four bytes, five bytes, whole word
+DRIFT = 2.0
 THRESHOLD = 0.3
 STEP = 0.25                    # of binned segment scores
 BINS = 1024
 TOKEN_BIN = 1 / 16
 LOW, HIGH = -10.0, 14.0
+LENGTHS = 64                   # half octaves of text length
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -155,12 +158,9 @@ def joined(chunks: dict[int, np.ndarray], size: int) -> np.ndarray:
     return total.reshape(-1)
 
 
-LENGTHS = 64  # half octaves of text length
-
-
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Learn from the labelled rows outside the held-out quarter. Without labels every score is the prior, 0.1."""
-    rows = labelled(docs, labels, key, text)
+    rows = materialise(labelled(docs, labels, key, text), "toxicity-labelled")
     size = 1 << BITS
 
     def tokens(batches):
@@ -196,7 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     seen = summed(rows.where("_use = 1").select("_text", "_toxic"), calibration, 3)
     clean = joined(seen[0], int((HIGH - LOW) / TOKEN_BIN))
     calm, toxic = (joined(seen[i], LENGTHS * BINS).reshape(LENGTHS, BINS) for i in (1, 2))
-    return calibrated(model, clean, calm, toxic)
+    rest = summed(rows.where("_use = 1").select("_text", "_toxic"), tokens, 3)
+    more = joined(rest[2], CHUNKS)[:2]
+    every = Model(tuple((joined(learnt[i], size) + joined(rest[i], size)).astype(np.float32) for i in (0, 1)),
+                  float((hit + more[0] + 1) / (n + more[1] + 20)))
+    return calibrated(every, clean, calm, toxic)
 
 
 def length_bin(n: int) -> int:
