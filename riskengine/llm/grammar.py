@@ -21,21 +21,23 @@ LEAST = 24         # times a pair must occur in a block
 BUCKETS = 1 << 16  # of the pair counts that tell which pairs are worth a sort
 
 
-def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair as left << 32 | right, count) of pairs with at least ``least`` places, most frequent first.
+def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (left << 32 | right) with at least ``least`` places, most frequent first; and all places
+    that may hold one, with their pairs.
 
     A hashed count picks the places worth sorting; the counts of those are exact.
     """
-    pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    slot = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(16)).astype(np.intp)
     heavy = np.bincount(slot, minlength=BUCKETS) >= least
-    kept = np.sort(pair[heavy[slot]])
+    at = np.flatnonzero(heavy[slot])
+    here = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+    kept = np.sort(here)
     first = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]])) if len(kept) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate([first, [len(kept)]]))
     many = count >= least
     pairs, count = kept[first][many], count[many]
     order = np.lexsort((pairs, -count))
-    return pairs[order], count[order]
+    return pairs[order], at, here
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> bytes:
@@ -45,20 +47,19 @@ def compress(ids: np.ndarray, least: int = LEAST) -> bytes:
     rules: list[np.ndarray] = []
     total = 0
     while len(seq) > 1:
-        pairs, _ = frequent_pairs(seq, least)
+        pairs, at, here = frequent_pairs(seq, least)
         # a pair joins this round if no better pair ends where it starts or starts where it ends
         left, right = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         chosen = independent(left, right)
         if not len(chosen):
             break
         new_left, new_right = left[chosen], right[chosen]
-        # role: which ids open a chosen pair, and with which ids
-        by_pair = np.argsort((new_left.astype(np.uint64) << np.uint64(32)) | new_right)
-        table = ((new_left.astype(np.uint64) << np.uint64(32)) | new_right)[by_pair]
+        by_pair = np.argsort(pairs[chosen])
+        table = pairs[chosen][by_pair]
         opens = np.zeros(int(seq.max()) + 1, dtype=bool)
         opens[new_left] = True
-        at = np.flatnonzero(opens[seq[:-1]])
-        here = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        may = opens[seq[at]]
+        at, here = at[may], here[may]
         k = np.minimum(np.searchsorted(table, here), len(table) - 1)
         hit = table[k] == here
         at, k = at[hit], k[hit]
@@ -123,23 +124,36 @@ def unpack(block: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     return first, rules, lengths, np.frombuffer(block, kind, n, at)
 
 
-def expand(seq: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
-    seq = seq.astype(np.uint32)
-    while True:
-        new = seq >= first
-        if not new.any():
-            return seq
+def expand(seq: np.ndarray, first: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids behind the symbols: rules are written out once and gathered."""
+    new = seq >= first
+    if not new.any():
+        return seq.astype(np.uint32)
+    if int(lengths.sum(dtype=np.int64)) > 4 * int(length_of(seq, first, lengths).sum(dtype=np.int64)) + (1 << 16):
+        # rules too long to write out all of them: one level at a time
         at = np.cumsum(1 + new) - 1
         out = np.empty(int(at[-1]) + 1, np.uint32)
         out[at[~new]] = seq[~new]
         pair = rules[seq[new].astype(np.int64) - first]
         out[at[new] - 1], out[at[new]] = pair[:, 0], pair[:, 1]
-        seq = out
+        return expand(out, first, rules, lengths)
+    full: list[tuple[int, ...]] = []
+    for a, b in rules.tolist():
+        full.append((full[a - first] if a >= first else (a,)) + (full[b - first] if b >= first else (b,)))
+    flat = np.fromiter((x for f in full for x in f), np.uint32, int(lengths.sum(dtype=np.int64)))
+    ends = np.cumsum(lengths, dtype=np.int64)
+    source = np.concatenate([flat, seq[~new].astype(np.uint32)])
+    size, begin = np.ones(len(seq), np.int64), np.empty(len(seq), np.int64)
+    rule = seq[new].astype(np.int64) - first
+    size[new], begin[new] = lengths[rule], ends[rule] - lengths[rule]
+    begin[~new] = len(flat) + np.arange(len(seq) - len(rule))
+    stop = np.cumsum(size)
+    return source[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]))]
 
 
 def decompress(block: bytes) -> np.ndarray:
-    first, rules, _, seq = unpack(block)
-    return expand(seq, first, rules)
+    first, rules, lengths, seq = unpack(block)
+    return expand(seq, first, rules, lengths)
 
 
 def decode_range(block: bytes, start: int, stop: int) -> np.ndarray:
@@ -151,4 +165,4 @@ def decode_range(block: bytes, start: int, stop: int) -> np.ndarray:
     a = int(np.searchsorted(ends, start, side="right"))
     b = int(np.searchsorted(ends, stop, side="left"))
     before = int(ends[a - 1]) if a else 0
-    return expand(seq[a:b + 1], first, rules)[start - before:stop - before]
+    return expand(seq[a:b + 1], first, rules, lengths)[start - before:stop - before]
