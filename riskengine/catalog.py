@@ -231,6 +231,22 @@ def risk_tiers(spark, d):
     return df.select("transaction_id", alerts.risk_tier("fraud_probability").alias("risk_tier"))
 
 
+@query
+def unusable_scores(spark, d):
+    """Tiers, cells at a threshold and the running budget where some scores are NaN or NULL."""
+    i = F.col("transaction_id").cast("long")
+    df = txn_events(spark, d).withColumn("fraud_probability", F.when(i % 10 == 3, F.lit(float("nan"))).when(
+        i % 10 != 7, F.col("fraud_probability")))
+    tiers = df.groupBy(alerts.risk_tier("fraud_probability").alias("what")).agg(F.count("*").alias("n"))
+    cells = metrics.confusion_at_threshold(df, 0.3).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("tp", "fp", "fn", "tn")])).alias("c")).select("c.*")
+    fold = alerts.sequential_budget(df.withColumn("alert_threshold", F.lit(0.15)), "payee_vpa", budget=BUDGET).agg(
+        F.count(F.when(F.col("should_alert"), 1)).alias("n")).select(F.lit("issued").alias("what"), "n")
+    daily = alerts.daily_alerts(df, 0.95).where("alert").agg(F.count(F.when(
+        F.isnan("fraud_probability") | F.col("fraud_probability").isNull(), 1)).alias("n")).select(F.lit("unusable in daily top").alias("what"), "n")
+    return tiers.unionByName(cells).unionByName(fold).unionByName(daily)
+
+
 # -- metrics -------------------------------------------------------------------
 
 def _daily(spark, d):

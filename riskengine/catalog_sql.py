@@ -331,6 +331,16 @@ SQL: dict[str, str] = {
       SELECT transaction_id, should_alert, budget_exceeded, daily_count FROM seq""",
     "risk_tiers": f"""WITH {TXN} SELECT transaction_id, CASE WHEN score >= 0.9 THEN 'critical' WHEN score >= 0.7 THEN 'high'
       WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS risk_tier FROM txn""",
+    "unusable_scores": f"""WITH RECURSIVE {TXN}, u AS (SELECT * REPLACE (CASE WHEN event_id % 10 IN (3, 7) THEN '-inf'::DOUBLE ELSE score END AS score) FROM txn),
+      t AS (SELECT *, 0.15::DOUBLE AS alert_threshold FROM u), {_sequential('t')},
+      al AS (SELECT *, score >= 0.3 AS alert FROM u), c AS (SELECT {_CELLS} FROM al),
+      day AS (SELECT *, row_number() OVER (PARTITION BY event_date ORDER BY score DESC, us, transaction_id) AS rn,
+        count(*) OVER (PARTITION BY event_date) AS n FROM u)
+      SELECT CASE WHEN score >= 0.9 THEN 'critical' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS what,
+        count(*) AS n FROM u GROUP BY 1
+      UNION ALL SELECT unnest(['tp', 'fp', 'fn', 'tn']), unnest([tp, fp, fn, tn]) FROM c
+      UNION ALL SELECT 'issued', count(*) FILTER (should_alert) FROM seq
+      UNION ALL SELECT 'unusable in daily top', count(*) FILTER (rn <= ceil(0.95::DOUBLE * n) AND isinf(score)) FROM day""",
     "daily_metrics": f"""WITH {_daily(0.01)} SELECT event_date, num_transactions, num_alerts, tp, fp, fn, tn, total_fraud,
       total_legit, {_round('alert_rate precision recall false_alert_rate')} FROM daily""",
     "cumulative_metrics": f"""WITH {_daily(0.01)}, g AS (SELECT count(*) AS total_days,

@@ -10,21 +10,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskengine.functions.timing import SECOND, event_date, micros
 from riskengine.operators.heat import (HOT_ROWS, KeyProfile, profile_keys, row_ranks, row_running)
-from riskengine.operators.ranking import clean_score, kth_largest
+from riskengine.operators.ranking import clean_score, kth_largest, reaches
 from riskengine.session import materialise
 
 BUDGET = 0.005
 SCORE = "fraud_probability"
-# Fixed values of the online policy.
+# Fixed values of the online policy and of the tiers.
 FALLBACK_THRESHOLD = 0.95
 MIN_SCORES = 50
 RECENT_SCORES = 5000
+TIERS = {"critical": 0.9, "high": 0.7, "medium": 0.3}
 
 
 def risk_tier(score: Column | str) -> Column:
-    s = F.col(score) if isinstance(score, str) else score
-    return (F.when(s >= 0.9, "critical").when(s >= 0.7, "high")
-            .when(s >= 0.3, "medium").otherwise("low"))
+    """NULL and NaN scores are low."""
+    return F.coalesce(*[F.when(reaches(score, bound), tier) for tier, bound in TIERS.items()], F.lit("low"))
 
 
 def _dated(df: DataFrame, ts: str) -> DataFrame:
@@ -184,7 +184,7 @@ def sequential_budget(scored: DataFrame, segment: str, threshold: Column | str =
     limit = F.col(threshold) if isinstance(threshold, str) else threshold
     rows = scored.withColumns({
         "event_date": event_date(ts), "_us": micros(ts), "_id": F.col(id_col).cast("string"),
-        "_cand": F.coalesce((F.col(score) >= limit).cast("long"), F.lit(0))})
+        "_cand": reaches(score, limit).cast("long")})
     if slice_us is None:
         heavy = (rows.groupBy(segment, "event_date").agg(F.count(F.lit(1)).alias("n"))
                  .agg(F.max("n")).first()[0] or 0)

@@ -10,10 +10,10 @@ time T. Each fact is active on an interval (start, end] of microseconds:
 
 so the feature is (starts before T) - (ends before T): a running sum over a
 merged event stream, linear after the sort, with no self join and no set per
-row. Rows with equal times never see each other.
-
-Velocity of keys with a proven small size uses plain RANGE frames, which need
-no merged stream.
+row. Rows with equal times never see each other. All keys, light or hot, take the
+same arithmetic: money is summed as whole units and billionths (rounded there), so
+sums are exact in any order. An amount that is NaN, infinite or beyond 2^53 counts
+as NULL: the row is counted and adds nothing.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskengine.functions.timing import DAY, HOUR, SECOND, micros
-from riskengine.operators.heat import (HOT_ROWS, KeyProfile, by_heat, next_time, nth_later,
-                                       prefix_sums, profile_keys)
+from riskengine.operators.heat import KeyProfile, by_heat, next_time, nth_later, prefix_sums, profile_keys
 from riskengine.session import materialise
 
 PAYER_WINDOWS = {"5min": 300, "1h": 3600, "24h": 86400}
 DEVICE_WINDOWS = {"1h": 3600, "24h": 86400}
 LAST_ROWS = 1000
 RISK_DAYS = 30
-FRACTION = 10**9  # sums of hot keys add whole units and billionths as integers: exact, any order
+FRACTION = 10**9          # money is summed in whole units and billionths
+LARGEST = float(1 << 53)  # amounts beyond it have no exact unit
 
 
 @dataclass(frozen=True)
@@ -127,47 +127,38 @@ class EntityFeatures:
     def outputs(self):
         return self.longs + [n for n, _ in self.sums]
 
-    def places_by_key(self, frames: bool) -> bool:
+    @property
+    def places_by_key(self) -> bool:
         """Whether a window over the key alone comes before those over (key, value)."""
-        return any(d[2] == "rows" for d in self.distinct) or (frames and bool(self.counts or self.sums))
+        return any(d[2] == "rows" for d in self.distinct)
 
 
-def _frames(rows: DataFrame, spec: EntityFeatures, amount: str) -> DataFrame:
-    known = F.col(spec.key).isNotNull()
-    order = Window.partitionBy(spec.key).orderBy("_us")
-    last = 0 if spec.inclusive else -1
-    own = 1 if spec.inclusive else 0
-    cols = {}
-    for name, seconds in spec.counts:
-        n = F.count(F.lit(1)).over(order.rangeBetween(-seconds * SECOND, last))
-        cols[name] = F.when(known, n - own).otherwise(0).cast("long")
-    for name, seconds in spec.sums:
-        s = F.coalesce(F.sum(amount).over(order.rangeBetween(-seconds * SECOND, last)), F.lit(0.0))
-        cols[name] = F.when(known, s - F.coalesce(F.col(amount), F.lit(0.0)) * own).otherwise(0.0)
-    return rows.withColumns(cols) if cols else rows
+def usable_amount(amount: str) -> Column:
+    a = F.col(amount).cast("double")
+    return F.when(~F.isnan(a) & (F.abs(a) <= LARGEST), a)
 
 
-def _entity(rows: DataFrame, spec: EntityFeatures, id_col: str, amount: str,
-            frames: bool, slice_us: int | None) -> DataFrame:
+def in_parts(amount: Column) -> Column:
+    """The amount as it is summed: whole units and rounded billionths."""
+    return F.floor(amount) + F.round((amount - F.floor(amount)) * FRACTION).cast("long") / F.lit(float(FRACTION))
+
+
+def _entity(rows: DataFrame, spec: EntityFeatures, id_col: str, amount: str, slice_us: int | None) -> DataFrame:
     facts: list[Active] = []
     always = F.lit(True)
     us = F.col("_us")
     helpers = [f"_{h}{i}" for i in range(len(spec.distinct)) for h in ("nth", "again")]
-    # the (time, id) sort of the row bound comes first: the RANGE frames reuse it
     for i, (_, _, unit, bound) in enumerate(spec.distinct):
         if unit == "rows":
             rows = nth_later(rows, [spec.key], "_us", id_col, bound, f"_nth{i}", slice_us)
         else:
             rows = rows.withColumn(f"_nth{i}", us + bound * SECOND)
-    if frames:
-        rows = _frames(rows, spec, amount)
-    else:
-        start = us - 1 if spec.inclusive else us
-        for name, seconds in spec.counts:
-            facts.append(Active(name, start, us + seconds * SECOND, always))
-        for name, seconds in spec.sums:
-            facts.append(Active(name, start, us + seconds * SECOND, always, F.col(amount)))
-    if slice_us is None and spec.distinct and not spec.places_by_key(frames):
+    start = us - 1 if spec.inclusive else us
+    for name, seconds in spec.counts:
+        facts.append(Active(name, start, us + seconds * SECOND, always))
+    for name, seconds in spec.sums:
+        facts.append(Active(name, start, us + seconds * SECOND, always, usable_amount(amount)))
+    if slice_us is None and spec.distinct and not spec.places_by_key:
         rows = rows.repartition(F.col(spec.key))  # else (key, value) would be shuffled first
     for i, (name, value, _, _) in enumerate(spec.distinct):
         rows = next_time(rows, [spec.key, value], "_us", id_col, f"_again{i}", slice_us)
@@ -180,10 +171,10 @@ def _entity(rows: DataFrame, spec: EntityFeatures, id_col: str, amount: str,
         rows = materialise(rows, "facts")
     if facts:
         rows = _active_totals(rows, spec.key, facts, slice_us)
-    if not frames and spec.inclusive:
+    if spec.inclusive:
         own = {n: F.col(n) - F.when(F.col(spec.key).isNotNull(), 1).otherwise(0)
                for n, _ in spec.counts}
-        own |= {n: F.col(n) - F.when(F.col(spec.key).isNotNull(), F.coalesce(F.col(amount), F.lit(0.0)))
+        own |= {n: F.col(n) - F.when(F.col(spec.key).isNotNull(), F.coalesce(in_parts(usable_amount(amount)), F.lit(0.0)))
                 .otherwise(0.0) for n, _ in spec.sums}
         rows = rows.withColumns(own)
     return rows.drop(*helpers)
@@ -201,15 +192,14 @@ def entity_features(df: DataFrame, spec: EntityFeatures, *, id_col: str = "trans
     """
     profile = profile or profile_keys(df, spec.key)
     rows = df if "_us" in df.columns else df.withColumn("_us", micros(ts_col))
-    small = profile.cold_bound <= HOT_ROWS
 
     def zeros(d):
         return d.withColumns({n: F.lit(0).cast("long") for n in spec.longs}
                              | {n: F.lit(0.0) for n, _ in spec.sums})
 
     out = by_heat(rows, spec.key, profile,
-                  cold=lambda d: _entity(d, spec, id_col, amount, small, None),
-                  hot=lambda d: _entity(d, spec, id_col, amount, False, profile.slice_us),
+                  cold=lambda d: _entity(d, spec, id_col, amount, None),
+                  hot=lambda d: _entity(d, spec, id_col, amount, profile.slice_us),
                   null=zeros)
     keep = [*df.columns, *spec.outputs]
     return out.select(*dict.fromkeys(keep))

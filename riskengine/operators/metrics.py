@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskengine.operators.alerts import (BUDGET, SCORE, alert_cutoffs, alerts_by_budget,
                                          risk_tier)
-from riskengine.operators.ranking import exact_quantiles, score_curve
+from riskengine.operators.ranking import exact_quantiles, reaches, score_curve
 from riskengine.session import materialise
 
+# Fixed values of the reports.
 BUDGETS = [0.001, 0.005, 0.01, 0.02, 0.05]
 TARGET_PRECISION = 0.70
 FRAUD_LOSS = 50_000.0
@@ -140,8 +141,8 @@ def precision_at_percentile(scored: DataFrame, budget: float = BUDGET, *, score:
     cut = exact_quantiles(scored, score, [1 - budget]).select(F.col("value").alias("threshold"))
     flagged = scored.crossJoin(F.broadcast(cut))  # one row
     hits = flagged.groupBy("threshold").agg(
-        (F.count(F.when(F.col(score) >= F.col("threshold"), 1)) / F.count(F.lit(1)))
-        .alias("actual_alert_rate"), *confusion(F.col(score) >= F.col("threshold"), label))
+        (F.count(F.when(reaches(score, F.col("threshold")), 1)) / F.count(F.lit(1)))
+        .alias("actual_alert_rate"), *confusion(reaches(score, F.col("threshold")), label))
     return _rates(hits.withColumn("alert_budget", F.lit(float(budget))))
 
 
@@ -193,8 +194,8 @@ def recall_at_precision(scored: DataFrame, targets: list[float], score: str = SC
 
 def confusion_at_threshold(scored: DataFrame, threshold: float = 0.5, score: str = SCORE,
                            label: str = "is_fraud") -> DataFrame:
-    flag = F.col(score) >= threshold
-    g = scored.agg(*confusion(flag, label))
+    """Rows without a usable score are not flagged."""
+    g = scored.agg(*confusion(reaches(score, threshold), label))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return g.select(F.lit(float(threshold)).alias("threshold"), "tp", "fp", "fn", "tn",

@@ -16,12 +16,19 @@ BUCKETS_CONF = "spark.riskengine.buckets"  # raise it for larger inputs
 _LOW = float("-inf")
 
 
-def clean_score(score: str) -> Column:
+def clean_score(score: Column | str) -> Column:
     """NULL and NaN scores rank below every number."""
-    s = F.col(score).cast("double")
+    s = (F.col(score) if isinstance(score, str) else score).cast("double")
     return F.when(s.isNull() | F.isnan(s), F.lit(_LOW)).otherwise(s)
 
 
+def reaches(score: Column | str, threshold: Column | float) -> Column:
+    """Whether a usable score is at or above a usable threshold; never NULL."""
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    s = clean_score(score)
+    return F.coalesce((s > F.lit(_LOW)) & ~F.isnan(limit) & (s >= limit), F.lit(False))
+
+
 def score_edges(df: DataFrame, score: str, buckets: int | None = None) -> list[float]:
     buckets = buckets or int(df.sparkSession.conf.get(BUCKETS_CONF, str(BUCKETS)))
     qs = [i / buckets for i in range(1, buckets)]
