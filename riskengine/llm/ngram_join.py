@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskengine.llm import components, shingles
 from riskengine.llm.text import key_of, maybe_in, whole, without
@@ -169,19 +169,26 @@ def graph(df: DataFrame, text: str = "text", similarity: tuple[int, int] = SIMIL
     part = components.connected(first, info.select("sig").distinct())
     placed = info.drop("central").join(part.withColumnsRenamed({"node": "sig", "component": "part"}), "sig")
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    open_posts = materialise(placed.join(mixed, "key", "left_semi"), "ngram-open")
+    # Of the m such shingles of a set, in one order for all sets, the first one that a pair shares is
+    # followed in both sets by as many as the pair has to share: later ranks need no pair.
+    whole_set = Window.partitionBy("sig")
+    open_posts = materialise(placed.join(mixed, "key", "left_semi").withColumns({
+        "rank": F.row_number().over(whole_set.orderBy("key")), "m": F.count("*").over(whole_set)}), "ngram-open")
     main = (open_posts.groupBy("key", "part").count().groupBy("key").agg(F.max(F.struct("count", "part")).alias("m"))
             .select("key", F.col("m.part").alias("main")))
-    sides = {r: open_posts.select("key", *[F.col(c).alias(f"{c}_{r}") for c in ("sig", "n", "k", "part")]) for r in "ab"}
+    sides = {r: open_posts.select("key", *[F.col(c).alias(f"{c}_{r}") for c in ("sig", "n", "k", "part", "rank", "m")]) for r in "ab"}
     small = sides["a"].join(main, "key").where("part_a <> main")
     pairs = small.join(sides["b"], "key").where(
-        (F.col("part_a") != F.col("part_b")) & near & ((F.col("part_b") == F.col("main")) | (F.col("sig_a") < F.col("sig_b"))))
+        (F.col("part_a") != F.col("part_b")) & near & (F.col("rank_a") <= F.col("m_a") - enough + 1) & (
+            F.col("rank_b") <= F.col("m_b") - enough + 1) & ((F.col("part_b") == F.col("main")) | (F.col("sig_a") < F.col("sig_b"))))
     # the pair (a, b) of a key with its smaller sig first
     flip = F.col("sig_a") > F.col("sig_b")
     ordered = pairs.select(*[F.when(flip, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}")
                              for c in ("sig", "n", "k") for x, y in ("ab", "ba")])
-    wanted = (ordered.groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(
-        F.count("*").alias("met"), *[F.min(c).alias(c) for c in ("n_a", "n_b", "k_a", "k_b")]).where(F.col("met") >= enough).select("a", "b"))
+    prefixes = open_posts.groupBy("sig").agg(F.collect_list("key").alias("keys"))  # at most one prefix each
+    one = {r: prefixes.select(F.col("sig").alias(f"sig_{r}"), F.col("keys").alias(f"keys_{r}")) for r in "ab"}
+    wanted = ordered.distinct().join(one["a"], "sig_a").join(one["b"], "sig_b").where(
+        F.size(F.array_intersect("keys_a", "keys_b")) >= enough).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
     second = materialise(verified(wanted, nodes, named, similarity), "ngram-links")
     return docs, first.unionByName(second)
 

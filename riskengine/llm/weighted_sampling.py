@@ -19,7 +19,8 @@ from riskengine.llm.text import whole
 from riskengine.session import materialise
 
 WIDTH = 5
-SAMPLES = 16
+SAMPLES = 12
+LANE = 4
 GAP = r"[\x20\x09-\x0D]+"
 VALUE_STEPS = 1 << 20
 NAME_BITS = 28
@@ -31,45 +32,50 @@ def terms(text: Column) -> Column:
     at = lambda h: F.when(F.size(h) >= WIDTH, F.sequence(F.lit(0), F.size(h) - WIDTH)).otherwise(
         F.when(F.size(h) > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
     grams = lambda h: F.transform(at(h), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
-    ordered = F.transform(F.array(F.transform(F.array(words), grams)[0]), lambda a: F.array_sort(a))[0]
+    ordered = F.transform(F.array(F.transform(F.array(words), grams)[0]), lambda a: F.sort_array(a))[0]
 
     def counted(s: Column) -> Column:
         first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
-        return F.transform(first, lambda i, j: F.struct(
-            F.get(s, i).alias("term"), (F.coalesce(F.get(first, j + 1), F.size(s)) - i).alias("weight")))
+        # as above, transform over one element names a value, so that it is made only once
+        return F.transform(F.array(first), lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("weight"))))[0]
     return F.transform(F.array(ordered), counted)[0]
 
 
-def uniform(h: Column, shift: int) -> Column:
-    """In (0, 1), from 32 bits of a hash."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(0xFFFFFFFF) + F.lit(0.5)) / F.lit(float(1 << 32))
+def uniform(h: Column, piece: int) -> Column:
+    """In (0, 1), from one of three pieces of 21 bits of a hash."""
+    return (F.shiftrightunsigned(h, 21 * piece).bitwiseAND((1 << 21) - 1) + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
+def sample(term: Column, log_weight: Column, k: Column) -> Column:
     """Sample k of one term as a long that orders by value and names (term, t)."""
-    one, two, three = (F.xxhash64(term, F.lit(3 * k + i)) for i in range(3))
-    r = -F.ln(uniform(one, 0) * uniform(one, 32))
-    log_c = F.ln(-F.ln(uniform(two, 0) * uniform(two, 32)))
-    b = uniform(three, 0)
+    one, two = (F.xxhash64(term, k, F.lit(i)) for i in range(2))
+    r = -F.ln(uniform(one, 0) * uniform(one, 1))
+    log_c = F.ln(-F.ln(uniform(two, 0) * uniform(two, 1)))
+    b = uniform(one, 2)
     t = F.floor(log_weight / r + b)
     value = log_c - r * (t - b) - r
-    name = F.xxhash64(term, t).bitwiseAND((1 << NAME_BITS) - 1)
+    name = term.bitwiseXOR(t * 7919).bitwiseAND((1 << NAME_BITS) - 1)
     return F.shiftleft(F.floor(value * VALUE_STEPS).cast("long"), NAME_BITS) + name
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """One row per row of ``rows`` (unique by ``keys``): keys and ``signature``, array<long>.
+    """One row per row of ``rows`` (unique by ``keys``) with words: keys and ``signature``, array<long>.
 
-    A text without words has an empty signature. The rows have to be dealt out by one of
-    the keys for no further exchange; otherwise only one row per text is exchanged.
+    Samples are drawn ``LANE`` at a time, each lane from its own copy of the term rows: one
+    expression for all samples would be too long a method for the JVM to compile. If the
+    rows are dealt out by some of the keys, no further exchange is needed; otherwise a few
+    rows per text are exchanged. Texts without words are left out.
     """
-    x = rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("x")).select(
-        *keys, F.col("x.term").alias("term"), F.ln("x.weight").alias("log_weight"))
-    names = [f"m{k}" for k in range(samples)]
-    drawn = x.select(*keys, *[sample(F.col("term"), F.col("log_weight"), k).alias(n) for k, n in enumerate(names)])
-    least = drawn.groupBy(*keys).agg(*[F.min(n).alias(n) for n in names])
-    # values differ in scale between documents; equality of a sample only needs its low bits and value
-    return least.select(*keys, F.filter(F.array(*names), lambda m: m.isNotNull()).alias("signature"))
+    lanes = F.array(*[F.lit(i) for i in range(-(-samples // LANE))])
+    x = rows.select(*keys, F.explode(terms(F.col(text))).alias("x")).select(
+        *keys, F.col("x.term").alias("term"), F.ln(F.col("x.weight").cast("double")).alias("log_weight"))
+    names = [f"m{k}" for k in range(LANE)]
+    drawn = x.select(*keys, "term", "log_weight", F.explode(lanes).alias("lane")).select(
+        *keys, "lane", *[sample(F.col("term"), F.col("log_weight"), F.col("lane") * LANE + k).alias(n) for k, n in enumerate(names)])
+    least = drawn.groupBy(*keys, "lane").agg(*[F.min(n).alias(n) for n in names])
+    parts = F.sort_array(F.collect_list(F.struct("lane", F.array(*names).alias("m"))))
+    return least.groupBy(*keys).agg(F.slice(F.flatten(F.transform(parts, lambda p: p["m"])), 1, samples).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -128,13 +134,15 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", samples
     both = numbered.join(heads, CONTENT)
     head = F.when(F.col("copy") < F.col("copies"), F.left("text", quarter)).otherwise(F.col("head"))
     both = both.withColumn("edited", F.concat(F.left("text", F.col("n") - quarter), head))
-    keys = [*CONTENT, "copy", "copies", "key", "n", "edited_sha256", "which"]
-    texts = both.withColumn("edited_sha256", F.sha2("edited", 256)).select(
-        *keys[:-1], F.posexplode(F.array("text", "edited")).alias("which", "t"))
-    sig = signatures(texts, keys, "t", samples)
-    signed = materialise(sig.groupBy(*keys[:-1]).agg(
+    row = [*CONTENT, "copy"]
+    texts = both.select(*row, F.posexplode(F.array("text", "edited")).alias("which", "t"))
+    none = F.array().cast("array<bigint>")
+    sig = signatures(texts, [*row, "which"], "t", samples).groupBy(*row).agg(
         F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"),
-        F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("changed")), "cws-signatures")
+        F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("changed"))
+    named = both.select(*row, "copies", "key", "n", F.sha2("edited", 256).alias("edited_sha256"))
+    signed = materialise(named.join(sig, row, "left").withColumns(
+        {c: F.coalesce(c, none) for c in ("own", "changed")}), "cws-signatures")
     following = signed.where("copy = 1").select(F.col("k0").alias("n_k0"), F.col("h").alias("n_h"), F.col("own").alias("after"))
     nexts = order.select(*CONTENT, "n_k0", "n_h").join(following, ["n_k0", "n_h"]).select(*CONTENT, "after")
     after = F.when(F.col("copy") < F.col("copies"), F.col("own")).otherwise(F.col("after"))
