@@ -910,6 +910,46 @@ def csv_to_table(spark, d):
                        F.col("event_date").cast("string").alias("event_date"))
 
 
+@query
+def csv_with_time_format(spark, d):
+    """CSV whose times are written day first, read by a declared format."""
+    path = f"{shared_dir(spark)}/tables/format-{uuid.uuid4().hex}"
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "amount")
+    form = "dd/MM/yyyy HH:mm:ss.SSSSSS"
+    df.write.option("header", True).option("timestampFormat", form).csv(path)
+    return tables.read_csv(spark, path, df.schema, form).select(
+        "transaction_id", micros("event_timestamp").alias("event_us"), r4("amount"))
+
+
+@query
+def feature_sink(spark, d):
+    """Features written as a table and read back, without the excluded columns."""
+    path = f"{shared_dir(spark)}/tables/features-{uuid.uuid4().hex}"
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "payer_id", "amount")
+    tables.write_table(history.payer_velocity(df), path)
+    return rounded(tables.project_excluding(spark.read.parquet(path), "event_timestamp", "amount"))
+
+
+@query
+def replaced_column(spark, d):
+    """One column takes another's place: one column of that name, with its values."""
+    path = f"{shared_dir(spark)}/tables/replaced-{uuid.uuid4().hex}"
+    df = txn_events(spark, d).select("transaction_id", "payer_id", "device_id")
+    tables.write_table(tables.replace_column(df, "device_id", "payer_id"), path)
+    return spark.read.parquet(path)
+
+
+@query
+def raw_column_families(spark, d):
+    """The columns of some raw families, by their patterns, with the number of values in each."""
+    e = txn_events(spark, d)
+    raw = e.select("transaction_id", F.col("amount").alias("V1"), F.col("amount").alias("V12x"), F.col("payer_id").alias("id-02"),
+                   F.col("device_id").alias("card3"), F.col("payee_vpa").alias("R_emaildomain"))
+    names = tables.raw_columns(raw, ("V", "id", "email"))
+    return raw.agg(*[F.count(f"`{c}`").alias(c) for c in names]).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n")) for c in names])).alias("x")).select("x.*")
+
+
 @query
 def one_day_scan(spark, d):
     """One event date of the partitioned table: the others are not read."""

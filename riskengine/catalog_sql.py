@@ -536,6 +536,13 @@ SQL: dict[str, str] = {
     "stream_keyed_features": f"WITH {_features(TXN)} SELECT * FROM feat",
     "csv_to_table": f"""WITH {TXN} SELECT transaction_id, us AS event_us, payer_id, round(amount, 4) AS amount,
       event_date FROM txn""",
+    "csv_with_time_format": f"WITH {TXN} SELECT transaction_id, us AS event_us, round(amount, 4) AS amount FROM txn",
+    "feature_sink": f"""WITH {TXN} SELECT transaction_id, payer_id,
+      {_counts('payer_id', 'payer_txn', ('5min', '1h', '24h'), True)} FROM txn""",
+    "replaced_column": f"WITH {TXN} SELECT transaction_id, device_id AS payer_id FROM txn",
+    "raw_column_families": f"""WITH {TXN} SELECT unnest(['V1', 'id-02', 'R_emaildomain']) AS "column",
+      unnest([count(amount), count(payer_id), count(payee_vpa)]) AS n FROM txn""",
+    "sampled_rows": f"WITH {TXN} SELECT transaction_id, amount FROM txn ORDER BY md5(transaction_id || ':42'), transaction_id LIMIT 100",
     "one_day_scan": f"""WITH {TXN} SELECT transaction_id, round(amount, 4) AS amount FROM txn
       WHERE event_date = '2024-01-15'""",
     "report_round_trip": f"""WITH {_daily(0.01)} SELECT event_date, num_transactions, num_alerts, tp, fp, fn, tn, total_fraud,
