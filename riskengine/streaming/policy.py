@@ -19,12 +19,11 @@ _STATE = "scores array<double>, days array<string>, counts array<long>, issued a
 
 
 def alert_stream(scored: DataFrame, segment: str, budget: float = BUDGET, *, window: int = RECENT_SCORES,
-                 min_scores: int = MIN_SCORES, fallback: float = FALLBACK_THRESHOLD,
-                 kept_days: int = 3) -> DataFrame:
+                 min_scores: int = MIN_SCORES, fallback: float = FALLBACK_THRESHOLD) -> DataFrame:
     """Alert decisions per segment, in (time, id) order within each micro-batch.
 
-    State per segment is bounded: the last ``window`` scores and the counters of
-    the last ``kept_days`` event dates. A segment is worked by one task per
+    State per segment: the last ``window`` scores, and two counters for each event
+    date, which are kept for good, so that a late row never finds a fresh quota. A segment is worked by one task per
     micro-batch, whose size the source's files-per-trigger bounds.
     """
     rows = scored.select(F.col("transaction_id").cast("string"), F.col(segment).cast("string").alias("segment"),
@@ -50,11 +49,11 @@ def alert_stream(scored: DataFrame, segment: str, budget: float = BUDGET, *, win
             c = counters.setdefault(day, [0, 0])
             c[0] += 1
             quota = max(1, int(c[0] * budget))
-            wanted = score >= limit
+            wanted = float("-inf") < score >= limit  # no alert without a usable score, as in batch
             alert = wanted and c[1] < quota
             out.append((tid, key[0], us, score, limit, c[0], quota, alert, wanted and not alert))
             c[1] += int(alert)
-        last = sorted(counters)[-kept_days:]
+        last = sorted(counters)
         state.update((recent, last, [counters[d][0] for d in last], [counters[d][1] for d in last]))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in _OUT.split(", ")])
 
