@@ -31,7 +31,7 @@ def terms(text: Column) -> Column:
     words = F.transform(F.filter(F.split(text, GAP), lambda w: w != ""), lambda w: F.xxhash64(w))
     at = lambda h: F.when(F.size(h) >= WIDTH, F.sequence(F.lit(0), F.size(h) - WIDTH)).otherwise(
         F.when(F.size(h) > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    grams = lambda h: F.transform(at(h), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
+    grams = lambda h: F.transform(at(h), lambda i: F.xxhash64(F.slice(h, i + 1, WIDTH)))
     ordered = F.transform(F.array(F.transform(F.array(words), grams)[0]), lambda a: F.sort_array(a))[0]
 
     def counted(s: Column) -> Column:
