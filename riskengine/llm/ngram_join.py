@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskengine.llm import components, shingles
-from riskengine.llm.text import key_of, maybe_in, whole, without
+from riskengine.llm.text import key_of, maybe_in, small_batches, whole, without
 from riskengine.session import materialise
 
 SIMILARITY = (3, 4)   # as a fraction, so that comparisons are exact
@@ -108,6 +108,7 @@ def graph(df: DataFrame, text: str = "text", similarity: tuple[int, int] = SIMIL
     share a class.
     """
     spark = df.sparkSession
+    small_batches(spark)
     texts = df.select(whole(text).alias("text"))
     bits = SKETCH_BITS
     kind, others = classes(sketch(texts, bits))

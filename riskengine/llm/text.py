@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+BATCH_ROWS = 1000
 ROW = "_row"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers ``BATCH_ROWS`` at a time, which bounds what a worker holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def whole(c: Column | str) -> Column:
     """The text, with NULL as the empty text."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

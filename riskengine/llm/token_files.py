@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskengine.llm import grammar, shingles
-from riskengine.llm.text import whole
+from riskengine.llm.text import small_batches, whole
 from riskengine.session import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2                    # id after each document
 BLOCK_IDS = 1_000_000
 PIECE = 8 << 20            # bytes of text split at a time
-CACHED_WORDS = 400_000     # some 60 MB a worker
+CACHED_WORDS = 250_000     # some 40 MB a worker
 GROUP = 20_000             # words encoded at a time
 OTHER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 ODD = f"^ | $|{OTHER_SPACE} | {OTHER_SPACE}"
@@ -155,6 +155,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", nam
         if held:
             yield flush()
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), whole(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     dealt = rows.repartitionByRange("key", F.xxhash64("text"), "row").sortWithinPartitions("key", "text")
     dealt.select("key", "text").mapInArrow(blocks, SCHEMA).write.parquet(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskengine.llm import shingles
-from riskengine.llm.text import maybe_in, whole
+from riskengine.llm.text import maybe_in, small_batches, whole
 from riskengine.session import materialise
 
 BITS = 19                      # buckets of the hashed counts
@@ -160,6 +160,7 @@ def joined(chunks: dict[int, np.ndarray], size: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Learn from the labelled rows outside the held-out quarter. Without labels every score is the prior, 0.1."""
+    small_batches(docs.sparkSession)
     rows = materialise(labelled(docs, labels, key, text), "toxicity-labelled")
     size = 1 << BITS
 
@@ -243,6 +244,7 @@ def calibrated(model: Model, clean: np.ndarray, calm: np.ndarray, toxic: np.ndar
 def passages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep``, ``_score`` in 0..1 and ``_segments``: significant passages as tokens
     [start, end) with their score and expected number by chance (below 0.05). NULL is the empty text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, whole(text).alias("_text"))
     kind = "array<struct<start:int,end:int,score:double,by_chance:double>>"
