@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword gate, native Spark only.
 
-A document passes the gate if it holds one of a few keywords; only then is it cut
-into words. Every word that opens a signature is a hit, with the words after it as
+A document passes the gate if it holds what some rule cannot match without; only then
+is it cut into words. Every word that opens a signature is a hit, with the words after it as
 context; hits meet the rules of their opening word (a hash join with some hundred
 rows), and a rule's regex is tried only if its own keyword stands in the context.
 Of overlapping detections, one that lies inside another of the same or a better
@@ -11,6 +11,7 @@ enough to carry the largest end of each priority so far.
 
 from __future__ import annotations
 
+import re
 from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,12 +20,12 @@ from riskengine.llm.text import ROW, ascii_lower, whole, with_row
 
 # -- fixed values: the phrases every result has to report
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-GATE = ("licen", "copyright", "spdx", "gpl", "public domain", "creative commons", "all rights reserved")
 CONTEXT_WORDS = 24
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-CC_BY = f"(?i)cc{GAP}by"
+# short words that many other words hold, as whole words
+EXACT = {("cc", "by"): f"(?i)cc{GAP}by", ("mpl",): f"(?i)(?:^|{GAP})mpl(?:{GAP}|$)"}
 
 
 @dataclass(frozen=True)
@@ -102,11 +103,30 @@ RULE_SCHEMA = "rule int, lead string, keyword string, regex string, label string
 PRIORITIES = (1, 2, 3)
 
 
+def needed(rule: Rule) -> tuple[str, ...]:
+    """Words, or parts of words, that stand in every text the rule matches."""
+    must, left = rule.regex, ""
+    while must != left:
+        left, must = must, re.sub(r"\(\?:[^()]*\)\??", " ", must)  # optional parts and choices need not be there
+    if "licen" in must:
+        return ("licen",)
+    return ("cc", "by") if "cc by" in must else tuple(rule.keyword.split(" "))
+
+
+def gate_words() -> list[tuple[str, ...]]:
+    """What :func:`needed` gives for all rules, without entries that another one implies."""
+    every = sorted({needed(r) for r in rules()})
+    implied = lambda x: any(y != x and y not in EXACT and all(any(w in v for v in x) for w in y) for y in every)
+    return [x for x in every if not implied(x)]
+
+
 def gate(text: Column) -> Column:
-    low = F.lower(text)
-    hit = low.contains("cc") & text.rlike(CC_BY)
-    for k in GATE:
-        hit = low.contains(k) | hit
+    low, hit = F.lower(text), F.lit(False)
+    for words in gate_words():
+        here = F.lit(True)
+        for w in words:
+            here = here & low.contains(w)
+        hit = hit | (here & text.rlike(EXACT[words]) if words in EXACT else here)
     return hit
 
 

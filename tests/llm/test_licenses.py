@@ -47,3 +47,25 @@ def test_empty_table(spark):
 def test_there_are_hundreds_of_rules():
     assert len(licenses.rules()) > 300
     assert {r.lead for r in licenses.rules()}.isdisjoint({""})
+
+
+GATE_FREE = ["BSD 3-Clause", "bsd 2 clause", "Released under Apache 2.0", "apache", "CC0 1.0", "distributed under MPL 2.0", "MPL", "wtfpl",
+             "Creative\nCommons\tAttribution 4.0", "in the PUBLIC\n domain", "all  rights\nreserved", "governed by the GNU GPL v3", "Cc-\u0001bY sa 4.0",
+             "plain words on a domain", "a public road, all rights"]
+
+
+def test_no_text_with_a_detection_fails_the_gate(spark):
+    df = spark.createDataFrame(list(enumerate(GATE_FREE)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan(df).collect())
+    assert got == [(i, *plain(t)) for i, t in enumerate(GATE_FREE)]
+    assert all(r[6] for r in got[:-2]) and not any(r[6] for r in got[-2:])
+
+
+def test_gate_holds_a_part_of_every_rule_as_written():
+    gates = licenses.gate_words()
+    for r in licenses.rules():
+        shortest = re.sub(r"\[sc\]", "s", r.regex)
+        while "(" in shortest:  # the first choice of each group, nothing for optional ones
+            shortest = re.sub(r"\(\?:([^()|]*)[^()]*\)(\??)", lambda m: "" if m[2] else m[1], shortest)
+        shortest = re.sub(r".\?", "", shortest).replace("[0-9]{2}", "20")
+        assert re.fullmatch(r.regex, shortest) and any(all(w in shortest for w in g) for g in gates), r
