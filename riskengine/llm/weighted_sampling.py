@@ -19,7 +19,7 @@ from riskengine.llm.text import whole
 from riskengine.session import materialise
 
 WIDTH = 5
-SAMPLES = 12
+SAMPLES = 128
 LANE = 4
 GAP = r"[\x20\x09-\x0D]+"
 VALUE_STEPS = 1 << 20

@@ -35,6 +35,24 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert min(truths) < 0.2 and max(truths) > 0.6
 
 
+def test_registered_samples_separate_three_quarters_from_a_half(spark):
+    """Pairs of 200 shingles each, a share of them in common: errors of likeness() at the registered number of samples."""
+    r = random.Random(5)
+    rows, truths = [], []
+    for i in range(120):
+        w = [f"w{r.randrange(10**6)}" for _ in range(204)]
+        same = 175 if i % 2 else 137
+        rows.append((i, " ".join(w), " ".join(w[:same] + [f"v{r.randrange(10**6)}" for _ in w[same:]])))
+        truths.append(jaccard(weights(rows[-1][1]), weights(rows[-1][2])))
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    a, b = (ws.signatures(df, ["i"], n, ws.SAMPLES).withColumnRenamed("signature", n) for n in "ab")
+    got = {x.i: x.l for x in a.join(b, "i").select("i", ws.likeness(F.col("a"), F.col("b")).alias("l")).collect()}
+    assert {round(t, 2) for t in truths} == {0.5, 0.75}
+    assert (sum((got[i] - t) ** 2 for i, t in enumerate(truths)) / len(truths)) ** 0.5 < 0.055
+    mixed = sum((got[i] >= 0.625) != (t > 0.7) for i, t in enumerate(truths))
+    assert mixed <= 2
+
+
 def test_edited_texts_and_order(spark):
     r = random.Random(4)
     texts = ["", None, "é\U0001f600x" * 9, "one two three", "a b c d e f g " * 300] + [" ".join(f"w{r.randrange(90)}" for _ in range(r.randrange(90))) for _ in range(40)]
