@@ -1,8 +1,10 @@
-"""Online features from bounded per-key state: the last 1000 rows of each payer and device.
+"""Online features from per-key state, row by row.
 
 Two chained stateful operators, payer then device, each reading its state before
-adding the rows to it. State is bounded by count, so windows holding more than
-``rows`` events are cut off there; ``FeatureStream`` is the exact form.
+adding the rows to it. A key's state holds the rows of its longest velocity window,
+frauds until they leave the risk window, and the last 1000 rows for the distinct
+counts, so every feature is exact. With ``rows`` given, state is bounded by that count
+instead and windows holding more events are cut off there.
 Needs the RocksDB state store (``use_rocksdb``).
 """
 
@@ -17,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskengine.functions.timing import DAY, SECOND, micros
 from riskengine.operators.features import DEVICE_SPEC, PAYER_SPEC
-from riskengine.operators.history import LAST_ROWS, EntityFeatures
+from riskengine.operators.history import EntityFeatures
 from riskengine.schema import FEATURE_SCHEMA
 
 _STATE = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (
@@ -30,12 +32,28 @@ def use_rocksdb(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def window_features(past: pd.DataFrame, new: pd.DataFrame, spec: EntityFeatures, rows: int) -> pd.DataFrame:
+def joined(past: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    """Both in time order, also if some new rows are late."""
+    if not len(past):
+        return new[past.columns]
+    return pd.concat([past, new[past.columns]], ignore_index=True).sort_values("us", kind="stable", ignore_index=True)
+
+
+def needed_later(both: pd.DataFrame, spec: EntityFeatures) -> pd.DataFrame:
+    """The rows that a feature of a row not older than the newest one can still use."""
+    us, newest = both["us"], both["us"].iloc[-1]
+    keep = us >= newest - max((s for _, s in (*spec.counts, *spec.sums)), default=0) * SECOND
+    keep |= (both["fraud_from"] < _NEVER) & (us >= newest - max((d for _, d in spec.risk), default=0) * DAY)
+    keep |= both.index >= len(both) - max((d[3] for d in spec.distinct), default=0)
+    return both[keep]
+
+
+def window_features(past: pd.DataFrame, new: pd.DataFrame, spec: EntityFeatures, rows: int | None) -> pd.DataFrame:
     """Features of ``new`` against ``past`` and each other; both sorted by (us, id)."""
-    both = pd.concat([past, new[past.columns]], ignore_index=True) if len(past) else new[past.columns]
+    both = joined(past, new)
     us, t = both["us"].to_numpy("int64"), new["us"].to_numpy("int64")
     upto = np.searchsorted(us, t, "left")            # rows strictly before T
-    oldest = np.maximum(upto - rows, 0)
+    oldest = np.maximum(upto - rows, 0) if rows else np.zeros_like(upto)
     total = np.concatenate([[0.0], np.cumsum(both["amount"].fillna(0.0).to_numpy("float64"))])
     out = {}
     for name, seconds in spec.counts:
@@ -54,9 +72,9 @@ def window_features(past: pd.DataFrame, new: pd.DataFrame, spec: EntityFeatures,
 
 
 class LastRows(StatefulProcessor):
-    """Keeps the last rows of a key; emits every row with its features."""
+    """Keeps what later rows of a key need (its last ``rows`` if given); emits every row with its features."""
 
-    def __init__(self, spec: EntityFeatures, rows: int, columns: list[str]):
+    def __init__(self, spec: EntityFeatures, rows: int | None, columns: list[str]):
         self.spec, self.rows, self.columns = spec, rows, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -75,7 +93,8 @@ class LastRows(StatefulProcessor):
         if key[0] is None:
             found[:] = 0
         else:
-            kept = (pd.concat([past, new], ignore_index=True) if len(past) else new).tail(self.rows)
+            both = joined(past, new)
+            kept = both.tail(self.rows) if self.rows else needed_later(both, self.spec)
             self.state.update((kept["us"].tolist(), kept["amount"].tolist(), kept["value"].tolist(),
                                kept["fraud_from"].tolist()))
         yield pd.concat([pdf, found], axis=1)[self.columns]
@@ -84,7 +103,7 @@ class LastRows(StatefulProcessor):
         pass
 
 
-def _stage(df: DataFrame, spec: EntityFeatures, rows: int) -> DataFrame:
+def _stage(df: DataFrame, spec: EntityFeatures, rows: int | None) -> DataFrame:
     fields = list(df.schema.fields)
     fields += [T.StructField(n, T.LongType()) for n in spec.longs]
     fields += [T.StructField(n, T.DoubleType()) for n, _ in spec.sums]
@@ -93,7 +112,7 @@ def _stage(df: DataFrame, spec: EntityFeatures, rows: int) -> DataFrame:
         LastRows(spec, rows, out.names), outputStructType=out, outputMode="Append", timeMode="None")
 
 
-def keyed_features(events: DataFrame, rows: int = LAST_ROWS) -> DataFrame:
+def keyed_features(events: DataFrame, rows: int | None = None) -> DataFrame:
     """The feature table of an event stream, row by row as events arrive.
 
     Events must arrive in time order per key (rows of equal time in one

@@ -168,3 +168,21 @@ def test_keyed_stream_features(spark, tmp_path, rows_kept):
         for tid, f in want.items():
             assert got[tid]["payer_txn_count_24h"] == min(f["payer_txn_count_24h"], 25)
             assert got[tid]["payer_past_fraud_count_30d"] <= f["payer_past_fraud_count_30d"]
+
+
+def test_keyed_stream_counts_more_than_a_thousand_rows_of_a_key(spark, tmp_path):
+    r = random.Random(2)
+    t = datetime(2024, 1, 1)
+    early = [(f"e{i:04d}", t + timedelta(hours=i), "u0", "d0", f"m{i}", 5.0, 1, t + timedelta(hours=i + 1)) for i in range(20)]
+    t += timedelta(days=10)
+    rows = early + [(f"x{i:04d}", t + timedelta(seconds=50 * i), "u0", "d0", f"m{r.randrange(1400)}", round(r.uniform(1, 9), 2),
+                     int(i % 40 == 0), t + timedelta(seconds=50 * i + 600)) for i in range(1500)]
+    drops(rows, TXN, spark, str(tmp_path / "in"), 3)
+    schema = spark.createDataFrame([], TXN).schema
+    keyed.use_rocksdb(spark)
+    events = source.read_events(spark, str(tmp_path / "in"), schema, 1)
+    source.append_to(keyed.keyed_features(events), str(tmp_path / "cp"), str(tmp_path / "out"))
+    got = {x["transaction_id"]: x.asDict() for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert max(x["payer_txn_count_24h"] for x in got.values()) == 1499
+    assert max(x["payer_past_fraud_count_30d"] for x in got.values()) > 50
+    assert_same(got, brute(rows))
