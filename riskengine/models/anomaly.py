@@ -15,6 +15,7 @@ from riskengine.schema import DEVICE_VELOCITY, DISTINCT_COUNTS, PAYER_VELOCITY
 REQUIRED = PAYER_VELOCITY + DEVICE_VELOCITY + DISTINCT_COUNTS
 # What the unsupervised stage must not see.
 FORBIDDEN = ["payer_past_fraud_count_30d", "is_fraud", "label_available_timestamp"]
+SLICE_ROWS = 10_000  # rows that one task shuffles for permutation_importance
 _NODES = ("tree int, node int, feature int, threshold double, left int, right int, "
           "depth double")
 
@@ -161,20 +162,24 @@ def train_forest(df: DataFrame, features: list[str] | None = None, *, trees: int
     return forest
 
 
-def permutation_importance(forest: IsolationForest, df: DataFrame, *, rows: int = 10_000, seed: int = 7,
+def permutation_importance(forest: IsolationForest, df: DataFrame, *, rows: int | None = None, seed: int = 7,
                            id_col: str = "transaction_id") -> DataFrame:
     """Mean absolute score shift when one feature is taken from another row.
 
-    Works on a sample of ``rows`` rows: each gets a donor row by a second shuffle.
+    Covers all rows, or a sample of ``rows`` rows if given. Rows are dealt into slices by
+    hash; each gets its donor by a second shuffle of its slice.
     """
     key = F.col(id_col).cast("string")
     pool = df.select(key.alias("_id"), F.array(*[F.col(c).cast("double") for c in forest.features]).alias("x"))
-    pool = pool.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(rows)
-    one = Window.partitionBy(F.lit(0))  # over the sample only
+    if rows is not None:
+        pool = pool.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(rows)
+    slices = max(1, pool.count() // SLICE_ROWS)
+    pool = pool.withColumn("_s", F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.lit(slices)))
+    one = Window.partitionBy("_s")
     here = pool.withColumn("_i", F.row_number().over(one.orderBy(F.xxhash64("_id", F.lit(seed)), "_id")))
-    donors = pool.select(F.col("x").alias("donor"),
+    donors = pool.select("_s", F.col("x").alias("donor"),
                          F.row_number().over(one.orderBy(F.xxhash64("_id", F.lit(seed + 1)), "_id")).alias("_i"))
-    paired = here.join(donors, "_i")
+    paired = here.join(donors, ["_s", "_i"])
     base = forest.raw_scores(paired, F.col("x"), "base")
     each = base.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(forest.features) - 1))))
     swapped = F.transform("x", lambda v, i: F.when(i == F.col("f"), F.element_at("donor", i + 1)).otherwise(v))

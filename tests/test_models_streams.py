@@ -44,6 +44,21 @@ def test_forest_finds_the_outliers(spark, tmp_path):
     assert set(imp) == {"x", "y"} and min(imp.values()) > 0
 
 
+def test_importance_covers_all_rows_in_any_number_of_slices(spark, monkeypatch):
+    train = blobs(spark, 400)
+    forest = anomaly.train_forest(train, ["x", "y"], trees=5, sample=64)
+    seen = []
+    raw = forest.raw_scores
+    monkeypatch.setattr(forest, "raw_scores", lambda df, x, out: (seen.append(df), raw(df, x, out))[1])
+    big = spark.range(25_000).select(F.col("id").cast("string").alias("transaction_id"), (F.col("id") % 7).cast("double").alias("x"),
+                                     (F.col("id") % 5).cast("double").alias("y"))
+    imp = {r["feature"]: r["importance"] for r in anomaly.permutation_importance(forest, big).collect()}
+    assert set(imp) == {"x", "y"} and min(imp.values()) > 0
+    paired = seen[0]
+    assert paired.count() == paired.select("_id").distinct().count() == 25_000
+    assert paired.select("_s").distinct().count() == 2
+
+
 def test_constant_rows_score_one(spark):
     df = spark.createDataFrame([(str(i), 1.0) for i in range(20)], "transaction_id string, x double")
     assert {r["anomaly_score"] for r in anomaly.train_forest(df, ["x"], trees=3).score(df).collect()} == {1.0}
