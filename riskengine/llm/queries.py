@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.llm import chat, contamination, html_text, licenses, mixing, ngram_join, pii, token_files, toxicity, weighted_sampling
+from riskengine.llm import (chat, contamination, hard_negatives, html_text, licenses, mixing, ngram_join, pii, ranked_search, simhash, token_files,
+                            toxicity, weighted_sampling)
 from riskengine.llm.mixing import Target
 from riskengine.session import materialise as stored
 
@@ -181,3 +182,52 @@ d AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(part
 SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '') AS text,
   length(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), ''))::BIGINT AS n_chars FROM d GROUP BY row, page_id, url
 """
+
+
+@query
+def op11_simhash_pivots(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=shifted, anchor=F.col("id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding,
+    lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER () AS row FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM e a JOIN e b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+q AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.n <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM q WHERE rank <= 5
+"""
+
+
+@query
+def op13_bag_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_bag_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+t AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+u AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+f AS (SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM u GROUP BY row, term),
+g AS (SELECT f.*, count(*) OVER (PARTITION BY term) AS df FROM f),
+s AS (SELECT row, doc_id, term, floor(1000 * ln((2 * t.n + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * g.n * t.n) // t.l)))) AS value FROM g, t),
+j AS (SELECT item, item_id, unnest(w) AS term FROM i),
+k AS (SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id, sum(value)::BIGINT AS score FROM j JOIN s USING (term) GROUP BY item, row),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM k WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
