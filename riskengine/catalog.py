@@ -803,24 +803,94 @@ def _staged(df: DataFrame, name: str, parts: int = 3) -> tuple[str, str]:
     return root, f"{root}/source"
 
 
+def _feature_stream(df: DataFrame, name: str, **kw) -> FeatureStream:
+    """The stream of ``df``, run to its end."""
+    spark = df.sparkSession
+    root, src = _staged(df, name)
+    stream = FeatureStream(spark, f"{root}/out", **kw)
+    stream.run(source.read_events(spark, src, df.schema, 1), f"{root}/checkpoint")
+    return stream
+
+
 @query
 def stream_features_parity(spark, d):
     """Features of the streamed events; the batch result is the yardstick."""
     df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
-    root, src = _staged(df, "features")
-    stream = FeatureStream(spark, f"{root}/out", df.schema)
-    source.run_to_end(source.read_events(spark, src, df.schema, 1), f"{root}/checkpoint", stream)
-    return rounded(stream.read("features").drop("event_timestamp", "batch_id"))
+    return rounded(_feature_stream(df, "features").read("features").drop("event_timestamp", "batch_id"))
 
 
 @query
 def stream_parity_differences(spark, d):
-    """Batch features against streamed features: no row is expected."""
+    """Batch features against streamed ones, and against streamed ones that were damaged on purpose."""
+    df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
+    batch = materialise(features.build_features(df), "features")
+    streamed = materialise(_feature_stream(df, "parity").read("features").drop("batch_id"), "streamed")
+    i = F.col("transaction_id").cast("long")
+    damaged = streamed.filter(i % 97 != 0).withColumns({
+        "payer_txn_count_24h": F.col("payer_txn_count_24h") + F.when(i % 50 == 0, 1).otherwise(0),
+        "device_txn_count_1h": F.when(i % 61 != 0, F.col("device_txn_count_1h"))})
+    parts = [compare.difference_counts(batch, other).select(F.lit(name).alias("against"), "*")
+             for name, other in (("streamed", streamed), ("damaged", damaged))]
+    return parts[0].unionByName(parts[1])
+
+
+LATENESS_DAYS = 20
+
+
+def delayed_orders(spark: SparkSession, d: str, parts: int = 4) -> DataFrame:
+    """Orders with the number of the drop in which they arrive: some come days or months after their time.
+
+    Fifty payers, five devices, days as times, and amounts that are infinite, not a number or too large for money.
+    """
+    i = F.col("transaction_id").cast("long")
+    delay = F.when(i % 9 == 0, 45).when(i % 7 == 0, 10).otherwise(0)
+    odd = F.when(i % 31 == 0, float("inf")).when(i % 37 == 0, float("nan")).when(i % 41 == 0, 1e300).otherwise(F.col("amount"))
+    arrival = F.datediff("event_timestamp", F.lit("1992-01-01").cast("date")) + delay
+    return txn_orders(spark, d).drop("fraud_probability").withColumn("amount", odd).withColumn(
+        "arrival", F.least(F.lit(parts - 1), F.floor(arrival / 700)).cast("long"))
+
+
+@query
+def stream_out_of_order(spark, d):
+    """Keyed features of a stream whose rows come out of order: exact for all that are not late; late ones are told apart."""
+    df = materialise(delayed_orders(spark, d), "delayed")
+    root = f"{shared_dir(spark)}/streams/delayed-{uuid.uuid4().hex}"
+    for part in range(4):
+        df.filter(F.col("arrival") == part).drop("arrival").coalesce(1).write.mode("append").parquet(f"{root}/source")
+    stream = FeatureStream(spark, f"{root}/out", lateness_seconds=LATENESS_DAYS * 86400)
+    stream.run(source.read_events(spark, f"{root}/source", df.drop("arrival").schema, 1), f"{root}/checkpoint")
+    rows = stream.read("rows")
+    shown = [F.when(~F.col("is_late"), F.col(c)).alias(c) for c in FEATURES]
+    return rounded(rows.select("transaction_id", "is_late", *shown))
+
+
+@query
+def stream_late_rows(spark, d):
+    """The table of late rows of an unordered stream, per payer."""
+    df = materialise(delayed_orders(spark, d), "delayed")
+    root = f"{shared_dir(spark)}/streams/late-{uuid.uuid4().hex}"
+    for part in range(4):
+        df.filter(F.col("arrival") == part).drop("arrival").coalesce(1).write.mode("append").parquet(f"{root}/source")
+    stream = FeatureStream(spark, f"{root}/out", lateness_seconds=LATENESS_DAYS * 86400)
+    stream.run(source.read_events(spark, f"{root}/source", df.drop("arrival").schema, 1), f"{root}/checkpoint")
+    return stream.read("late").groupBy("payer_id").agg(F.count(F.lit(1)).alias("n_late"), F.min(micros("event_timestamp")).alias("first_us"))
+
+
+@query
+def stream_label_feed(spark, d):
+    """Labels arrive as a stream of their own, when they become known."""
     df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
-    root, src = _staged(df, "parity")
-    stream = FeatureStream(spark, f"{root}/out", df.schema)
-    source.run_to_end(source.read_events(spark, src, df.schema, 1), f"{root}/checkpoint", stream)
-    return compare.compare_frames(features.build_features(df), stream.read("features").drop("batch_id"))
+    r = df.agg(F.min(micros("event_timestamp")), F.max(micros("event_timestamp"))).first()
+    slot = lambda us: F.least(F.lit(2), F.floor((us - r[0]) * 3 / (r[1] - r[0] + 1)))
+    frauds = df.filter("is_fraud = 1").select("transaction_id", "payer_id", "event_timestamp", "label_available_timestamp")
+    root = f"{shared_dir(spark)}/streams/labels-{uuid.uuid4().hex}"
+    bare = df.withColumns({"is_fraud": F.lit(None).cast("int"), "label_available_timestamp": F.lit(None).cast("timestamp")})
+    for part in range(3):  # one drop of each source per micro-batch
+        bare.filter(slot(micros("event_timestamp")) == part).coalesce(1).write.mode("append").parquet(f"{root}/source")
+        frauds.filter(slot(F.greatest(micros("event_timestamp"), micros("label_available_timestamp"))) == part).coalesce(1).write.mode("append").parquet(f"{root}/labels")
+    stream = FeatureStream(spark, f"{root}/out", labels=source.read_events(spark, f"{root}/labels", frauds.schema, 1))
+    stream.run(source.read_events(spark, f"{root}/source", bare.schema, 1), f"{root}/checkpoint")
+    return rounded(stream.read("features").drop("event_timestamp", "batch_id"))
 
 
 @query
@@ -879,10 +949,7 @@ def stream_scores(spark, d):
     df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
     table_ = materialise(scoring.model_table(df), "model-table")
     model = supervised.train_supervised(table_, **GBT)
-    root, src = _staged(df, "scores")
-    stream = FeatureStream(spark, f"{root}/out", df.schema, model=model)
-    source.run_to_end(source.read_events(spark, src, df.schema, 1), f"{root}/checkpoint", stream)
-    return stream.read("scores").select("transaction_id", r4("fraud_probability"), "risk_tier")
+    return _feature_stream(df, "scores", model=model).read("scores").select("transaction_id", r4("fraud_probability"), "risk_tier")
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from riskengine.schema import FEATURES
+
 TXN = """txn AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id, event_id, ts, epoch_us(ts) AS us,
          'u' || user_id AS payer_id, 'd' || json_extract_string(props, '$.k') AS device_id,
@@ -79,6 +81,30 @@ def _features(src: str) -> str:
   FROM w JOIN risk USING (transaction_id))"""
 
 
+# what has arrived with each drop: one copy of the rows per drop, in which keys and ids carry its number
+DELAYED = """raw AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderdate::TIMESTAMP AS ts, epoch_us(o_orderdate::TIMESTAMP) AS us,
+    CAST(o_custkey % 50 AS VARCHAR) AS payer, o_orderpriority AS device, o_orderpriority || o_orderstatus AS payee_vpa,
+    CASE WHEN o_orderkey % 31 = 0 OR o_orderkey % 37 = 0 OR o_orderkey % 41 = 0 THEN NULL ELSE o_totalprice END AS amount,
+    CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS is_fraud, o_orderdate + to_hours(CAST(6 + o_orderkey * 37 % 66 AS INT)) AS label_ts,
+    least(3, (date_diff('day', DATE '1992-01-01', o_orderdate::DATE)
+      + CASE WHEN o_orderkey % 9 = 0 THEN 45 WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END) // 700) AS arrival FROM orders),
+p AS (SELECT payer, arrival, max(max(us)) OVER (PARTITION BY payer ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+      FROM raw GROUP BY payer, arrival),
+v AS (SELECT device, arrival, max(max(us)) OVER (PARTITION BY device ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+      FROM raw GROUP BY device, arrival),
+txn AS (SELECT s || '|' || id AS transaction_id, s || '|' || payer AS payer_id, s || '|' || device AS device_id, raw.* FROM raw, range(4) t(s)
+        WHERE arrival <= s)"""
+
+
+def _unordered(select: str, lateness_us: int = 20 * 86400 * 10**6) -> str:
+    return f"""WITH {_features(DELAYED)}, shown AS (
+  SELECT feat.* EXCLUDE (transaction_id), id AS transaction_id, payer AS payer_id, us,
+    coalesce(us < p.newest - {lateness_us}, false) OR coalesce(us < v.newest - {lateness_us}, false) AS is_late
+  FROM raw JOIN feat ON feat.transaction_id = raw.arrival || '|' || id JOIN p USING (payer, arrival) JOIN v USING (device, arrival))
+{select}"""
+
+
 # alerts at budget b: the ceil(b * n) best of each day
 def _alerts(b: float, src: str = TXN) -> str:
     return f"""{src}, al AS (
@@ -523,8 +549,15 @@ SQL: dict[str, str] = {
       total_legit, {_round('alert_rate precision recall false_alert_rate')} FROM daily
       WHERE event_date BETWEEN '2024-01-08' AND '2024-01-14'""",
     "stream_features_parity": f"WITH {_features(TXN)} SELECT * FROM feat",
-    "stream_parity_differences": """SELECT CAST(event_id AS VARCHAR) AS transaction_id, '' AS "column",
-      '' AS left_value, '' AS right_value FROM events WHERE event_id IS NULL""",
+    "stream_parity_differences": """SELECT 'streamed' AS against, count(*) AS n_compared, 0 AS n_one_sided, 0 AS n_rows_different,
+      0 AS n_cells_different FROM events
+      UNION ALL SELECT 'damaged', count(*) FILTER (event_id % 97 <> 0), count(*) FILTER (event_id % 97 = 0),
+      count(*) FILTER (event_id % 97 <> 0 AND (event_id % 50 = 0 OR event_id % 61 = 0)),
+      count(*) FILTER (event_id % 97 <> 0 AND event_id % 50 = 0) + count(*) FILTER (event_id % 97 <> 0 AND event_id % 61 = 0) FROM events""",
+    "stream_out_of_order": _unordered("SELECT transaction_id, is_late, " + ", ".join(
+        f"CASE WHEN NOT is_late THEN {c} END AS {c}" for c in FEATURES) + " FROM shown"),
+    "stream_late_rows": _unordered("SELECT payer_id, count(*) AS n_late, min(us) AS first_us FROM shown WHERE is_late GROUP BY payer_id"),
+    "stream_label_feed": f"WITH {_features(TXN)} SELECT * FROM feat",
     "stream_alert_policy": f"""WITH RECURSIVE {TXN}, {_ROLL}, {_sequential('thr')}
       SELECT transaction_id, should_alert, budget_exceeded, daily_count FROM seq""",
     "stream_daily_metrics": f"""WITH {TXN} SELECT event_date, count(*) AS total_requests,

@@ -33,6 +33,17 @@ def compare_frames(a: DataFrame, b: DataFrame, key: str = "transaction_id",
             .filter(F.col("_d").isNotNull()).select(key, "_d.*"))
 
 
+def difference_counts(a: DataFrame, b: DataFrame, key: str = "transaction_id",
+                      columns: list[str] | None = None, atol: float = 1e-5) -> DataFrame:
+    """One row: how many keys both sides hold, how many only one holds, in how many rows and cells they differ."""
+    diffs = compare_frames(a, b, key, columns, atol).select(key, "column").withColumn("both", F.lit(0))
+    keys = a.select(key).join(b.select(key), key).select(key, F.lit(None).cast("string").alias("column"), F.lit(1).alias("both"))
+    cell = F.col("column") != "<row>"
+    return diffs.unionByName(keys).agg(
+        F.sum("both").alias("n_compared"), F.count(F.when(F.col("column") == "<row>", 1)).alias("n_one_sided"),
+        F.countDistinct(F.when(cell, F.col(key))).alias("n_rows_different"), F.count(F.when(cell, 1)).alias("n_cells_different"))
+
+
 def batch_stream_diff(batch: DataFrame, stream: DataFrame) -> DataFrame:
     """Rows whose id, time or amount differ between the two paths."""
     return compare_frames(batch, stream, columns=["event_timestamp", "amount"], atol=0.0)

@@ -1,10 +1,8 @@
-"""Point-in-time features over a stream, from the same operators as the batch job.
+"""Point-in-time features over a stream, with scores and a table of late rows.
 
-The stream's memory is a Parquet history table, one folder per micro-batch. A
-micro-batch adds its rows, takes the history of the entities it mentions, runs
-the batch feature plan over it and keeps its own rows. Hot keys are sliced as in
-batch, nothing is held in a single task, a replayed micro-batch overwrites its
-own folders, and online equals offline by construction.
+The features come from keyed state (:mod:`keyed`): a micro-batch reads the state of the
+entities it mentions and nothing of the history. What it finds is written once, to a folder of
+its own, which a replayed micro-batch overwrites.
 """
 
 from __future__ import annotations
@@ -13,89 +11,51 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from riskengine.functions.timing import DAY, micros
 from riskengine.models.anomaly import IsolationForest
 from riskengine.models.supervised import SupervisedModel
 from riskengine.operators.alerts import risk_tier
-from riskengine.operators.features import INPUTS, build_features
-from riskengine.sources.etl import join_raw
-
-_PROGRESS = T.StructType([T.StructField("max_us", T.LongType())])
+from riskengine.schema import FEATURE_SCHEMA
+from riskengine.streaming import keyed, source
 
 
 @dataclass
 class FeatureStream:
-    """``path`` holds history, progress, features, scores and late rows.
+    """``path`` holds the rows with their features, and scores.
 
-    ``lateness_us``: rows older than the newest event seen in earlier batches by
-    more than this go to the late table; their features could no longer be right.
-    ``lookback_days`` limits the history read; None reads all of it, which the
-    last-1000-rows features of rarely seen entities need.
+    ``lateness_seconds``: how far a row may be behind the newest one of its payer or device and
+    still get exact features; older rows are read as ``late``. ``labels`` is a stream of frauds
+    found later, see :func:`keyed.keyed_rows`.
     """
 
     spark: SparkSession
     path: str
-    schema: T.StructType
-    lateness_us: int = 0
-    lookback_days: int | None = None
-    labels: DataFrame | None = None      # (transaction_id, is_fraud, label_available_timestamp)
+    lateness_seconds: int = 0
+    labels: DataFrame | None = None
     model: SupervisedModel | None = None
     forest: IsolationForest | None = None
 
-    def _table(self, name: str, schema: T.StructType | None = None, before: int | None = None) -> DataFrame:
-        full = T.StructType([*(schema or self.schema).fields, T.StructField("batch_id", T.LongType())])
-        try:
-            df = self.spark.read.schema(full).parquet(f"{self.path}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            df = self.spark.createDataFrame([], full)
-        return df if before is None else df.filter(F.col("batch_id") < before)
-
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        past = self._table("history", before=batch_id)
-        seen = self._table("progress", _PROGRESS, before=batch_id).agg(F.max("max_us")).first()[0]
-        fresh = batch.select(*self.schema.names).dropDuplicates(["transaction_id"])
-        if seen is not None:
-            cut = seen - self.lateness_us
-            late = micros("event_timestamp") < cut
-            self._write(fresh.filter(late), "late", batch_id)
-            # a repeat of a row that is not late is itself not late
-            recent = past.filter(F.col("event_timestamp") >= F.timestamp_micros(F.lit(cut)))
-            fresh = fresh.filter(~late).join(recent.select("transaction_id"), "transaction_id", "left_anti")
-        self._write(fresh.select(*self.schema.names), "history", batch_id)
+    def run(self, events: DataFrame, checkpoint: str) -> None:
+        """Process all events that are available, then stop."""
+        keyed.use_rocksdb(self.spark)
+        source.run_to_end(keyed.keyed_rows(events, self.lateness_seconds, self.labels), checkpoint, self.write)
 
-        mine = self.spark.read.schema(self.schema).parquet(f"{self.path}/history/batch_id={batch_id}")
-        first, last = mine.agg(F.min(micros("event_timestamp")), F.max(micros("event_timestamp"))).first()
-        if first is None:
-            return
-        self._write(self.spark.createDataFrame([(last,)], _PROGRESS), "progress", batch_id)
-        context = past.drop("batch_id")
-        if self.lookback_days is not None:
-            since = F.timestamp_micros(F.lit(first - self.lookback_days * DAY))
-            context = context.filter(F.col("event_timestamp") >= since)
-        if self.labels is not None:
-            context = context.drop("is_fraud", "label_available_timestamp").join(
-                self.labels, "transaction_id", "left").select(*self.schema.names)
-        # a row matters when its payer or its device occurs in the batch
-        by_payer = context.join(mine.select("payer_id").distinct(), "payer_id", "left_semi")
-        by_device = (context.join(mine.select("device_id").distinct(), "device_id", "left_semi")
-                     .join(mine.select("payer_id").distinct(), "payer_id", "left_anti"))
-        rows = (by_payer.select(*INPUTS).unionByName(by_device.select(*INPUTS))
-                .unionByName(mine.select(*INPUTS)))
-        ids = mine.select(F.col("transaction_id").cast("string").alias("transaction_id"))
-        features = build_features(rows).join(ids, "transaction_id", "left_semi")
-        self._write(features, "features", batch_id)
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """``rows``: a micro-batch of :func:`keyed.keyed_rows`, computed once by the write."""
+        folder = f"{self.path}/rows/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(folder)
         if self.model is not None:
-            done = self.spark.read.parquet(f"{self.path}/features/batch_id={batch_id}")
-            table = join_raw(done, mine)
+            table = self.spark.read.schema(rows.schema).parquet(folder).where(~F.col("is_late")).drop("is_late")
             if self.forest is not None:
                 table = self.forest.score(table)
             scores = self.model.predict(table, ("transaction_id", "event_timestamp"))
-            self._write(scores.withColumn("risk_tier", risk_tier("fraud_probability")), "scores", batch_id)
+            scores.withColumn("risk_tier", risk_tier("fraud_probability")).write.mode("overwrite").parquet(f"{self.path}/scores/batch_id={batch_id}")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """``features`` (with the number of the micro-batch), ``late`` (the events), ``rows`` or ``scores``."""
+        if name not in ("features", "late"):
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        if name == "features":
+            return rows.where(~F.col("is_late")).select(*FEATURE_SCHEMA.names, "batch_id")
+        computed = [c for c in FEATURE_SCHEMA.names if c not in ("transaction_id", "event_timestamp")]
+        return rows.where("is_late").drop(*computed, "is_late")

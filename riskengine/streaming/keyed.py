@@ -1,11 +1,20 @@
-"""Online features from per-key state, row by row.
-
-Two chained stateful operators, payer then device, each reading its state before
-adding the rows to it. A key's state holds the rows of its longest velocity window,
-frauds until they leave the risk window, and the last 1000 rows for the distinct
-counts, so every feature is exact. With ``rows`` given, state is bounded by that count
-instead and windows holding more events are cut off there.
-Needs the RocksDB state store (``use_rocksdb``).
+"""Online features from per-key state, row by row as events arrive.
+
+Two chained stateful operators, payer then device. The state of a key is a log of its rows in
+time order, cut into pieces (:mod:`timelog`), and two logs of the times at which its frauds
+begin and cease to count. Every feature is a difference of prefix totals or a look at the rows
+just before a place, so a row reads the heads of the logs and a few pieces, not its windows:
+a key with millions of rows a day costs as much per row as one with hundreds.
+
+Rows may arrive out of order. A row at most ``lateness`` behind the newest row of its payer
+and its device (in earlier micro-batches) gets the features of all that has arrived; an older
+one is marked ``is_late``, as part of what it needs may be forgotten. Late rows are remembered
+like others where a later row can need them. A repeat (same payer, time and id; same device,
+if there is no payer) is ignored while the row is remembered. NULL keys have no history.
+
+A key remembers the rows of its longest window and its last 1000 rows, both counted from the
+newest row less the lateness, and frauds until they cease to count; it forgets when its next
+rows arrive. Needs the RocksDB state store (``use_rocksdb``).
 """
 
 from __future__ import annotations
@@ -18,13 +27,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskengine.functions.timing import DAY, SECOND, micros
-from riskengine.operators.features import DEVICE_SPEC, PAYER_SPEC
-from riskengine.operators.history import EntityFeatures
+from riskengine.operators.features import DEVICE_SPEC, INPUTS, PAYER_SPEC
+from riskengine.operators.history import FRACTION, EntityFeatures, usable_amount
 from riskengine.schema import FEATURE_SCHEMA
+from riskengine.streaming.timelog import HEAD, PIECE, SIZE, Log, Store, distinct_before
 
-_STATE = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (
-    ("us", T.LongType()), ("amount", T.DoubleType()), ("value", T.StringType()), ("fraud_from", T.LongType()))])
-_NEVER = 2**62  # exact as a double too
+ROWS, STARTS, ENDS = 0, 1, 2  # the logs of a key
+
+
+def _lists(columns) -> T.StructType:
+    return T.StructType([T.StructField(n, T.ArrayType({"bigint": T.LongType(), "string": T.StringType()}[t])) for n, t in columns])
+
+
+_HEAD = T.StructType([T.StructField(n, T.LongType()) for n in ("newest", "cut", "begun", "ceased")]
+                     + [T.StructField(f"log{k}", _lists(HEAD)) for k in (ROWS, STARTS, ENDS)])
+_PIECE_KEY = T.StructType([T.StructField("log", T.IntegerType()), T.StructField("number", T.LongType())])
+_PIECE = _lists(PIECE)
+_OLDEST = -2**62
+#: What the operators add to the rows on their way (names that a pandas frame of rows keeps).
+_HELPERS = ["rk_us", "rk_id", "rk_whole", "rk_part", "rk_known", "rk_is_label"]
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -32,96 +53,148 @@ def use_rocksdb(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def joined(past: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """Both in time order, also if some new rows are late."""
-    if not len(past):
-        return new[past.columns]
-    return pd.concat([past, new[past.columns]], ignore_index=True).sort_values("us", kind="stable", ignore_index=True)
-
-
-def needed_later(both: pd.DataFrame, spec: EntityFeatures) -> pd.DataFrame:
-    """The rows that a feature of a row not older than the newest one can still use."""
-    us, newest = both["us"], both["us"].iloc[-1]
-    keep = us >= newest - max((s for _, s in (*spec.counts, *spec.sums)), default=0) * SECOND
-    keep |= (both["fraud_from"] < _NEVER) & (us >= newest - max((d for _, d in spec.risk), default=0) * DAY)
-    keep |= both.index >= len(both) - max((d[3] for d in spec.distinct), default=0)
-    return both[keep]
-
-
-def window_features(past: pd.DataFrame, new: pd.DataFrame, spec: EntityFeatures, rows: int | None) -> pd.DataFrame:
-    """Features of ``new`` against ``past`` and each other; both sorted by (us, id)."""
-    both = joined(past, new)
-    us, t = both["us"].to_numpy("int64"), new["us"].to_numpy("int64")
-    upto = np.searchsorted(us, t, "left")            # rows strictly before T
-    oldest = np.maximum(upto - rows, 0) if rows else np.zeros_like(upto)
-    total = np.concatenate([[0.0], np.cumsum(both["amount"].fillna(0.0).to_numpy("float64"))])
-    out = {}
-    for name, seconds in spec.counts:
-        out[name] = upto - np.maximum(np.searchsorted(us, t - seconds * SECOND, "left"), oldest)
-    for name, seconds in spec.sums:
-        lo = np.maximum(np.searchsorted(us, t - seconds * SECOND, "left"), oldest)
-        out[name] = np.round(total[upto] - total[np.minimum(lo, upto)], 6)
-    values = both["value"].to_numpy(object)
-    for name, _, _, bound in spec.distinct:
-        out[name] = [len({v for v in values[max(a, b - bound):b] if v is not None}) for a, b in zip(oldest, upto)]
-    known = both["fraud_from"].to_numpy("int64")
-    for name, days in spec.risk:
-        lo = np.maximum(np.searchsorted(us, t - days * DAY, "left"), oldest)
-        out[name] = [int((known[a:b] < x).sum()) for a, b, x in zip(lo, upto, t)]
-    return pd.DataFrame(out, index=new.index)
-
-
-class LastRows(StatefulProcessor):
-    """Keeps what later rows of a key need (its last ``rows`` if given); emits every row with its features."""
-
-    def __init__(self, spec: EntityFeatures, rows: int | None, columns: list[str]):
-        self.spec, self.rows, self.columns = spec, rows, columns
+class KeyHistory:
+    """The logs of one key: takes rows in, tells their features, forgets what no later row needs."""
+
+    def __init__(self, spec: EntityFeatures, lateness_us: int, store: Store, head: tuple | None, size: int = SIZE):
+        self.spec, self.lateness = spec, lateness_us
+        self.newest, self.cut, self.begun, self.ceased, *heads = head or (None, _OLDEST, 0, 0, None, None, None)
+        self.rows, self.starts, self.ends = (Log(store, k, h, plain=k != ROWS, size=size) for k, h in enumerate(heads))
+        self.velocity = max((s for _, s in (*spec.counts, *spec.sums)), default=0) * SECOND
+        self.risk = max((d for _, d in spec.risk), default=0) * DAY
+        self.bound = max((d[3] for d in spec.distinct), default=0)
+
+    def take(self, us, tie, value, whole, part, known, is_label, unique) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Rows sorted by (us, tie): (which are new, which are late, their features)."""
+        late = us < (_OLDEST if self.newest is None else self.newest - self.lateness)
+        events = ~is_label
+        fits = np.flatnonzero(events & (us > self.cut))
+        new = events.copy()
+        new[fits] = self.rows.insert({"us": us[fits], "tie": tie[fits], "value": value[fits], "whole": whole[fits], "part": part[fits]}, unique[fits])
+        if self.risk:
+            self._frauds(us[new | is_label], tie[new | is_label], known[new | is_label])
+        found = self._features(us)
+        if events.any():
+            self.newest = max(int(us[events].max()), _OLDEST if self.newest is None else self.newest)
+        return new, late, found
+
+    def _frauds(self, us, tie, known) -> None:
+        begin = np.maximum(us, known)
+        counts = (known < np.iinfo(np.int64).max) & (begin < us + self.risk)
+        begin, end, tie = begin[counts], us[counts] + self.risk, tie[counts]
+        kept = _OLDEST if self.newest is None else self.newest - self.lateness  # what lies before is in the totals
+        blank = lambda t, x: {"us": t, "tie": x, "value": np.zeros(0, object), "whole": np.zeros(0, np.int64), "part": np.zeros(0, np.int64)}
+        for log, t, total in ((self.starts, begin, "begun"), (self.ends, end, "ceased")):
+            old = t < kept
+            setattr(self, total, getattr(self, total) + int(old.sum()))
+            order = np.lexsort((tie[~old].astype(str), t[~old]))
+            log.insert(blank(t[~old][order], tie[~old][order]), np.ones(len(order), dtype=bool))
+
+    def _features(self, us: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        place, whole, part = self.rows.before(us)
+        windows = {s: self.rows.before(us - s * SECOND) for s in {s for _, s in (*self.spec.counts, *self.spec.sums)}}
+        for name, s in self.spec.counts:
+            out[name] = place - windows[s][0]
+        for name, s in self.spec.sums:
+            out[name] = (whole - windows[s][1]) + (part - windows[s][2]) / float(FRACTION)
+        for name, _, _, bound in self.spec.distinct:
+            out[name] = distinct_before(self.rows, place, bound)
+        for name, _ in self.spec.risk:
+            out[name] = self.begun + self.starts.before(us)[0] - self.ceased - self.ends.before(us)[0]
+        return out
+
+    def save(self) -> tuple:
+        if self.newest is not None:
+            kept = self.newest - self.lateness
+            place = int(self.rows.before(np.array([kept]))[0][0]) - self.bound
+            _, last = self.rows.drop(kept - self.velocity, place)
+            self.cut = self.cut if last is None else last
+            for log, total in ((self.starts, "begun"), (self.ends, "ceased")):
+                rows, _ = log.drop(kept, 2**62)
+                setattr(self, total, getattr(self, total) + rows)
+        return (self.newest, self.cut, self.begun, self.ceased, self.rows.save(), self.starts.save(), self.ends.save())
+
+
+class HistoryState(StatefulProcessor):
+    """Emits every new row with its features."""
+
+    def __init__(self, spec: EntityFeatures, lateness_us: int, columns: list[str]):
+        self.spec, self.lateness, self.columns = spec, lateness_us, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last_rows", _STATE)
+        self.head = handle.getValueState("head", _HEAD)
+        pieces = handle.getMapState("pieces", _PIECE_KEY, _PIECE)
+        self.store = Store(pieces.getValue, pieces.updateValue, pieces.removeKey)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat([f for f in rows if len(f)]).sort_values(["event_us", "transaction_id"], kind="stable")
-        pdf = pdf.reset_index(drop=True)
-        new = pd.DataFrame({"us": pdf["event_us"], "amount": pdf["amount"],
-                            "value": pdf[self.spec.distinct[0][1]].where(pdf[self.spec.distinct[0][1]].notna(), None),
-                            "fraud_from": pdf["label_us"].fillna(_NEVER).astype("int64")})
-        past = pd.DataFrame({c: [] for c in new.columns}).astype({"us": "int64", "fraud_from": "int64", "amount": "float64"})
-        if self.state.exists():
-            past = pd.DataFrame(dict(zip(_STATE.names, (list(v) for v in self.state.get()))))
-        found = window_features(past, new, self.spec, self.rows)
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["rk_us", "rk_id"], kind="stable").reset_index(drop=True)
+        us, is_label = pdf["rk_us"].to_numpy("int64"), pdf["rk_is_label"].to_numpy(bool)
         if key[0] is None:
-            found[:] = 0
+            new, late = ~is_label, np.zeros(len(pdf), dtype=bool)
+            found = {n: np.zeros(len(pdf)) for n in self.spec.outputs}
         else:
-            both = joined(past, new)
-            kept = both.tail(self.rows) if self.rows else needed_later(both, self.spec)
-            self.state.update((kept["us"].tolist(), kept["amount"].tolist(), kept["value"].tolist(),
-                               kept["fraud_from"].tolist()))
-        yield pd.concat([pdf, found], axis=1)[self.columns]
+            value = pdf[self.spec.distinct[0][1]]
+            # the payer tells repeats from new rows; the device does so for rows without a payer
+            unique = np.ones(len(pdf), dtype=bool) if self.spec.key == "payer_id" else pdf["payer_id"].isna().to_numpy()
+            state = KeyHistory(self.spec, self.lateness, self.store, self.head.get())
+            new, late, found = state.take(us, pdf["rk_id"].to_numpy(object), value.where(value.notna(), None).to_numpy(object),
+                                          pdf["rk_whole"].to_numpy("int64"), pdf["rk_part"].to_numpy("int64"),
+                                          pdf["rk_known"].to_numpy("int64"), is_label, unique)
+            self.head.update(state.save())
+        pdf["is_late"] = pdf["is_late"].to_numpy(bool) | late
+        out = pd.concat([pdf.drop(columns=list(found), errors="ignore"), pd.DataFrame(found)], axis=1)
+        yield out.loc[new, self.columns]
 
     def close(self) -> None:
         pass
 
 
-def _stage(df: DataFrame, spec: EntityFeatures, rows: int | None) -> DataFrame:
+def _stage(df: DataFrame, spec: EntityFeatures, lateness_us: int) -> DataFrame:
     fields = list(df.schema.fields)
     fields += [T.StructField(n, T.LongType()) for n in spec.longs]
     fields += [T.StructField(n, T.DoubleType()) for n, _ in spec.sums]
     out = T.StructType(fields)
     return df.groupBy(spec.key).transformWithStateInPandas(
-        LastRows(spec, rows, out.names), outputStructType=out, outputMode="Append", timeMode="None")
+        HistoryState(spec, lateness_us, out.names), outputStructType=out, outputMode="Append", timeMode="None")
 
 
-def keyed_features(events: DataFrame, rows: int | None = None) -> DataFrame:
-    """The feature table of an event stream, row by row as events arrive.
+def keyed_rows(events: DataFrame, lateness_seconds: int = 0, labels: DataFrame | None = None) -> DataFrame:
+    """All columns of the events with their features and ``is_late``.
 
-    Events must arrive in time order per key (rows of equal time in one
-    micro-batch); a label counts from its own time when it travels with the row.
+    A label that travels with its row counts from its own time. ``labels`` may bring more of
+    them later: a stream of (transaction_id, payer_id, event_timestamp, label_available_timestamp)
+    of rows found to be frauds.
     """
-    fraud = F.when((F.col("is_fraud") == 1) & F.col("label_available_timestamp").isNotNull(),
-                   micros("label_available_timestamp"))
-    df = events.select(F.col("transaction_id").cast("string").alias("transaction_id"), "payer_id", "device_id",
-                       "payee_vpa", F.col("amount").cast("double").alias("amount"),
-                       micros("event_timestamp").alias("event_us"), fraud.alias("label_us"))
-    df = _stage(_stage(df, PAYER_SPEC, rows), DEVICE_SPEC, rows)
-    return df.withColumn("event_timestamp", F.timestamp_micros("event_us")).select(*FEATURE_SCHEMA.names)
+    amount = usable_amount("amount")
+    whole = F.floor(amount)
+    known = F.when((F.col("is_fraud") == 1) & F.col("label_available_timestamp").isNotNull(), micros("label_available_timestamp"))
+    never = F.lit(int(np.iinfo(np.int64).max))
+    ids = F.coalesce(F.col("transaction_id").cast("string"), F.lit(""))
+    helpers = {"rk_us": micros("event_timestamp"), "rk_id": ids, "rk_whole": F.coalesce(whole, F.lit(0)).cast("long"),
+               "rk_part": F.coalesce(F.round((amount - whole) * FRACTION), F.lit(0)).cast("long"),
+               "rk_known": F.coalesce(known, never), "rk_is_label": F.lit(False), "is_late": F.lit(False)}
+    events = events.withColumn("transaction_id", F.col("transaction_id").cast("string"))
+    # pandas has no NULL in numbers and few times: what is only passed on travels as text
+    numbers = [f.name for f in events.schema if isinstance(f.dataType, T.NumericType)]
+    times = [f.name for f in events.schema if isinstance(f.dataType, T.TimestampType)]
+    packed = {c: F.col(c).cast("string") for c in numbers} | {c: micros(c).cast("string") for c in times}
+    rows = events.withColumns(helpers).withColumns(packed)
+    if labels is not None:
+        said = labels.select(ids.alias("transaction_id"), F.col("payer_id").cast("string"), micros("event_timestamp").alias("rk_us"), ids.alias("rk_id"),
+                             F.lit(0).cast("long").alias("rk_whole"), F.lit(0).cast("long").alias("rk_part"),
+                             F.coalesce(micros("label_available_timestamp"), never).alias("rk_known"), F.lit(True).alias("rk_is_label"), F.lit(False).alias("is_late"))
+        rows = rows.unionByName(said, allowMissingColumns=True)
+    late_us = lateness_seconds * SECOND
+    done = _stage(_stage(rows, PAYER_SPEC, late_us), DEVICE_SPEC, late_us).drop(*_HELPERS)
+    return done.withColumns({c: F.col(c).cast(events.schema[c].dataType) for c in numbers}
+                            | {c: F.timestamp_micros(F.col(c).cast("long")) for c in times})
+
+
+def keyed_features(events: DataFrame, lateness_seconds: int = 0) -> DataFrame:
+    """The feature table of an event stream, without late rows."""
+    rows = keyed_rows(events.select(*INPUTS), lateness_seconds)
+    return rows.where(~F.col("is_late")).select(*FEATURE_SCHEMA.names)

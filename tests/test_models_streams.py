@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpers import TXN, assert_same, brute, messy
 from riskengine.models import anomaly, preparation, supervised
 from riskengine.plans import scoring, training
+from riskengine.operators.features import build_features
 from riskengine.streaming import keyed, policy, source
 from riskengine.streaming.features import FeatureStream
 from test_alerts_metrics import SCORED, fold
@@ -125,30 +126,85 @@ def drops(rows, schema, spark, path, parts):
         spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(path)
 
 
+def arriving(spark, batches, schema, path):
+    """One file per micro-batch, in this order."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return source.read_events(spark, path, spark.createDataFrame([], schema).schema, 1)
+
+
 def test_stream_features_equal_definitions(spark, tmp_path):
     rows = messy(240)
     drops(rows, TXN, spark, str(tmp_path / "in"), 3)
-    schema = spark.createDataFrame([], TXN).schema
-    stream = FeatureStream(spark, str(tmp_path / "out"), schema)
-    source.run_to_end(source.read_events(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "cp"), stream)
+    stream = FeatureStream(spark, str(tmp_path / "out"))
+    stream.run(source.read_events(spark, str(tmp_path / "in"), spark.createDataFrame([], TXN).schema, 1), str(tmp_path / "cp"))
     assert stream.read("features").select("batch_id").distinct().count() == 3
     assert_same({r["transaction_id"]: r.asDict() for r in stream.read("features").collect()}, brute(rows))
 
 
-def test_stream_replay_repeats_and_late_rows(spark, tmp_path):
-    rows = sorted(messy(120), key=lambda r: (r[1], r[0]))
-    df = spark.createDataFrame(rows, TXN)
-    stream = FeatureStream(spark, str(tmp_path / "out"), df.schema)
-    first, second = spark.createDataFrame(rows[:60], TXN), spark.createDataFrame(rows[55:], TXN)
-    stream(first, 0)
-    stream(second, 1)
-    once = sorted(stream.read("features").drop("batch_id").collect())
-    stream(second, 1)  # a replayed micro-batch changes nothing
-    assert sorted(stream.read("features").drop("batch_id").collect()) == once
-    ids = [r["transaction_id"] for r in stream.read("features").collect()]
-    late = [r["transaction_id"] for r in stream.read("late").collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == {r[0] for r in rows}
-    assert set(late) <= {r[0] for r in rows[55:60]}
+def test_stream_repeats_late_rows_and_restart(spark, tmp_path):
+    """Rows sent twice appear once; rows behind by more than the lateness are late; later rows see them all the same."""
+    rows = sorted(messy(200, seed=5), key=lambda r: (r[1], r[0]))
+    stray = [rows[i] for i in (3, 40, 95, 110)]
+    first, second, third = [r for r in rows[:120] if r not in stray], rows[112:150] + stray, rows[150:]
+    events = arriving(spark, [first, second], TXN, str(tmp_path / "in"))
+    stream = FeatureStream(spark, str(tmp_path / "out"), lateness_seconds=3 * 86400)
+    stream.run(events, str(tmp_path / "cp"))
+    events = arriving(spark, [third], TXN, str(tmp_path / "in"))
+    stream.run(events, str(tmp_path / "cp"))  # goes on from the checkpoint
+    got = {r["transaction_id"]: r.asDict() for r in stream.read("features").collect()}
+    late = {r["transaction_id"] for r in stream.read("late").collect()}
+    assert stream.read("late").columns == [*spark.createDataFrame([], TXN).columns, "batch_id"]
+    assert stream.read("rows").count() == len(rows) == len(got) + len(late)
+
+    def newest(key, value):
+        return max((r[1] for r in first if r[key] == value and value is not None), default=None)
+    behind = lambda r: any((n := newest(k, r[k])) is not None and r[1] < n - timedelta(days=3) for k in (2, 3))
+    assert late == {r[0] for r in stray if behind(r)} and late
+    full, early = brute(rows), brute(first)
+    sent = {r[0] for r in first}
+    assert_same(got, {i: (early if i in sent else full)[i] for i in got})  # messy has no late rows in the third drop
+
+
+def test_unusable_amounts_count_and_sum_as_in_batch(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [(f"t{i}{k}", t + timedelta(hours=20 * i), f"u{k}", "d", "m", a, 0, None)
+            for k, odd in enumerate([float("inf"), float("-inf"), float("nan"), 1e300, None])
+            for i, a in enumerate([1.0, odd, 2.25, 3.1, 4.0])]
+    rows.sort(key=lambda r: r[1])
+    stream = FeatureStream(spark, str(tmp_path / "out"))
+    stream.run(arriving(spark, [rows[:10], rows[10:]], TXN, str(tmp_path / "in")), str(tmp_path / "cp"))
+    got = sorted(stream.read("features").drop("batch_id").collect())
+    assert got == sorted(build_features(spark.createDataFrame(rows, TXN)).collect())
+    for k in range(5):
+        assert [r.payer_txn_sum_24h for r in got if r.transaction_id.endswith(str(k))] == [0.0, 1.0, 0.0, 2.25, 3.1]
+
+
+def test_labels_of_a_stream_of_their_own(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [(f"t{i}", t + timedelta(days=2 * i), "u", f"d{i}", "m", 1.0, None, None) for i in range(6)]
+    known = "transaction_id string, payer_id string, event_timestamp timestamp, label_available_timestamp timestamp"
+    said = [[("t0", "u", rows[0][1], t + timedelta(days=3))], [("t1", "u", rows[1][1], t + timedelta(days=5)), ("t1", "u", rows[1][1], t + timedelta(days=5))],
+            [(None, None, rows[1][1], t), ("t2", "u", rows[2][1], None)]]
+    labels = arriving(spark, said, known, str(tmp_path / "labels"))
+    stream = FeatureStream(spark, str(tmp_path / "out"), labels=labels)
+    stream.run(arriving(spark, [rows[:2], rows[2:4], rows[4:]], TXN, str(tmp_path / "in")), str(tmp_path / "cp"))
+    got = {r.transaction_id: r.payer_past_fraud_count_30d for r in stream.read("features").collect()}
+    assert got == {"t0": 0, "t1": 0, "t2": 1, "t3": 2, "t4": 2, "t5": 2}
+
+
+def test_a_micro_batch_reads_no_history(spark, tmp_path):
+    """The folder of what was found is written, never read, while a stream without a model runs."""
+    import shutil
+    rows = sorted(messy(150), key=lambda r: (r[1], r[0]))
+    stream = FeatureStream(spark, str(tmp_path / "out"))
+    stream.run(arriving(spark, [rows[:100]], TXN, str(tmp_path / "in")), str(tmp_path / "cp"))
+    shutil.move(tmp_path / "out" / "rows", tmp_path / "aside")
+    stream.run(arriving(spark, [rows[100:]], TXN, str(tmp_path / "in")), str(tmp_path / "cp"))
+    want = brute(rows)
+    got = {r["transaction_id"]: r.asDict() for r in stream.read("features").collect()}
+    assert_same(got, {i: want[i] for i in got})
+    assert len(got) >= 50
 
 
 @pytest.mark.filterwarnings("ignore::FutureWarning")
@@ -166,23 +222,14 @@ def test_stream_policy_equals_the_loop(spark, tmp_path):
         assert (g["alert_threshold"], g["daily_count"], g["daily_budget"], g["should_alert"], g["budget_exceeded"]) == want[g["transaction_id"]]
 
 
-@pytest.mark.parametrize("rows_kept", [1000, 25])
-def test_keyed_stream_features(spark, tmp_path, rows_kept):
+def test_keyed_stream_features(spark, tmp_path):
     rows = messy(240)
     drops(rows, TXN, spark, str(tmp_path / "in"), 3)
     schema = spark.createDataFrame([], TXN).schema
     keyed.use_rocksdb(spark)
     events = source.read_events(spark, str(tmp_path / "in"), schema, 1)
-    source.append_to(keyed.keyed_features(events, rows_kept), str(tmp_path / "cp"), str(tmp_path / "out"))
-    got = {r["transaction_id"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = brute(rows)
-    if rows_kept == 1000:
-        assert_same(got, want)
-    else:  # counts are cut at the rows kept
-        assert set(got) == set(want)
-        for tid, f in want.items():
-            assert got[tid]["payer_txn_count_24h"] == min(f["payer_txn_count_24h"], 25)
-            assert got[tid]["payer_past_fraud_count_30d"] <= f["payer_past_fraud_count_30d"]
+    source.append_to(keyed.keyed_features(events), str(tmp_path / "cp"), str(tmp_path / "out"))
+    assert_same({r["transaction_id"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "out")).collect()}, brute(rows))
 
 
 def test_keyed_stream_counts_more_than_a_thousand_rows_of_a_key(spark, tmp_path):
