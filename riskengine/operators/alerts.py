@@ -38,9 +38,10 @@ def alert_cutoffs(scored: DataFrame, budgets: list[float], *, score: str = SCORE
 
     Gives (event_date, alert_budget, n, k, value, us, id). The k-th row is found
     by narrowing: score bucket, then exact score and minute, then the rows of that
-    minute. The table itself is only scanned, never shuffled.
+    minute. The input is read once, into a narrow stored table; that one is scanned
+    by every step and never shuffled.
     """
-    rows = _dated(scored, ts).select("event_date", "_us", F.col(id_col).alias("_id"), score)
+    rows = materialise(_dated(scored, ts).select("event_date", "_us", F.col(id_col).alias("_id"), score), "scores")
     minute = F.floor(F.col("_us") / (60 * SECOND))
     wanted = [(repr(float(b)), lambda n, b=b: F.ceil(F.lit(float(b)) * n)) for b in budgets]
     near = kth_largest(rows, ["event_date"], score, wanted, sub=minute, buckets=buckets)

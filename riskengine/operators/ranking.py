@@ -2,8 +2,10 @@
 
 Scores are put into ``BUCKETS`` near-equal buckets, whose edges come from a
 quantile sketch. Per-bucket counts (small, map-side combined) tell which bucket
-holds a wanted rank; only rows of that bucket are looked at closer. The edges
-steer the balance only: results are exact for any edges.
+holds a wanted rank; only rows of that bucket are looked at closer. A bucket with
+more than ``BUCKET_ROWS`` distinct scores is cut again by a sketch of its own, level
+by level, so no sort holds more, whatever the size of the input. The edges steer the
+balance only: results are exact for any edges.
 """
 
 from __future__ import annotations
@@ -11,8 +13,13 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskengine.session import materialise
+
 BUCKETS = 1024                          # the driver holds this many edges
 BUCKETS_CONF = "spark.riskengine.buckets"  # raise it for larger inputs
+BUCKET_ROWS = 1_000_000                 # distinct scores that one task sorts
+BUCKET_ROWS_CONF = "spark.riskengine.bucketRows"
+FINER = 256                             # parts into which a larger bucket is cut
 _LOW = float("-inf")
 
 
@@ -45,42 +52,76 @@ def with_bucket(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
             .withColumn("_bucket", F.col("_bucket").cast("int")))
 
 
+def finer(points: DataFrame, cell: list[str], value: str) -> DataFrame | None:
+    """``points`` (distinct values of each cell) with the too large cells cut by value; None if there is none.
+
+    ``_bucket`` is one of the cell's columns and keeps its order: bucket b becomes b * FINER + 0, 1, ...
+    A cell of one value is as small as it gets.
+    """
+    most = int(points.sparkSession.conf.get(BUCKET_ROWS_CONF, str(BUCKET_ROWS)))
+    sizes = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    large = sizes.filter((F.col("_rows") > most) & (F.col("_lo") < F.col("_hi"))).select(*cell)
+    if large.isEmpty():
+        return None
+    parts = [k / FINER for k in range(1, FINER)]
+    edges = points.join(large, cell, "left_semi").groupBy(*cell).agg(
+        F.percentile_approx(value, parts, FINER * 10).alias("_edges"), F.max(value).alias("_top"))
+    # the highest value is an edge too, so a cut always parts two values
+    edges = edges.select(*cell, F.array_distinct(F.concat("_edges", F.array("_top"))).alias("_edges"))
+    part = F.coalesce(F.size(F.filter("_edges", lambda e: e <= F.col(value))), F.lit(0))
+    cut = points.join(edges, cell, "left").withColumn("_bucket", F.col("_bucket") * (FINER + 1) + part)
+    return materialise(cut.drop("_edges"), "points")
+
+
 def kth_largest(df: DataFrame, groups: list[str], score: str, wanted: list[tuple[str, object]], *,
                 sub: Column | None = None, edges: list[float] | None = None,
                 buckets: int | None = None) -> DataFrame:
     """The k-th largest score of every group, for each wanted (label, k as a function of n).
 
     Gives (groups, label, n, k, value[, sub], left): ``left`` is how many rows of
-    equal value (and ``sub``) belong to the top k. ``sub`` breaks ties ascending.
-    Groups may be few and huge: no group is ever collected, only its bucket counts.
+    equal value (and ``sub``) belong to the top k. ``sub`` breaks ties ascending and has
+    few values per score. Groups may be few and huge: no group is ever collected, only
+    its bucket counts.
     """
     edges = score_edges(df, score, buckets) if edges is None else edges
-    rows = with_bucket(df.withColumn("_v", clean_score(score)), "_v", edges)
+    rows = with_bucket(df.withColumn("_v", clean_score(score)), "_v", edges).withColumn("_bucket", F.col("_bucket").cast("long"))
     counts = rows.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     # at most buckets + 1 count rows per group
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    above = whole.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumns({"n": F.sum("_c").over(whole),
-                                 "_above": F.coalesce(F.sum("_c").over(above), F.lit(0))})
+    total = counts.withColumn("n", F.sum("_c").over(whole))
     label_rank = F.explode(F.array(*[
         F.struct(F.lit(name).alias("label"), k(F.col("n")).cast("long").alias("k"))
         for name, k in wanted]))
-    first = (ranked.withColumn("_w", label_rank)
-             .select(*groups, "_bucket", "n", "_w.label", "_w.k", "_above", "_c")
-             .filter((F.col("_above") < F.col("k")) & (F.col("k") <= F.col("_above") + F.col("_c")))
-             .withColumn("_left", F.col("k") - F.col("_above")).drop("_above", "_c"))
+
+    def placed(parts: DataFrame, within: list[str]) -> DataFrame:
+        """Of the parts (with counts) of each ``within``, the one that holds the rank ``_left``."""
+        w = Window.partitionBy(*within).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        above = parts.withColumn("_above", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        held = above.filter((F.col("_above") < F.col("_left")) & (F.col("_left") <= F.col("_above") + F.col("_c")))
+        return held.withColumn("_left", F.col("_left") - F.col("_above")).drop("_above", "_c")
+
+    ranks = total.withColumn("_w", label_rank).select(*groups, "_bucket", "n", "_w.label", "_w.k", F.col("_w.k").alias("_left"), "_c")
     # one row per (group, label): groups are calendar days or none at all
-    finer = ["_v"] if sub is None else ["_v", "_sub"]
+    first = materialise(placed(ranks, [*groups, "label"]), "ranks")
+    finest = ["_v"] if sub is None else ["_v", "_sub"]
     if sub is not None:
         rows = rows.withColumn("_sub", sub)
-    inside = (rows.join(F.broadcast(first.select(*groups, "_bucket").distinct()),
-                        [*groups, "_bucket"], "left_semi")
-              .groupBy(*groups, "_bucket", *finer).agg(F.count(F.lit(1)).alias("_c")))
+    cell = [*groups, "_bucket"]
+    inside = (rows.join(F.broadcast(first.select(*cell).distinct()), cell, "left_semi")
+              .groupBy(*cell, *finest).agg(F.count(F.lit(1)).alias("_c")))
+    inside = materialise(inside, "points")
+    while (cut := finer(inside, cell, "_v")) is not None:
+        # each old bucket's parts lie next to each other: b * (FINER + 1) and the ones after it
+        old = F.floor(F.col("_bucket") / (FINER + 1))
+        parts = cut.groupBy(*cell).agg(F.sum("_c").alias("_c")).withColumn("_old", old)
+        known = first.withColumnRenamed("_bucket", "_old")
+        first = materialise(placed(parts.join(known, [*groups, "_old"]), [*groups, "label"]).drop("_old"), "ranks")
+        inside = cut.join(F.broadcast(first.select(*cell).distinct()), cell, "left_semi")
     order = [F.desc("_v")] + ([] if sub is None else [F.asc("_sub")])
-    w = (Window.partitionBy(*groups, "_bucket").orderBy(*order)
+    w = (Window.partitionBy(*cell).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, -1))
     hit = (inside.withColumn("_above", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-           .join(F.broadcast(first), [*groups, "_bucket"])
+           .join(F.broadcast(first), cell)
            .filter((F.col("_above") < F.col("_left"))
                    & (F.col("_left") <= F.col("_above") + F.col("_c"))))
     return hit.select(*groups, "label", "n", "k", F.col("_v").alias("value"),
@@ -122,10 +163,13 @@ def score_curve(df: DataFrame, score: str, label: str, buckets: int | None = Non
     rows = df.filter(F.col(label).isNotNull())
     edges = score_edges(rows, score, buckets)
     points = (with_bucket(rows.withColumn("score", clean_score(score)), "score", edges)
-              .groupBy("_bucket", "score")
+              .groupBy(F.col("_bucket").cast("long").alias("_bucket"), "score")
               .agg(F.count(F.lit(1)).alias("n"),
                    F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos")))
-    # at most buckets + 1 rows from here to the broadcast
+    points = materialise(points, "points")
+    while (cut := finer(points, ["_bucket"], "score")) is not None:
+        points = cut
+    # from here to the join one row per bucket
     per_bucket = points.groupBy("_bucket").agg(F.sum("n").alias("_bn"), F.sum("pos").alias("_bp"))
     whole = Window.partitionBy(F.lit(0))
     above = whole.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -136,6 +180,6 @@ def score_curve(df: DataFrame, score: str, label: str, buckets: int | None = Non
     w = (Window.partitionBy("_bucket").orderBy(F.desc("score"))
          .rowsBetween(Window.unboundedPreceding, 0))
     return (points.withColumns({"_n": F.sum("n").over(w), "_p": F.sum("pos").over(w)})
-            .join(F.broadcast(offsets), "_bucket")
+            .join(offsets, "_bucket")
             .select("score", "n", "pos", (F.col("_n") + F.col("_on")).alias("n_above"),
                     (F.col("_p") + F.col("_op")).alias("pos_above"), "total_n", "total_pos"))

@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,61 @@ def test_edges_never_change_a_rank(spark, edges):
     assert got == want
 
 
+@pytest.fixture
+def tiny_buckets(spark):
+    """Eight buckets of at most twenty distinct scores."""
+    for k, v in ((ranking.BUCKETS_CONF, "8"), (ranking.BUCKET_ROWS_CONF, "20")):
+        spark.conf.set(k, v)
+    yield
+    for k in (ranking.BUCKETS_CONF, ranking.BUCKET_ROWS_CONF):
+        spark.conf.unset(k)
+
+
+def many_scores(n=3000, seed=7):
+    """Scores over all magnitudes, crowded ones, ties, and none."""
+    r = random.Random(seed)
+    kinds = (lambda: 10.0 ** r.uniform(-300, 300), lambda: -10.0 ** r.uniform(-300, 300), lambda: 0.5 + r.random() * 1e-12, lambda: 0.25,
+             lambda: r.choice([None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0]))
+    return [r.choice(kinds)() for _ in range(n)]
+
+
+def clean(x):
+    return float("-inf") if x is None or x != x else x
+
+
+def test_large_buckets_are_cut_until_small_and_ranks_stay(spark, tiny_buckets):
+    scores = many_scores()
+    df = spark.createDataFrame([(i % 3, s) for i, s in enumerate(scores)], "g int, s double").repartition(5)
+    wanted = [1, 2, 500, 501, 777, 998, 999, 1000]
+    got = {(r.g, int(r.label)): (r.value, r.left) for r in ranking.kth_largest(df, ["g"], "s", [(str(k), lambda n, k=k: F.lit(k)) for k in wanted]).collect()}
+    for g in range(3):
+        own = sorted((clean(s) for s in scores[g::3]), reverse=True)
+        for k in wanted:
+            assert got[g, k] == (own[k - 1], k - sum(x > own[k - 1] for x in own)), (g, k)
+
+
+def test_no_sort_holds_more_than_a_bucket_may(spark, tiny_buckets):
+    scores = sorted({clean(s) for s in many_scores()})
+    points = spark.createDataFrame([(0, s) for s in scores], "_bucket long, s double")
+    while (cut := ranking.finer(points, ["_bucket"], "s")) is not None:
+        points = cut
+    rows = points.collect()
+    sizes = Counter(r._bucket for r in rows)
+    assert max(sizes.values()) <= 20 and len(rows) == len(scores)
+    assert [r.s for r in sorted(rows, key=lambda r: (r._bucket, r.s))] == scores  # buckets keep the order
+
+
+def test_curve_and_percentiles_with_tiny_buckets(spark, tiny_buckets):
+    r = random.Random(1)
+    rows = [(r.random() if r.random() < 0.8 else 0.5, int(r.random() < 0.2)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    for c in ranking.score_curve(df, "s", "y").collect():
+        assert (c.n_above, c.pos_above) == (sum(x >= c.score for x, _ in rows), sum(y for x, y in rows if x >= c.score))
+        assert (c.total_n, c.total_pos) == (900, sum(y for _, y in rows))
+    got = {q.quantile: q.value for q in ranking.exact_quantiles(df, "s", [0.0, 0.3, 0.5, 0.99, 1.0]).collect()}
+    assert all(abs(v - np.quantile([x for x, _ in rows], q)) < 1e-12 for q, v in got.items())
+
+
 # -- online policy -------------------------------------------------------------
 
 def fold(rows, budget, window=5000, min_scores=50, fallback=0.95):
