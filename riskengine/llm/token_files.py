@@ -8,11 +8,14 @@ documents in the order of the key. Memory holds one block, whatever a task holds
 
 A cut before a single space between two other characters that are not white space is
 always a boundary of the tokenizer's own pieces, so distinct words are encoded once
-and gathered; texts with other white space around spaces are encoded whole.
+and gathered; texts with other white space around spaces are encoded whole, and so are
+texts with a string that the tokenizer's file declares as a token (it becomes that token, as
+with the library's own settings).
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +36,7 @@ END = 2                    # id after each document
 BLOCK_IDS = 1_000_000
 PIECE = 8 << 20            # bytes of text split at a time
 CACHED_WORDS = 250_000     # some 40 MB a worker
-GROUP = 20_000             # words encoded at a time
+GROUP = 50                 # words of one string given to the tokenizer: longer ones take more time a word
 OTHER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 ODD = f"^ | $|{OTHER_SPACE} | {OTHER_SPACE}"
 SCHEMA = "part int, block int, keys array<bigint>, sizes array<bigint>, payload binary"
@@ -47,21 +50,27 @@ def tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     opens = np.zeros(t.get_vocab_size(), dtype=bool)
     opens[[i for s, i in t.get_vocab().items() if s.startswith("Ġ")]] = True
     return t, opens
 
 
+@lru_cache(maxsize=4)
+def odd_texts(name: str) -> str:
+    """Texts that are encoded whole: other white space around spaces, or strings that the tokenizer's file declares as tokens."""
+    declared = [re.escape(a.content) for a in tokenizer(name)[0].get_added_tokens_decoder().values()]
+    return "|".join([ODD, *declared])
+
+
 def encode_whole(t, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encode(column: pa.Array, name: str = TOKENIZER) -> Iterator[np.ndarray]:
     """The ids of each text (without an end id); NULL is the empty text."""
-    t, _ = tokenizer(name)
+    t, odd_text = tokenizer(name)[0], odd_texts(name)
     for part in shingles.pieces(column.fill_null(""), PIECE):
-        odd = pc.match_substring_regex(part, ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(part, odd_text).to_numpy(zero_copy_only=False)
         empty = pc.equal(part, "").to_numpy(zero_copy_only=False)
         plain = part.filter(pa.array(~odd & ~empty))
         apart = iter(encode_whole(t, part.filter(pa.array(odd)).to_pylist()))
@@ -87,8 +96,7 @@ class Words:
         at = np.array([self.index.get(w, -1) for w in table], np.int64)
         missing = np.flatnonzero(at < 0)
         new = [table[i] for i in missing]
-        parts = [np.array(t.encode_batch_fast([" " + " ".join(new[i:i + GROUP])], add_special_tokens=False)[0].ids, np.uint32)
-                 for i in range(0, len(new), GROUP)]
+        parts = encode_whole(t, [" " + " ".join(new[i:i + GROUP]) for i in range(0, len(new), GROUP)])
         more = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         cut = np.append(np.flatnonzero(opens[more]), len(more)).astype(np.int64)
         known = len(self.cut) - 1

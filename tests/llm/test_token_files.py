@@ -9,11 +9,13 @@ import pytest
 from riskengine.llm import grammar, token_files
 
 HARD = ["", None, "a", " a", "a ", "a  b", "a b", "a \nb", "a\n b c", "a  b", "a  b", "a   b", "a\x85 b", "a \x1c b", "a b\n\nc d", "don't we'll 12 345 ...!",
-        "É é ñ \U0001f600 x", "<|endoftext|> a <|endoftext|>", "word " * 5000 + "end", "x" * 30000, " ", "\n", "a\tb c", "  ", "a　 b c", "﻿a b", "a\x0b b"]
+        "É é ñ \U0001f600 x", "<|endoftext|> a <|endoftext|>", "a<|endoftext|>b", "one two<|endoftext|> three four", "<|endoftext", "a <|endoftext|>", "word " * 5000 + "end", "x" * 30000, " ", "\n", "a\tb c", "  ", "a　 b c", "﻿a b", "a\x0b b"]
 
 
 def plain(texts):
-    t, _ = token_files.tokenizer(token_files.TOKENIZER)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))  # the library's own settings
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
