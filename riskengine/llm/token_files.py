@@ -121,7 +121,7 @@ def encode_words(name: str, texts: pa.Array) -> Iterator[np.ndarray]:
     flat = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
     at = at - at[0]
     code = flat.indices.to_numpy().astype(np.int64)
-    table = flat.dictionary.to_pylist()
+    table = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
     first = np.unique(code[at[:-1]])  # words that open a text have no space before them
     heads = encode_whole(t, [table[i] for i in first])
     every, begin, size = words_of(name).find(t, opens, table)
