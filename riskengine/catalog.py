@@ -335,7 +335,7 @@ def exact_percentiles(spark, d):
 @query
 def service_summary(spark, d):
     df = txn_events(spark, d).select(
-        F.col("amount").alias("latency_ms"), (F.col("fraud_probability") > 0.2).alias("alert"),
+        "event_timestamp", F.col("amount").alias("latency_ms"), (F.col("fraud_probability") > 0.2).alias("alert"),
         (F.col("payee_vpa") == "merchant_error@upi").alias("error"))
     return rounded(metrics.service_summary(df))
 
@@ -904,8 +904,9 @@ def stream_alert_policy(spark, d):
 
 @query
 def stream_daily_metrics(spark, d):
-    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "fraud_probability",
-                                     (F.col("fraud_probability") > 0.2).alias("alert"))
+    df = txn_events(spark, d).select("transaction_id", "event_timestamp", "fraud_probability", F.col("amount").alias("latency_ms"),
+                                     (F.col("fraud_probability") > 0.2).alias("alert"),
+                                     (F.col("payee_vpa") == "merchant_error@upi").alias("error"))
     root, src = _staged(df, "metrics")
     out = f"{root}/out"
     source.run_to_end(policy.daily_service_metrics(source.read_events(spark, src, df.schema, 1)),

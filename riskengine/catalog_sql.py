@@ -427,7 +427,10 @@ SQL: dict[str, str] = {
       count(*) FILTER (payee_vpa = 'merchant_error@upi') AS error_count, round(avg(amount), 4) AS avg_latency_ms,
       round(count(*) FILTER (score > 0.2)::DOUBLE / count(*), 4) AS alert_rate,
       round(quantile_cont(amount, 0.5), 4) AS p50_latency_ms, round(quantile_cont(amount, 0.95), 4) AS p95_latency_ms,
-      round(quantile_cont(amount, 0.99), 4) AS p99_latency_ms FROM txn""",
+      round(quantile_cont(amount, 0.99), 4) AS p99_latency_ms,
+      round(count(*) / greatest((max(us) - min(us)) / 1e6::DOUBLE, 1.0), 4) AS requests_per_second,
+      (SELECT round(count(*) FILTER (score > 0.2)::DOUBLE / count(*), 4) FROM txn WHERE event_date = (SELECT max(event_date) FROM txn)) AS daily_budget_utilization
+      FROM txn""",
     "score_by_class": f"""WITH {TXN} SELECT is_fraud, count(*) AS n, round(avg(score), 4) AS mean_score,
       round(stddev_samp(score), 4) AS std_score, round(min(score), 4) AS min_score, round(max(score), 4) AS max_score
       FROM txn GROUP BY is_fraud""",
@@ -561,7 +564,12 @@ SQL: dict[str, str] = {
     "stream_alert_policy": f"""WITH RECURSIVE {TXN}, {_ROLL}, {_sequential('thr')}
       SELECT transaction_id, should_alert, budget_exceeded, daily_count FROM seq""",
     "stream_daily_metrics": f"""WITH {TXN} SELECT event_date, count(*) AS total_requests,
-      count(*) FILTER (score > 0.2) AS total_alerts, round(avg(score), 4) AS avg_score FROM txn GROUP BY event_date""",
+      count(*) FILTER (score > 0.2) AS total_alerts, count(*) FILTER (payee_vpa = 'merchant_error@upi') AS error_count,
+      round(avg(score), 4) AS avg_score, round(avg(amount), 4) AS avg_latency_ms,
+      round(quantile_cont(round(amount, 3), 0.5), 4) AS p50_latency_ms, round(quantile_cont(round(amount, 3), 0.95), 4) AS p95_latency_ms,
+      round(quantile_cont(round(amount, 3), 0.99), 4) AS p99_latency_ms,
+      round(count(*) / greatest((max(us) - min(us)) / 1e6::DOUBLE, 1.0), 4) AS requests_per_second,
+      round(count(*) FILTER (score > 0.2)::DOUBLE / count(*), 4) AS daily_budget_utilization FROM txn GROUP BY event_date""",
     "stream_gate": f"""WITH {GATED} SELECT transaction_id FROM gated
       WHERE NOT (amount > 0 AND currency = 'INR' AND (label_ts IS NULL OR label_ts > ts))""",
     "stream_deduplicated": f"WITH {TXN} SELECT transaction_id, amount FROM txn",

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskengine.functions.timing import SECOND, event_date, micros
 from riskengine.operators.heat import (HOT_ROWS, KeyProfile, profile_keys, row_ranks, row_running)
+from riskengine.operators import rolling
 from riskengine.operators.ranking import clean_score, kth_largest, reaches
 from riskengine.session import materialise
 
@@ -145,20 +143,7 @@ def rolling_threshold(scored: DataFrame, segment: str, budget: float = BUDGET, *
 
     def one_run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn", kind="stable")
-        scores = pdf["_score"].fillna(float("-inf")).to_numpy()
-        kept: list[float] = []
-        out = []
-        for i, s in enumerate(scores):
-            bisect.insort(kept, s)
-            if len(kept) > window:
-                del kept[bisect.bisect_left(kept, scores[i - window])]
-            n = len(kept)
-            if n < min_scores:
-                out.append(fallback)
-            else:
-                k = max(1, min(math.ceil(budget * n), n))
-                out.append(kept[n - k])
-        pdf["alert_threshold"] = out
+        pdf["alert_threshold"] = rolling.thresholds(pdf["_score"].to_numpy("float64"), window, budget, min_scores, fallback)
         mine = pdf[pdf["_own"] == pdf["_run"]]
         return mine[["_id", "segment", "_us", "_score", "alert_threshold"]]
 

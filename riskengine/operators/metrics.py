@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskengine.functions.timing import SECOND, event_date, micros
 from riskengine.operators.alerts import (BUDGET, SCORE, alert_cutoffs, alerts_by_budget,
                                          risk_tier)
 from riskengine.operators.ranking import exact_quantiles, reaches, score_curve
@@ -204,18 +205,28 @@ def confusion_at_threshold(scored: DataFrame, threshold: float = 0.5, score: str
                     ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"))
 
 
+LATENCY_QUANTILES = (0.5, 0.95, 0.99)
+
+
 def service_summary(log: DataFrame, *, latency: str = "latency_ms", alert: str = "alert",
-                    error: str = "error") -> DataFrame:
-    """Requests, alerts, errors and latency percentiles of a scored log."""
-    q = exact_quantiles(log, latency, [0.5, 0.95, 0.99])
+                    error: str = "error", ts: str = "event_timestamp") -> DataFrame:
+    """Requests, rate, alerts, errors and latency percentiles of a scored log, and the share of its last day that was alerted."""
+    q = exact_quantiles(log, latency, list(LATENCY_QUANTILES))
     wide = q.agg(*[F.max(F.when(F.col("quantile") == p, F.col("value"))).alias(f"p{int(p * 100)}_latency_ms")
-                   for p in (0.5, 0.95, 0.99)])
-    g = log.agg(F.count(F.lit(1)).alias("total_requests"),
-                F.count(F.when(F.col(alert), 1)).alias("total_alerts"),
-                F.count(F.when(F.col(error), 1)).alias("error_count"),
-                F.avg(latency).alias("avg_latency_ms"))
-    return g.withColumn("alert_rate", ratio("total_alerts", "total_requests")).crossJoin(
-        F.broadcast(wide))  # one row each
+                   for p in LATENCY_QUANTILES])
+    us = micros(ts)
+    days = log.groupBy(event_date(ts).alias("_day")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col(alert), 1)).alias("_a"), F.count(F.when(F.col(error), 1)).alias("_e"),
+        F.sum(latency).alias("_l"), F.count(latency).alias("_k"), F.min(us).alias("_from"), F.max(us).alias("_to"))
+    last = F.max(F.when(F.col("_day").isNotNull(), F.struct("_day", "_a", "_n")))
+    span = F.greatest((F.max("_to") - F.min("_from")) / SECOND, F.lit(1.0))
+    g = days.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_requests"), F.coalesce(F.sum("_a"), F.lit(0)).alias("total_alerts"),
+        F.coalesce(F.sum("_e"), F.lit(0)).alias("error_count"), (F.sum("_l") / F.sum("_k")).alias("avg_latency_ms"),
+        (F.sum("_n") / span).alias("requests_per_second"), last.alias("_last"))
+    g = g.withColumns({"alert_rate": ratio("total_alerts", "total_requests"),
+                       "daily_budget_utilization": ratio(F.col("_last._a"), F.col("_last._n"))}).drop("_last")
+    return g.crossJoin(F.broadcast(wide)).fillna(0.0)  # one row each; zeros for an empty log
 
 
 def score_by_class(scored: DataFrame, score: str = SCORE, label: str = "is_fraud") -> DataFrame:

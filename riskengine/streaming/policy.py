@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import bisect
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from riskengine.functions.timing import event_date, micros
+from riskengine.functions.timing import SECOND, event_date, micros
+from riskengine.operators import rolling
 from riskengine.operators.alerts import BUDGET, FALLBACK_THRESHOLD, MIN_SCORES, RECENT_SCORES
+from riskengine.operators.metrics import LATENCY_QUANTILES, ratio
 
 _OUT = ("transaction_id string, segment string, _us long, fraud_probability double, alert_threshold double, "
         "daily_count long, daily_budget long, should_alert boolean, budget_exceeded boolean")
@@ -33,41 +34,49 @@ def alert_stream(scored: DataFrame, segment: str, budget: float = BUDGET, *, win
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent, days, counts, issued = state.get if state.exists else ([], [], [], [])
-        recent = list(recent)
-        counters = {d: [n, a] for d, n, a in zip(days, counts, issued)}
-        pdf = pd.concat([f for f in frames if len(f)]).sort_values(["_us", "transaction_id"], kind="stable")
-        ordered = sorted(recent)
-        out = []
-        for tid, us, day, score in zip(pdf["transaction_id"], pdf["_us"], pdf["_day"],
-                                       pdf["fraud_probability"].fillna(float("-inf"))):
-            recent.append(score)
-            bisect.insort(ordered, score)
-            if len(recent) > window:
-                del ordered[bisect.bisect_left(ordered, recent.pop(0))]
-            n = len(ordered)
-            limit = fallback if n < min_scores else ordered[n - max(1, min(math.ceil(budget * n), n))]
-            c = counters.setdefault(day, [0, 0])
-            c[0] += 1
-            quota = max(1, int(c[0] * budget))
-            wanted = float("-inf") < score >= limit  # no alert without a usable score, as in batch
-            alert = wanted and c[1] < quota
-            out.append((tid, key[0], us, score, limit, c[0], quota, alert, wanted and not alert))
-            c[1] += int(alert)
+        counters = {d: (n, a) for d, n, a in zip(days, counts, issued)}
+        pdf = pd.concat([f for f in frames if len(f)]).sort_values(["_us", "transaction_id"], kind="stable").reset_index(drop=True)
+        score = pdf["fraud_probability"].fillna(float("-inf")).to_numpy("float64")
+        known = np.concatenate([np.array(recent, np.float64), score])
+        limit = rolling.thresholds(known, window, budget, min_scores, fallback)[len(recent):]
+        wanted = (score > float("-inf")) & (score >= limit)  # no alert without a usable score, as in batch
+        count, quota, total = (np.zeros(len(pdf), np.int64) for _ in range(3))
+        for day, places in pdf.groupby("_day", sort=False, dropna=False).indices.items():
+            seen, done = counters.get(day, (0, 0))
+            count[places] = seen + np.arange(1, len(places) + 1)
+            quota[places] = np.maximum(1, (count[places] * budget).astype(np.int64))
+            total[places] = rolling.issued_so_far(wanted[places], quota[places], done)
+            counters[day] = (int(count[places[-1]]), int(total[places[-1]]))
+            pdf.loc[places, "_before"] = np.concatenate([[done], total[places][:-1]])
+        alert = total > pdf["_before"].to_numpy()
         last = sorted(counters)
-        state.update((recent, last, [counters[d][0] for d in last], [counters[d][1] for d in last]))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in _OUT.split(", ")])
+        state.update((known[-window:].tolist(), last, [counters[d][0] for d in last], [counters[d][1] for d in last]))
+        yield pd.DataFrame({"transaction_id": pdf["transaction_id"], "segment": key[0], "_us": pdf["_us"], "fraud_probability": score,
+                            "alert_threshold": limit, "daily_count": count, "daily_budget": quota, "should_alert": alert,
+                            "budget_exceeded": wanted & ~alert})
 
     done = rows.groupBy("segment").applyInPandasWithState(
         step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
     return done.withColumn("event_timestamp", F.timestamp_micros("_us")).drop("_us")
 
 
-def daily_service_metrics(scored: DataFrame, score: str = "fraud_probability",
-                          alert: str = "alert") -> DataFrame:
-    """Volume, alerts and mean score per event day, as a tumbling window."""
+def daily_service_metrics(scored: DataFrame, score: str = "fraud_probability", alert: str = "alert", *, error: str = "error",
+                          latency: str = "latency_ms", resolution: int = 3) -> DataFrame:
+    """Per event day, as a tumbling window: volume, rate, alerts, errors, scores, latencies and how much of the day was alerted.
+
+    Latency percentiles are exact for latencies rounded to ``resolution`` digits of a millisecond: the state of
+    a day is how often each of them occurred, added up in the tasks before it is merged.
+    """
+    ms = F.round(F.col(latency).cast("double"), resolution)
+    us = micros("event_timestamp")
+    total, alerts = F.col("total_requests"), F.col("total_alerts")
+    marks = [F.col("_q")[i].alias(f"p{int(q * 100)}_latency_ms") for i, q in enumerate(LATENCY_QUANTILES)]
     return (scored.withWatermark("event_timestamp", "1 day")
             .groupBy(F.window("event_timestamp", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("total_requests"),
-                 F.count(F.when(F.col(alert), 1)).alias("total_alerts"), F.avg(score).alias("avg_score"))
-            .select(F.to_date("w.start").cast("string").alias("event_date"), "total_requests",
-                    "total_alerts", "avg_score"))
+            .agg(F.count(F.lit(1)).alias("total_requests"), F.count(F.when(F.col(alert), 1)).alias("total_alerts"),
+                 F.count(F.when(F.col(error), 1)).alias("error_count"), F.avg(score).alias("avg_score"),
+                 F.avg(latency).alias("avg_latency_ms"), F.percentile(ms, list(LATENCY_QUANTILES)).alias("_q"),
+                 ((F.max(us) - F.min(us)) / SECOND).alias("_span"))
+            .select(F.to_date("w.start").cast("string").alias("event_date"), "total_requests", "total_alerts", "error_count",
+                    "avg_score", "avg_latency_ms", *marks, (total / F.greatest("_span", F.lit(1.0))).alias("requests_per_second"),
+                    ratio(alerts, total).alias("daily_budget_utilization")))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskengine.operators import alerts, heat, metrics, ranking
+from riskengine.operators import alerts, heat, metrics, ranking, rolling
 
 SCORED = "transaction_id string, event_timestamp timestamp, fraud_probability double, is_fraud int"
 DAY0 = datetime(2025, 6, 1)
@@ -267,6 +267,32 @@ def fold(rows, budget, window=5000, min_scores=50, fallback=0.95):
     return out
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_kth_largest_of_last_equals_sorting_each_window(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 400))
+    s = r.choice([r.normal(size=n), np.round(r.normal(size=n), 1), np.zeros(n)][seed % 3:], axis=0) if seed < 2 else np.round(r.normal(size=n), 1)
+    s[r.random(n) < 0.1] = -np.inf
+    for window in (1, 7, 50, 1000):
+        size = np.minimum(np.arange(1, n + 1), window)
+        k = r.integers(1, size + 1)
+        want = [np.sort(s[max(0, i - window + 1):i + 1])[-k[i]] for i in range(n)]
+        assert rolling.kth_largest_of_last(s, window, k).tolist() == want
+    assert rolling.kth_largest_of_last(np.zeros(0), 5, np.zeros(0, int)).tolist() == []
+
+
+def test_issued_equals_the_loop():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        n, done = int(r.integers(1, 80)), int(r.integers(0, 4))
+        quota = np.maximum(done, np.cumsum(r.random(n) < 0.2)) + int(r.integers(0, 2))
+        wanted, have, want = r.random(n) < 0.5, done, []
+        for w, q in zip(wanted, quota):
+            have += int(w and have < q)
+            want.append(have)
+        assert rolling.issued_so_far(wanted, quota, done).tolist() == want
+
+
 @pytest.mark.parametrize("sliced", [False, True])
 def test_online_policy_equals_the_loop(spark, sliced, monkeypatch):
     r = random.Random(5)
@@ -290,7 +316,36 @@ def test_risk_tiers(spark):
 
 
 def test_service_summary(spark):
-    df = spark.createDataFrame([(float(i), i % 10 == 0, False) for i in range(1, 101)], "latency_ms double, alert boolean, error boolean")
+    rows = [(DAY0 + timedelta(hours=i), float(i), i % 10 == 0, i % 25 == 0) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "event_timestamp timestamp, latency_ms double, alert boolean, error boolean")
     r = metrics.service_summary(df).first()
     assert r["total_requests"] == 100 and r["total_alerts"] == 10 and abs(r["p50_latency_ms"] - 50.5) < 1e-9
-    assert abs(r["p99_latency_ms"] - 99.01) < 1e-9
+    assert abs(r["p99_latency_ms"] - 99.01) < 1e-9 and r["error_count"] == 4 and r["avg_latency_ms"] == 50.5
+    assert abs(r["requests_per_second"] - 100 / (99 * 3600)) < 1e-12
+    last = [x for x in rows if x[0].date() == rows[-1][0].date()]
+    assert r["daily_budget_utilization"] == sum(x[2] for x in last) / len(last)
+    assert set(metrics.service_summary(df.limit(0)).first()) == {0}
+
+
+def test_daily_service_metrics_as_a_stream(spark, tmp_path):
+    from riskengine.streaming import policy, source
+    r = random.Random(8)
+    rows = [(DAY0 + timedelta(minutes=17 * i), r.random(), r.random() < 0.1, r.random() < 0.05, round(r.expovariate(0.05), 3) if r.random() < 0.9 else None)
+            for i in range(400)]
+    schema = "event_timestamp timestamp, fraud_probability double, alert boolean, error boolean, latency_ms double"
+    for a in (0, 150, 300):
+        spark.createDataFrame(rows[a:a + 150], schema).repartition(3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = source.read_events(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    out = str(tmp_path / "out")
+    source.run_to_end(policy.daily_service_metrics(events), str(tmp_path / "cp"), lambda b, i: b.write.mode("overwrite").parquet(out), "complete")
+    got = {x.event_date: x for x in spark.read.parquet(out).collect()}
+    for day in {str(x[0].date()) for x in rows}:
+        own = [x for x in rows if str(x[0].date()) == day]
+        ms = [x[4] for x in own if x[4] is not None]
+        g = got[day]
+        assert (g.total_requests, g.total_alerts, g.error_count) == (len(own), sum(x[2] for x in own), sum(x[3] for x in own))
+        for q in (50, 95, 99):
+            assert abs(g[f"p{q}_latency_ms"] - np.percentile(ms, q)) < 1e-9
+        assert abs(g.daily_budget_utilization - sum(x[2] for x in own) / len(own)) < 1e-12
+        span = (max(x[0] for x in own) - min(x[0] for x in own)).total_seconds()
+        assert abs(g.requests_per_second - len(own) / max(span, 1)) < 1e-12
