@@ -14,7 +14,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from riskengine import catalog
 from riskengine.fixtures import txn_events, txn_lineitem
@@ -44,6 +44,9 @@ def distinct_counts(t):
 
 HEADLINES = {
     "payer_velocity_600k": lineitem(lambda t: history.payer_velocity(t.select(*NARROW))),
+    # twenty payers: windows of a thousand rows and more
+    "payer_velocity_dense_600k": lineitem(lambda t: history.payer_velocity(t.select(*NARROW).withColumn(
+        "payer_id", F.concat(F.lit("u"), F.substring("payer_id", 2, 9).cast("long") % 20)))),
     "device_velocity_600k": lineitem(lambda t: history.device_velocity(t.select(*NARROW))),
     "distinct_counts_600k": lineitem(distinct_counts),
     "risk_history_600k": lineitem(lambda t: history.risk_history(t.select(
@@ -53,7 +56,7 @@ HEADLINES = {
         t.select(*NARROW), "device_id", "payer_id", "d7")),
     "feature_backtest": feature_backtest,
     **{name: catalog.QUERIES[name] for name in (
-        "full_features", "full_features_orders", "daily_alerts", "daily_metrics", "budget_curve", "roc_pr_auc",
+        "full_features", "full_features_orders", "history_totals_hot", "anomaly_scores", "daily_alerts", "daily_metrics", "budget_curve", "roc_pr_auc",
         "exact_percentiles", "rolling_threshold", "sequential_budget", "standardise_upi", "contract_rejects",
         "quality_report", "device_rings", "velocity_spikes", "temporal_split", "batch_stream_diff")},
 }

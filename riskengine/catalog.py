@@ -11,7 +11,7 @@ from riskengine.fixtures import table, txn_events, txn_orders
 from riskengine.functions.identity import (device_hash, payee_address, payer_address, payer_hash,
                                            payer_of_address)
 from riskengine.functions.timing import epoch_seconds, micros
-from riskengine.models import anomaly, preparation, supervised
+from riskengine.models import anomaly, nodes, preparation, supervised
 from riskengine.operators import (alerts, compare, contracts, detect, features, heat, history,
                                   metrics, quality, ranking, split)
 from riskengine.plans import scoring, training
@@ -165,7 +165,19 @@ def history_slice(spark, d):
 def history_slice_totals(spark, d):
     df = txn_events(spark, d).select("transaction_id", "event_timestamp", "payer_id", "amount")
     probes = df.groupBy("payer_id").agg(F.max("event_timestamp").alias("probe_timestamp"))
-    return rounded(history.slice_totals(history.history_slice(df, probes, "payer_id", 86400), "payer_id"))
+    return rounded(history.history_totals(df, probes, "payer_id", 86400).drop("probe_timestamp"))
+
+
+@query
+def history_totals_hot(spark, d):
+    """Totals of the year before each hundredth order, with every payer on the sliced path; some probes ask for unknown payers."""
+    df = txn_orders(spark, d).select("transaction_id", "event_timestamp", "payer_id", "amount")
+    i = F.col("transaction_id").cast("long")
+    probes = df.filter(i % 100 == 0).select("transaction_id", F.col("event_timestamp").alias("probe_timestamp"),
+                                            F.when(i % 300 != 0, F.col("payer_id")).otherwise("nobody").alias("asked"))
+    profile = heat.KeyProfile(tuple(str(k) for k in range(50)), heat.HOT_ROWS, 100 * 86400 * 10**6)
+    out = history.history_totals(df, probes, "payer_id", 365 * 86400, probe_key="asked", profile=profile)
+    return rounded(out.drop("probe_timestamp"))
 
 
 # -- alerts --------------------------------------------------------------------
@@ -505,9 +517,27 @@ def table_profile(spark, d):
     return quality.table_profile(_gated(spark, d))
 
 
+def _stored(df: DataFrame, files: int, *order: str) -> DataFrame:
+    """``df`` as a table of several files in the given order, with the places of its rows."""
+    path = f"{shared_dir(df.sparkSession)}/tables/ordered-{uuid.uuid4().hex}"
+    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
+    return quality.with_places(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
 @query
 def dataset_validation(spark, d):
-    return quality.dataset_validation(_gated(spark, d))
+    """The table lies by device, so its times fall where a device begins."""
+    return quality.dataset_validation(_stored(_gated(spark, d), 5, "device_id", "event_timestamp", "transaction_id"))
+
+
+@query
+def order_rules(spark, d):
+    """Order along a table of several files: kept, kept mostly, and broken."""
+    df = txn_orders(spark, d).select(F.col("transaction_id").cast("long").alias("number"), "event_timestamp",
+                                     F.when(F.col("device_id") != "5-LOW", F.col("amount")).alias("amount"))
+    suite = [quality.increasing("number"), quality.increasing("event_timestamp"), quality.increasing("event_timestamp", 0.45),
+             quality.increasing("amount", 0.6), quality.not_null("amount")]
+    return rounded(quality.quality_report(_stored(df, 7, "number"), {"order": suite}))
 
 
 @query
@@ -706,6 +736,18 @@ def label_encode(spark, d):
     return preparation.category_codes(df, ["payee_vpa", "device_id"])
 
 
+@query
+def encoded_rows_joined(spark, d):
+    """The same codes when every column has too many values for a list."""
+    df = txn_events(spark, d).select(
+        "transaction_id", "event_timestamp", "payee_vpa",
+        F.when(F.col("amount") > 5, F.concat_ws("/", "device_id", "payee_vpa")).alias("pair"))
+    early = df.filter(F.col("event_timestamp") < F.lit("2024-01-10").cast("timestamp"))
+    enc = preparation.fit_encoder(early, ["pair", "payee_vpa"], max_categories=1)
+    return enc.transform(df).select("transaction_id", F.col("pair").cast("long").alias("pair_code"),
+                                    F.col("payee_vpa").cast("long").alias("payee_code"))
+
+
 @query
 def encoded_rows(spark, d):
     """Encoder fitted on the earlier rows; unseen values take the code of missing."""
@@ -737,18 +779,63 @@ def anomaly_top_precision(spark, d):
         F.count(F.lit(1)).alias("n_flagged"), F.avg("is_fraud").alias("precision")))
 
 
+@query
+def anomaly_contract(spark, d):
+    """What the anomaly stage finds in a table: columns it may use, must not use, and misses."""
+    df = features.build_features(txn_events(spark, d)).drop("payer_txn_sum_1h").withColumn("is_fraud", F.lit(0))
+    return anomaly.contract_report(df).join(df.agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@query
+def model_inputs(spark, d):
+    """The columns a model may be trained on, with their kind and how many rows have a value."""
+    df = _model_table(spark, d)
+    kinds = dict(zip(("numeric", "category"), preparation.split_by_type(df, preparation.model_columns(df))))
+    values = df.agg(*[F.count(c).alias(c) for cs in kinds.values() for c in cs])
+    return values.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(c).alias("n_values"))
+                                             for kind, cs in kinds.items() for c in cs])).alias("x")).select("x.*")
+
+
 @query
 def anomaly_importance(spark, d):
     f = materialise(features.build_features(txn_events(spark, d)), "features")
     return rounded(anomaly.permutation_importance(anomaly.train_forest(f), f))
 
 
-GBT = {"maxIter": 10, "maxDepth": 4}
+@query
+def model_node_tables(spark, d):
+    """Forest and boosted trees as node tables walked by joins, against the models themselves, before and after they are saved."""
+    table_ = materialise(_model_table(spark, d), "model-table")
+    root = f"{shared_dir(spark)}/models/nodes-{uuid.uuid4().hex}"
+    done = training.run_training(table_, test_days=7, output=root)
+    test = materialise(split.temporal_split(table_, done.dates)[1], "test-rows")
+    forest = anomaly.IsolationForest.load(spark, f"{root}/forest")
+    model = supervised.SupervisedModel.load(spark, f"{root}/model")
+    tables_ = {"forest": nodes.forest_nodes(spark, forest), "boosted": nodes.boosted_nodes(spark, f"{root}/model")}
+    stored = {k: materialise(t, "nodes") for k, t in tables_.items()}
+    scored = materialise(done.forest.score(test), "scored")
+    walked = {"forest": materialise(nodes.forest_scores(test, forest, stored["forest"]), "walked"),
+              "boosted": materialise(nodes.boosted_scores(scored, model, stored["boosted"]), "walked")}
+    kept = {("forest", "trained"): scored.select("transaction_id", "anomaly_score"),
+            ("forest", "loaded"): forest.score(test).select("transaction_id", "anomaly_score"),
+            ("boosted", "trained"): done.test_scores.select("transaction_id", "fraud_probability"),
+            ("boosted", "loaded"): model.predict(scored)}
+    rows = None
+    for (name, when), own in kept.items():
+        part = compare.difference_counts(own, walked[name], atol=1e-9).select(F.lit(name).alias("model"), F.lit(when).alias("stage"), "*")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 def _trained(spark, d, **kw):
     table_ = materialise(_model_table(spark, d), "model-table")
-    return training.run_training(table_, test_days=7, **{**GBT, **kw})
+    return training.run_training(table_, test_days=7, **kw)
+
+
+def _fitted(table_):
+    """A model of all labelled rows; their latest part tells when to stop."""
+    rows = materialise(split.validation_tail(table_.filter(F.col("is_fraud").isin(0, 1))), "train")
+    return supervised.train_supervised(rows, validation="is_validation")
 
 
 @query
@@ -769,7 +856,7 @@ def feature_importance(spark, d):
 @query
 def stage_comparison(spark, d):
     table_ = materialise(_model_table(spark, d), "model-table")
-    return rounded(training.compare_stages(table_, test_days=7, **GBT))
+    return rounded(training.compare_stages(table_, test_days=7))
 
 
 @query
@@ -779,7 +866,7 @@ def batch_score(spark, d):
     late = F.col("event_timestamp") >= F.lit("2024-01-25").cast("timestamp")
     df = df.withColumn("is_fraud", F.when(~late, F.col("is_fraud")))
     table_ = materialise(scoring.model_table(df), "model-table")
-    model = supervised.train_supervised(table_, **GBT)
+    model = _fitted(table_)
     return scoring.score_unlabelled(df, model).select("transaction_id", r4("fraud_probability"))
 
 
@@ -949,7 +1036,7 @@ def stream_scores(spark, d):
     """Streamed rows scored by a model trained on the batch table."""
     df = txn_events(spark, d).drop("fraud_probability", "payer_vpa", "currency")
     table_ = materialise(scoring.model_table(df), "model-table")
-    model = supervised.train_supervised(table_, **GBT)
+    model = _fitted(table_)
     return _feature_stream(df, "scores", model=model).read("scores").select("transaction_id", r4("fraud_probability"), "risk_tier")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskengine.schema import FEATURES
+from riskengine.schema import DEVICE_VELOCITY, DISTINCT_COUNTS, FEATURES, PAYER_VELOCITY
 
 TXN = """txn AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id, event_id, ts, epoch_us(ts) AS us,
@@ -105,6 +105,45 @@ def _unordered(select: str, lateness_us: int = 20 * 86400 * 10**6) -> str:
 {select}"""
 
 
+def _forest(trees: int = 100, sample: int = 256, seed: int = 42) -> str:
+    """The forest grown level by level on ``feat``, and ``anomaly``: each row's score."""
+    cols = PAYER_VELOCITY + DEVICE_VELOCITY + DISTINCT_COUNTS
+    depth, each = (sample - 1).bit_length(), range(1, len(cols) + 1)
+
+    def draw(text):
+        return f"('0x' || substr(md5('{seed}:' || {text}), 1, 13))::BIGINT"
+
+    def node_draw(what):
+        return f"{draw(f"tree || ':' || node || ':{what}'")} / 4503599627370496.0::DOUBLE"
+
+    def path(n):
+        return f"(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1)::DOUBLE / {n} END)"
+    parts = [f"x AS MATERIALIZED (SELECT transaction_id, [{', '.join(c + '::DOUBLE' for c in cols)}] AS x FROM feat)",
+             f"pool AS (SELECT * FROM x QUALIFY row_number() OVER (ORDER BY {draw('transaction_id')}, transaction_id) <= {trees * sample})",
+             f"""l0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, x FROM pool, range({trees}) t(tree) QUALIFY row_number() OVER (
+               PARTITION BY tree ORDER BY {draw("tree || ':' || transaction_id")}, transaction_id) <= {sample})"""]
+    for d in range(depth + 1):
+        low, high = (", ".join(f"{f}(x[{i}])" for i in each) for f in ("min", "max"))
+        parts.append(f"""i{d} AS MATERIALIZED (SELECT *, list_filter(range(1, {len(cols) + 1}), lambda i: hi[i] > lo[i]) AS varies
+          FROM (SELECT tree, node, count(*) AS n, [{low}] AS lo, [{high}] AS hi FROM l{d} GROUP BY tree, node))""")
+        if d < depth:
+            parts.append(f"""c{d} AS MATERIALIZED (SELECT tree, node, f, lo[f] + {node_draw('cut')} * (hi[f] - lo[f]) AS cut
+              FROM (SELECT *, varies[1 + floor({node_draw('feature')} * len(varies))::INT] AS f FROM i{d} WHERE n > 1 AND len(varies) > 0))""")
+            parts.append(f"""l{d + 1} AS MATERIALIZED (SELECT l.tree, CASE WHEN x[f] <= cut THEN 2 * l.node ELSE 2 * l.node + 1 END AS node, x
+              FROM l{d} l JOIN c{d} c ON l.tree = c.tree AND l.node = c.node)""")
+    parts.append("inside AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM c{d}" for d in range(depth)) + ")")
+    ends = " UNION ALL ".join(f"SELECT tree, node, {d} + {path('n')} AS steps FROM i{d}" + (f" ANTI JOIN c{d} USING (tree, node)" if d < depth else "") for d in range(depth + 1))
+    parts.append(f"leaves AS MATERIALIZED ({ends})")
+    parts.append(f"w0 AS (SELECT transaction_id, x, tree, 1::BIGINT AS node FROM x, range({trees}) t(tree))")
+    for d in range(depth):
+        parts.append(f"""w{d + 1} AS (SELECT transaction_id, x, w.tree, CASE WHEN f IS NULL THEN w.node WHEN x[f] <= cut THEN 2 * w.node ELSE 2 * w.node + 1 END AS node
+          FROM w{d} w LEFT JOIN inside i ON w.tree = i.tree AND w.node = i.node)""")
+    parts.append(f"""raw AS MATERIALIZED (SELECT transaction_id, pow(2.0::DOUBLE, -(sum(steps) / {trees}) / {path(f'{sample}.0::DOUBLE')}) AS raw
+      FROM w{depth} JOIN leaves USING (tree, node) GROUP BY transaction_id)""")
+    parts.append("""anomaly AS (SELECT transaction_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) AS anomaly_score FROM raw)""")
+    return ", ".join(parts)
+
+
 # alerts at budget b: the ceil(b * n) best of each day
 def _alerts(b: float, src: str = TXN) -> str:
     return f"""{src}, al AS (
@@ -239,7 +278,7 @@ SELECT *, round(100.0::DOUBLE * unexpected / total, 4) AS pct, unexpected = 0 AS
 
 
 def _ranges() -> str:
-    from riskengine.schema import FEATURES
+    from riskengine.schema import DEVICE_VELOCITY, DISTINCT_COUNTS, FEATURES, PAYER_VELOCITY
     parts = [f"""SELECT '{c}' AS feature, round(min({c})::DOUBLE, 4) AS min_value, round(max({c})::DOUBLE, 4) AS max_value,
       round(avg({c}), 4) AS avg_value, count(*) FILTER ({c} < 0) AS n_negative,
       count(*) FILTER ({c} IS NULL) AS n_null FROM feat""" for c in FEATURES]
@@ -330,8 +369,13 @@ SQL: dict[str, str] = {
     "full_features_orders": f"WITH {_features(ORD)} SELECT * FROM feat",
     "full_features_hot_keys": f"WITH {_features(ORD)} SELECT * FROM feat",
     "history_slice": f"""WITH {TXN}, {_SLICE} SELECT payer_id, transaction_id, epoch_us(pt) AS probe_us, amount FROM sl""",
-    "history_slice_totals": f"""WITH {TXN}, {_SLICE} SELECT payer_id, count(*) AS txn_count,
-      round(sum(amount), 4) AS txn_sum FROM sl GROUP BY payer_id""",
+    "history_slice_totals": f"""WITH {TXN}, p AS (SELECT payer_id, max(ts) AS pt FROM txn GROUP BY payer_id)
+      SELECT p.payer_id, count(t.transaction_id) AS txn_count, round(coalesce(sum(t.amount), 0), 4) AS txn_sum
+      FROM p LEFT JOIN txn t ON t.payer_id = p.payer_id AND t.ts >= pt - INTERVAL 1 DAY AND t.ts < pt GROUP BY p.payer_id""",
+    "history_totals_hot": f"""WITH {ORD}, p AS (SELECT transaction_id, ts AS pt, CASE WHEN transaction_id::BIGINT % 300 <> 0 THEN payer_id ELSE 'nobody' END AS asked
+        FROM txn WHERE transaction_id::BIGINT % 100 = 0)
+      SELECT p.transaction_id, asked, count(t.transaction_id) AS txn_count, round(coalesce(sum(t.amount), 0), 4) AS txn_sum
+      FROM p LEFT JOIN txn t ON t.payer_id = asked AND t.ts >= pt - INTERVAL 365 DAY AND t.ts < pt GROUP BY p.transaction_id, asked""",
     "daily_alerts": f"WITH {_alerts(0.01)} SELECT transaction_id, event_date, alert FROM al",
     "daily_alerts_orders": f"""WITH {ORD}, t2 AS (SELECT transaction_id, date_trunc('month', ts) AS ts,
         floor(amount / 60000) / 10 AS score, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS event_date FROM txn)
@@ -473,7 +517,17 @@ SQL: dict[str, str] = {
         WHERE n > 1) AS BIGINT) AS unexpected, count(*) AS total FROM gated UNION ALL
       SELECT 'greater_than_event_timestamp', count(*) FILTER (label_ts <= ts), count(*) FROM gated UNION ALL
       SELECT 'not_null', count(*) FILTER (ts IS NULL), count(*) FROM gated UNION ALL
+      SELECT 'increasing', count(*) FILTER (ts < before), count(*) FROM (
+        SELECT ts, lag(ts) OVER (ORDER BY device_id, ts, transaction_id) AS before FROM gated) UNION ALL
       SELECT 'fraud_total', count(*) FILTER (is_fraud = 1), count(*) FROM gated""",
+    "order_rules": """WITH o AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS amount FROM orders),
+      t AS (SELECT count(*) AS n, count(*) FILTER (o_orderdate < before) AS bad FROM (SELECT *, lag(o_orderdate) OVER (ORDER BY o_orderkey) AS before FROM o)),
+      a AS (SELECT count(*) AS n, count(*) FILTER (amount < before) AS bad FROM (SELECT *, lag(amount) OVER (ORDER BY o_orderkey) AS before FROM o WHERE amount IS NOT NULL)),
+      e(position, rule, "column", unexpected, total, mostly) AS (SELECT 0, 'increasing', 'number', 0, n, 1.0::DOUBLE FROM t
+        UNION ALL SELECT 1, 'increasing', 'event_timestamp', bad, n, 1.0::DOUBLE FROM t UNION ALL SELECT 2, 'increasing', 'event_timestamp', bad, n, 0.45::DOUBLE FROM t
+        UNION ALL SELECT 3, 'increasing', 'amount', bad, n, 0.6::DOUBLE FROM a UNION ALL SELECT 4, 'not_null', 'amount', t.n - a.n, t.n, 1.0::DOUBLE FROM t, a)
+      SELECT 'order' AS suite, position, rule, "column", unexpected, total, round(100.0::DOUBLE * unexpected / total, 4) AS pct,
+        total - unexpected >= mostly * total AS success FROM e""",
     "label_delay_stats": f"""WITH {GATED}, h AS (SELECT (epoch_us(label_ts) - epoch_us(ts)) / 3600000000.0::DOUBLE AS h FROM gated)
       SELECT count(h) AS n, round(avg(h), 4) AS avg_hours, round(min(h), 4) AS min_hours, round(max(h), 4) AS max_hours,
       count(*) FILTER (h <= 0) AS not_after_event FROM h""",
@@ -548,6 +602,21 @@ SQL: dict[str, str] = {
       b AS (SELECT payee_vpa, dense_rank() OVER (ORDER BY payee_vpa) - 1 AS code FROM (SELECT DISTINCT payee_vpa FROM early))
       SELECT transaction_id, coalesce(a.code, (SELECT code FROM a WHERE pair = '__MISSING__'), 0) AS pair_code,
       coalesce(b.code, 0) AS payee_code FROM t LEFT JOIN a USING (pair) LEFT JOIN b USING (payee_vpa)""",
+    "anomaly_scores": f"WITH {_features(TXN)}, {_forest()} SELECT transaction_id, round(anomaly_score, 4) AS anomaly_score FROM anomaly",
+    "anomaly_top_precision": f"""WITH {_features(TXN)}, {_forest()}, r AS (
+      SELECT anomaly_score AS s, is_fraud, row_number() OVER (ORDER BY anomaly_score DESC) AS n, count(*) OVER () AS total
+      FROM anomaly JOIN txn USING (transaction_id))
+      SELECT count(*) AS n_flagged, round(avg(is_fraud), 4) AS precision FROM r
+      WHERE s >= (SELECT min(s) FROM r WHERE n <= ceil(0.01::DOUBLE * total))""",
+    "anomaly_contract": "SELECT * FROM (VALUES " + ", ".join(
+        [f"('{c}', '{'missing' if c == 'payer_txn_sum_1h' else 'used'}')" for c in PAYER_VELOCITY + DEVICE_VELOCITY + DISTINCT_COUNTS]
+        + [f"('{c}', 'forbidden')" for c in ("payer_past_fraud_count_30d", "is_fraud")])
+        + """) AS v("column", state), (SELECT count(*) AS n_rows FROM events)""",
+    "model_inputs": """SELECT c AS "column", 'numeric' AS kind, count(*) AS n_values FROM events, (VALUES """ + ", ".join(
+        f"('{c}')" for c in [*FEATURES, "amount"]) + ") AS v(c) GROUP BY c",
+    "model_node_tables": f"""WITH {TXN}, {SPLIT} SELECT model, stage, count(*) AS n_compared, 0 AS n_one_sided, 0 AS n_rows_different,
+      0 AS n_cells_different FROM s, (VALUES ('forest', 'trained'), ('forest', 'loaded'), ('boosted', 'trained'), ('boosted', 'loaded'))
+      AS v(model, stage) WHERE split = 'test' GROUP BY model, stage""",
     "backtest_range": f"""WITH {_daily(0.01)} SELECT event_date, num_transactions, num_alerts, tp, fp, fn, tn, total_fraud,
       total_legit, {_round('alert_rate precision recall false_alert_rate')} FROM daily
       WHERE event_date BETWEEN '2024-01-08' AND '2024-01-14'""",
@@ -590,3 +659,4 @@ SQL: dict[str, str] = {
       total_legit, {_round('alert_rate precision recall false_alert_rate')} FROM daily""",
     "sorted_table": "SELECT 1.0::DOUBLE AS lowest_share, true AS in_order, count(*) AS n FROM events",
 }
+SQL["encoded_rows_joined"] = SQL["encoded_rows"]

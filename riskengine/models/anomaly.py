@@ -1,7 +1,12 @@
-"""Isolation forest: trees grown from small hash samples, scores computed in Arrow batches."""
+"""Isolation forest: trees grown from small hash samples, scores computed in Arrow batches.
+
+Every draw is a hash of the seed, the tree and a row's id or a node's number, so a forest does not
+depend on how its table is stored, and the same trees can be grown by any engine that has MD5.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -10,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskengine.models.preparation import load_json, save_json
+from riskengine.operators.ranking import kth_largest
 from riskengine.schema import DEVICE_VELOCITY, DISTINCT_COUNTS, PAYER_VELOCITY
+from riskengine.session import materialise
 
 REQUIRED = PAYER_VELOCITY + DEVICE_VELOCITY + DISTINCT_COUNTS
 # What the unsupervised stage must not see.
@@ -28,6 +35,13 @@ def check_contract(df: DataFrame, features: list[str] | None = None) -> list[str
     return [c for c in FORBIDDEN if c in df.columns]
 
 
+def contract_report(df: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """(column, state): each required column as ``used`` or ``missing``, each forbidden one that is there as ``forbidden``."""
+    wanted = list(features or REQUIRED)
+    rows = [(c, "used" if c in df.columns else "missing") for c in wanted] + [(c, "forbidden") for c in FORBIDDEN if c in df.columns]
+    return df.sparkSession.createDataFrame(rows, "column string, state string")
+
+
 def mean_path(n: float) -> float:
     """Average depth of an unsuccessful search among n points."""
     if n <= 1:
@@ -37,26 +51,41 @@ def mean_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes as (node, feature, threshold, left, right, depth); leaves have feature -1."""
-    nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, -1, 0)]
+DRAW_DIGITS = 13  # hexadecimal digits of a hash that make a draw: 52 bits, exact as a double
+
+
+def drawn(*parts: Column | str | int) -> Column:
+    """A whole number below 16^13 from the hash of the parts, joined by colons."""
+    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.col(p) if isinstance(p, str) else F.lit(p) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, DRAW_DIGITS), 16, 10).cast("long")
+
+
+def _draw(*parts) -> float:
+    """The same in [0, 1), for one node."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:DRAW_DIGITS], 16) / 16 ** DRAW_DIGITS
+
+
+def _grow(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple]:
+    """Nodes as (node, feature, threshold, left, right, depth); leaves have feature -1.
+
+    The root is node 1, the children of node n are 2n and 2n + 1. A node is parted by one of the
+    features that vary in it, at a place between the feature's least and largest value.
+    """
+    nodes: list[tuple] = []
+    todo = [(1, np.arange(len(x)), 0)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        me = len(nodes)
-        if parent >= 0:
-            nodes[parent][3 + side] = me
-        spread = x[rows].max(axis=0) > x[rows].min(axis=0) if len(rows) else np.zeros(0, bool)
-        if depth >= limit or len(rows) <= 1 or not spread.any():
-            nodes.append([me, -1, 0.0, -1, -1, depth + mean_path(len(rows))])
+        me, rows, depth = todo.pop()
+        low, high = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (np.zeros(0), np.zeros(0))
+        varies = np.flatnonzero(high > low)
+        if depth >= limit or len(rows) <= 1 or not len(varies):
+            nodes.append((me, -1, 0.0, -1, -1, depth + mean_path(len(rows))))
             continue
-        f = int(rng.choice(np.flatnonzero(spread)))
+        f = int(varies[int(_draw(seed, tree, me, "feature") * len(varies))])
+        cut = float(low[f] + _draw(seed, tree, me, "cut") * (high[f] - low[f]))
+        nodes.append((me, f, cut, 2 * me, 2 * me + 1, 0.0))
         v = x[rows, f]
-        cut = float(rng.uniform(v.min(), v.max()))
-        nodes.append([me, f, cut, -1, -1, 0.0])
-        todo.append((rows[v > cut], depth + 1, me, 1))
-        todo.append((rows[v <= cut], depth + 1, me, 0))
-    return [tuple(n) for n in nodes]
+        todo += [(2 * me + 1, rows[~(v <= cut)], depth + 1), (2 * me, rows[v <= cut], depth + 1)]
+    return sorted(nodes)
 
 
 @dataclass
@@ -69,8 +98,10 @@ class IsolationForest:
 
     def raw_scores(self, df: DataFrame, features: Column | None = None, out: str = "raw_score") -> DataFrame:
         """Add the isolation score in (0, 1]; higher is easier to isolate."""
-        trees = [tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth"))
-                 for _, g in self.nodes.sort_values(["tree", "node"]).groupby("tree", sort=True)]
+        trees = []
+        for _, g in self.nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
+            place = {c: np.searchsorted(g["node"].to_numpy(), g[c].to_numpy()) for c in ("left", "right")}  # nodes by their places
+            trees.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), place["left"], place["right"], g["depth"].to_numpy()))
         shared = df.sparkSession.sparkContext.broadcast(trees)
         scale = mean_path(self.sample)
 
@@ -127,31 +158,30 @@ def train_forest(df: DataFrame, features: list[str] | None = None, *, trees: int
                  seed: int = 42, id_col: str = "transaction_id") -> IsolationForest:
     """Grow ``trees`` trees of ``sample`` rows each.
 
-    The rows with the smallest hashes form one pool of at most trees * sample
-    rows (a top-k, no sort of the table). A full pool is dealt out to the trees;
-    a small table lets every tree draw its own rows from it.
+    The trees * sample rows with the smallest draws form one pool (all rows, if there are not as
+    many); of the pool, each tree takes the ``sample`` rows with the smallest draws of its own. The
+    last draw of the pool is found by counting, not by sorting; rows of equal draws belong
+    to it together.
     """
     features = list(features or REQUIRED)
     check_contract(df, features)
     key = F.col(id_col).cast("string")
-    rows = df.select(key.alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    pool = rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(trees * sample)
+    rows = df.select(key.alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"), drawn(seed, key).alias("_u"))
+    most = trees * sample
+    last = kth_largest(rows.select((-F.col("_u")).cast("double").alias("_v")), [], "_v",
+                       [("k", lambda n: F.least(F.lit(most), n))]).select((-F.col("value")).cast("long").alias("_last"))
+    pool = materialise(rows.join(F.broadcast(last), F.col("_u") <= F.col("_last")).select("_id", "x"), "forest-pool")  # one number
     size = pool.count()
-    if size >= trees * sample:
-        order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("_id", F.lit(seed)), "_id")
-        dealt = pool.withColumn("tree", F.pmod(F.row_number().over(order), F.lit(trees)).cast("int"))
-    else:
-        each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        order = Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id")
-        dealt = each.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
+    each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))  # at most trees * trees * sample rows
+    order = Window.partitionBy("tree").orderBy(drawn(seed, "tree", "_id"), "_id")
+    dealt = each.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
     used = min(sample, size)
     limit = max(1, math.ceil(math.log2(max(used, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         x = np.stack(pdf.sort_values("_id")["x"].to_numpy())
-        grown = _grow(x, np.random.default_rng([seed, tree]), limit)
-        out = pd.DataFrame(grown, columns=["node", "feature", "threshold", "left", "right", "depth"])
+        out = pd.DataFrame(_grow(x, seed, tree, limit), columns=["node", "feature", "threshold", "left", "right", "depth"])
         out.insert(0, "tree", tree)
         return out
 
@@ -173,6 +203,7 @@ def permutation_importance(forest: IsolationForest, df: DataFrame, *, rows: int
     pool = df.select(key.alias("_id"), F.array(*[F.col(c).cast("double") for c in forest.features]).alias("x"))
     if rows is not None:
         pool = pool.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(rows)
+    pool = materialise(pool, "importance-pool")
     slices = max(1, pool.count() // SLICE_ROWS)
     pool = pool.withColumn("_s", F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.lit(slices)))
     one = Window.partitionBy("_s")

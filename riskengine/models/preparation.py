@@ -9,9 +9,10 @@ from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from riskengine.schema import IDENTITY_COLUMNS, LEAKY_COLUMNS
+from riskengine.session import materialise
 
-MISSING = "__MISSING__"
-MAX_CATEGORIES = 100_000  # the largest category list the driver will hold for a column
+MISSING = "__MISSING__"   # fixed value: the category of rows without one
+MAX_CATEGORIES = 100_000  # the longest category list that becomes part of a plan; columns with more are joined
 
 
 # -- scaling -------------------------------------------------------------------
@@ -63,35 +64,76 @@ def split_by_type(df: DataFrame, columns: list[str]) -> tuple[list[str], list[st
 # -- categories ----------------------------------------------------------------
 
 def category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, code): codes by alphabetical order, NULL as its own value."""
+    """(column, value, code): codes by alphabetical order, NULL as its own value.
+
+    Distinct values lie in ranges, each numbered by itself; a range starts where the ones before it
+    end, so no task holds a whole column.
+    """
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value"))
         for c in columns])).alias("p")
     values = df.select(pairs).select("p.*").distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return values.withColumn("code", (F.row_number().over(w) - 1).cast("long"))
+    ranges = materialise(values.repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id()), "categories")
+    inside = F.row_number().over(Window.partitionBy("column", "_part").orderBy("value"))
+    earlier = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = ranges.groupBy("column", "_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "column", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return ranges.withColumn("_i", inside).join(F.broadcast(starts), ["column", "_part"]).select(
+        "column", "value", (F.col("_start") + F.col("_i") - 1).cast("long").alias("code"))
 
 
 @dataclass(frozen=True)
 class Encoder:
-    """Category codes fitted on the training rows only."""
+    """Category codes fitted on the training rows only.
+
+    Columns with few values are coded from lists inside the plan; those with many (``large``) by a
+    join with ``table`` (column, value, code). Values not seen in training take the code of missing,
+    else the first one.
+    """
 
     columns: tuple[str, ...]
     model: StringIndexerModel | None
+    large: tuple[str, ...] = ()
+    table: DataFrame | None = None
+
+    @property
+    def small(self) -> tuple[str, ...]:
+        return tuple(c for c in self.columns if c not in self.large)
 
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.columns:
             return df
         df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
                              if c in df.columns else F.lit(MISSING) for c in self.columns})
-        df = self.model.transform(df)
-        coded = {}
-        for c, labels in zip(self.columns, self.model.labelsArray):
-            # values not seen in training take the code of missing, else the first class
-            unseen = float(labels.index(MISSING)) if MISSING in labels else 0.0
-            code = F.col(f"{c}__code")
-            coded[c] = F.when(code >= len(labels), F.lit(unseen)).otherwise(code)
-        return df.withColumns(coded).drop(*[f"{c}__code" for c in self.columns])
+        if self.small:
+            df = self.model.transform(df)
+            coded = {}
+            for c, labels in zip(self.small, self.model.labelsArray):
+                unseen = float(labels.index(MISSING)) if MISSING in labels else 0.0
+                code = F.col(f"{c}__code")
+                coded[c] = F.when(code >= len(labels), F.lit(unseen)).otherwise(code)
+            df = df.withColumns(coded).drop(*[f"{c}__code" for c in self.small])
+        for c in self.large:
+            own = self.table.filter(F.col("column") == c)
+            unseen = own.filter(F.col("value") == MISSING).select("code").first()
+            unseen = float(unseen[0]) if unseen else 0.0
+            codes = own.filter(F.col("value") != MISSING).select(F.col("value").alias("_value"), F.col("code").cast("double").alias("_code"))
+            # rows without a value need no partner
+            df = df.withColumn("_key", F.when(F.col(c) != MISSING, F.col(c))).join(codes, F.col("_key") == F.col("_value"), "left").withColumn(
+                c, F.coalesce("_code", F.lit(unseen))).drop("_key", "_value", "_code")
+        return df
+
+    def save(self, path: str) -> None:
+        if self.small:
+            self.model.write().overwrite().save(f"{path}/lists")
+        if self.large:
+            self.table.write.mode("overwrite").parquet(f"{path}/table")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, columns: tuple[str, ...], large: tuple[str, ...]) -> "Encoder":
+        few = [c for c in columns if c not in large]
+        return Encoder(columns, StringIndexerModel.load(f"{path}/lists") if few else None, large,
+                       spark.read.parquet(f"{path}/table") if large else None)
 
 
 def fit_encoder(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> Encoder:
@@ -100,13 +142,15 @@ def fit_encoder(df: DataFrame, columns: list[str], max_categories: int = MAX_CAT
     rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     near = [c for c in columns if rough[c] > max_categories * 0.5]  # count only these exactly
     sizes = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first() if near else {}
-    large = [c for c in near if sizes[c] > max_categories]
-    if large:
-        raise ValueError(f"too many categories to encode: {large}")
-    filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns])
-    indexer = StringIndexer(inputCols=columns, outputCols=[f"{c}__code" for c in columns],
-                            stringOrderType="alphabetAsc", handleInvalid="keep")
-    return Encoder(tuple(columns), indexer.fit(filled))
+    large = tuple(c for c in near if sizes[c] > max_categories)
+    few = [c for c in columns if c not in large]
+    model = None
+    if few:
+        filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in few])
+        model = StringIndexer(inputCols=few, outputCols=[f"{c}__code" for c in few],
+                              stringOrderType="alphabetAsc", handleInvalid="keep").fit(filled)
+    table = materialise(category_codes(df, list(large)), "category-codes") if large else None
+    return Encoder(tuple(columns), model, large, table)
 
 
 # -- alignment -----------------------------------------------------------------

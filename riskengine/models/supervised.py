@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -59,17 +59,16 @@ class SupervisedModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.gbt.write().overwrite().save(f"{path}/gbt")
-        if self.encoder.columns:
-            self.encoder.model.write().overwrite().save(f"{path}/encoder")
+        self.encoder.save(f"{path}/encoder")
         save_json(spark, f"{path}/metadata", {
-            "numeric": self.numeric, "categorical": list(self.encoder.columns), "flagged": self.flagged,
+            "numeric": self.numeric, "categorical": list(self.encoder.columns),
+            "large": list(self.encoder.large), "flagged": self.flagged,
             "metadata": self.metadata})
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "SupervisedModel":
         meta = load_json(spark, f"{path}/metadata")
-        cats = tuple(meta["categorical"])
-        enc = Encoder(cats, StringIndexerModel.load(f"{path}/encoder") if cats else None)
+        enc = Encoder.load(spark, f"{path}/encoder", tuple(meta["categorical"]), tuple(meta["large"]))
         return SupervisedModel(meta["numeric"], enc, meta["flagged"],
                                GBTClassificationModel.load(f"{path}/gbt"), meta["metadata"])
 

@@ -261,6 +261,30 @@ def history_slice(history: DataFrame, probes: DataFrame, key: str, seconds: int,
     return h.join(p, cond).drop("_us", "_hb", "_pk", "_pt", "_bucket")
 
 
+def history_totals(history: DataFrame, probes: DataFrame, key: str, seconds: int, *, ts_col: str = "event_timestamp",
+                   probe_ts: str = "probe_timestamp", probe_key: str | None = None, amount: str = "amount",
+                   profile: KeyProfile | None = None) -> DataFrame:
+    """Every probe with ``txn_count`` and ``txn_sum`` of its entity's history in [T - w, T); zeros if there is none.
+
+    No probe meets a row: rows and probes of an entity lie in one order of time, in which each row starts and
+    ends to count, and a probe reads the running totals. Hot entities are cut into time slices.
+    """
+    facts = history.select(F.col(key).alias("_entity"), micros(ts_col).alias("_us"), F.col(amount).cast("double").alias("_amount"),
+                           F.lit(False).alias("_asks"))
+    asked = probes.select(F.col(probe_key or key).alias("_entity"), micros(probe_ts).alias("_us"), F.lit(True).alias("_asks"),
+                          F.struct(*probes.columns).alias("_probe"))
+    rows = facts.unionByName(asked, allowMissingColumns=True)
+    us, counts = F.col("_us"), ~F.col("_asks") & F.col("_us").isNotNull()
+    totals = [Active("txn_count", us, us + seconds * SECOND, counts),
+              Active("txn_sum", us, us + seconds * SECOND, counts, usable_amount("_amount"))]
+    profile = profile or profile_keys(rows, "_entity")
+    out = by_heat(rows, "_entity", profile,
+                  cold=lambda d: _active_totals(d, "_entity", totals, None),
+                  hot=lambda d: _active_totals(d, "_entity", totals, profile.slice_us),
+                  null=lambda d: d.withColumns({"txn_count": F.lit(0).cast("long"), "txn_sum": F.lit(0.0)}))
+    return out.filter("_asks").select("_probe.*", "txn_count", "txn_sum")
+
+
 def slice_totals(rows: DataFrame, *by: str, amount: str = "amount") -> DataFrame:
     """Count and sum of a slice; an empty slice gives zeros."""
     aggs = [F.count(F.lit(1)).alias("txn_count"),

@@ -5,8 +5,6 @@ import pytest
 import __spark_entry__ as entry
 from check_queries import connect, difference
 
-SLOW = {"stage_comparison", "two_stage_report", "gbt_scores", "stream_scores", "batch_score", "anomaly_importance",
-        "anomaly_top_precision", "feature_importance", "stream_parity_differences"}
 SQL = entry.oracle_sql()
 
 
@@ -19,7 +17,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 @pytest.mark.filterwarnings("ignore::FutureWarning")
 def test_query(spark, sf, duck, name):
     got = entry.queries()[name](spark, sf).toPandas()

@@ -1,6 +1,8 @@
-from datetime import timedelta
+import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import TXN, US, assert_same, at, brute, fixture_a, fixture_b, messy
 from riskengine.operators import heat, history
@@ -119,6 +121,60 @@ def test_sentinel_device_can_be_left_out(spark):
     assert feats(spark, rows, sentinel_mode="null")["t4"]["device_txn_count_1h"] == 0
 
 
+def test_dense_spans_are_cut_where_their_rows_lie(spark, monkeypatch):
+    """All rows of a key within a minute, and one time with many rows: no slice holds more, but for rows of one time."""
+    monkeypatch.setattr(heat, "SLICE_ROWS", 30)
+    r = random.Random(2)
+    t = datetime(2024, 1, 1, 12)
+    rows = [(f"x{i:04d}", t + timedelta(microseconds=r.randrange(10**6) if i % 4 else 5), r.choice(["u0", "u0", "u0", "u1"]), r.choice(["d0", "d1"]), f"m{r.randrange(9)}",
+             round(r.uniform(1, 9), 2), int(i % 9 == 0), t + timedelta(microseconds=r.randrange(2 * 10**6))) for i in range(400)]
+    df = spark.createDataFrame(rows, TXN)
+    profiles = {k: heat.profile_keys(df, k, hot_rows=1) for k in ("payer_id", "device_id")}
+    got = feats(spark, rows, payer_profile=profiles["payer_id"], device_profile=profiles["device_id"])
+    assert_same(got, brute(rows))
+    places = df.select("payer_id", F.unix_micros("event_timestamp").alias("us"))
+    sizes = heat.time_slices(places, ["payer_id"], "us", 900 * 10**6)(places).groupBy("payer_id", "_slice").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("us").alias("times")).collect()
+    assert all(x.n <= 45 or x.n - x.times > 20 for x in sizes) and len(sizes) > 10
+    order = heat.time_slices(places, ["payer_id"], "us", 900 * 10**6)(places).groupBy("payer_id", "_slice").agg(F.min("us").alias("a"), F.max("us").alias("b")).collect()
+    for k in ("u0", "u1"):
+        own = sorted((x._slice, x.a, x.b) for x in order if x.payer_id == k)
+        assert all(x[2] < y[1] for x, y in zip(own, own[1:]))
+
+
+def test_more_hot_keys_than_a_list_holds(spark):
+    rows = messy(300, payers=40, devices=25)
+    df = spark.createDataFrame(rows, TXN)
+    profiles = {k: heat.profile_keys(df, k, hot_rows=2, max_keys=3) for k in ("payer_id", "device_id")}
+    for k, i in (("payer_id", 2), ("device_id", 3)):
+        p = profiles[k]
+        assert len(p.hot) == 3 and None in p.hot and p.bitmap is not None and p.cold_bound == 2
+        counts = {}
+        for x in rows:
+            counts[x[i]] = counts.get(x[i], 0) + 1
+        flags = {x[0]: x[1] for x in p.flagged(df.select(k).distinct(), k).select(k, "_hot").collect()}
+        assert all(flags[v] for v, n in counts.items() if n > 2 and v is not None)
+    got = feats(spark, rows, payer_profile=profiles["payer_id"], device_profile=profiles["device_id"])
+    assert_same(got, brute(rows))
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_history_totals_without_pairs(spark, sliced):
+    r = random.Random(6)
+    t = datetime(2024, 1, 1)
+    rows = [(f"h{i}", r.choice(["a", "b", None]), t + timedelta(minutes=r.randrange(300)), r.choice([1.5, 2.25, None, float("inf")])) for i in range(150)]
+    probes = [(i, r.choice(["a", "b", "c", None]), t + timedelta(minutes=r.randrange(400))) for i in range(60)] + [(99, "a", None)]
+    h = spark.createDataFrame(rows, "transaction_id string, who string, event_timestamp timestamp, amount double")
+    p = spark.createDataFrame(probes, "n int, who string, probe_timestamp timestamp")
+    profile = heat.KeyProfile(("a", "b", None), heat.HOT_ROWS, 7 * 60 * 10**6) if sliced else heat.KeyProfile()
+    out = history.history_totals(h, p, "who", 3600, profile=profile)
+    got = {x.n: (x.txn_count, x.txn_sum) for x in out.collect()}
+    for n, who, at in probes:
+        own = [x for x in rows if who is not None and x[1] == who and at is not None and at - timedelta(hours=1) <= x[2] < at]
+        assert got[n] == (len(own), sum(x[3] for x in own if x[3] and x[3] < 1e9)), (n, who, at)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() or sliced
+
+
 def test_history_slice_is_half_open(spark):
     df = spark.createDataFrame(fixture_a(), TXN)
     probes = spark.createDataFrame([("user_A", at("2024-01-01 10:02:00"))], "payer_id string, probe_timestamp timestamp")
@@ -143,4 +199,7 @@ def test_one_exchange_per_entity(spark):
 def test_profile_bounds_the_other_keys(spark):
     df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 30 + [("c",)] * 20 + [("d",)] * 2, "k string")
     assert heat.profile_keys(df, "k", hot_rows=10) == heat.KeyProfile(("a", "b", "c"), 10)
-    assert heat.profile_keys(df, "k", hot_rows=10, max_keys=2) == heat.KeyProfile(("a", "b"), 30)
+    few = heat.profile_keys(df, "k", hot_rows=10, max_keys=2)
+    assert (few.hot, few.cold_bound) == (("a", "b"), 10)
+    flags = {r.k: r._hot for r in few.flagged(df.select("k").distinct(), "k").collect()}
+    assert flags["a"] and flags["b"] and flags["c"]  # the third one by the bitmap

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import TXN, assert_same, brute, messy
-from riskengine.models import anomaly, preparation, supervised
+from riskengine.models import anomaly, nodes, preparation, supervised
 from riskengine.plans import scoring, training
 from riskengine.operators.features import build_features
 from riskengine.streaming import keyed, policy, source
@@ -85,8 +85,65 @@ def test_encoder_sends_unseen_to_missing(spark):
     enc = preparation.fit_encoder(train, ["c"])
     test = spark.createDataFrame([("a",), ("b",), (None,), ("zzz",)], "c string")
     assert [r["c"] for r in enc.transform(test).collect()] == [1.0, 2.0, 0.0, 0.0]
-    with pytest.raises(ValueError, match="too many"):
-        preparation.fit_encoder(train, ["c"], max_categories=1)
+    joined = preparation.fit_encoder(train, ["c"], max_categories=1)
+    assert joined.large == ("c",)
+    got = joined.transform(test.withColumn("i", F.monotonically_increasing_id())).orderBy("i").collect()
+    assert [r["c"] for r in got] == [1.0, 2.0, 0.0, 0.0]
+
+
+def test_codes_are_dense_in_order_over_many_ranges(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("a"), (F.col("id") % 3).cast("string").alias("b"),
+                                  F.when(F.col("id") % 7 != 0, F.col("id") % 40).alias("c"))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        rows = preparation.category_codes(df, ["a", "b", "c"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for c in "abc":
+        own = sorted((r.value, r.code) for r in rows if r.column == c)
+        assert [code for _, code in own] == list(range(len(own)))
+        assert {v for v, _ in own} == {str(x[c]) if x[c] is not None else preparation.MISSING for x in df.select(c).distinct().collect()}
+
+
+def test_a_model_with_a_joined_category_survives_saving(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(preparation, "MAX_CATEGORIES", 1)
+    df = blobs(spark, 400)
+    fit = preparation.fit_encoder
+    monkeypatch.setattr(supervised, "fit_encoder", lambda rows, cols: fit(rows, cols, 1))
+    model = supervised.train_supervised(df, maxIter=2, maxDepth=2)
+    assert model.encoder.large == ("kind",)
+    model.save(spark, str(tmp_path / "m"))
+    back = supervised.SupervisedModel.load(spark, str(tmp_path / "m"))
+    assert sorted(back.predict(df).collect()) == sorted(model.predict(df).collect())
+
+
+def test_forest_depends_on_the_lowest_draws_only(spark):
+    """One rule at every size: a table of the pool's rows and one a thousand times as large grow the same trees."""
+    cols = ["x", "y"]
+    table = lambda n: spark.range(n).select(F.col("id").cast("string").alias("transaction_id"), (F.col("id") * 37 % 101).cast("double").alias("x"),
+                                            (F.col("id") * 53 % 997).cast("double").alias("y"))
+    large = table(100_000).withColumn("u", anomaly.drawn(42, "transaction_id"))
+    pool = large.orderBy("u").limit(5 * 20)
+    few, many = (anomaly.train_forest(t, cols, trees=5, sample=20) for t in (pool.drop("u"), large.drop("u")))
+    assert few.nodes.sort_values(["tree", "node"]).reset_index(drop=True).equals(many.nodes.sort_values(["tree", "node"]).reset_index(drop=True))
+    small = anomaly.train_forest(table(30), cols, trees=5, sample=20)  # fewer rows than the pool: each tree draws its own 20
+    assert small.sample == 20 and len({tuple(g.threshold) for _, g in small.nodes.groupby("tree")}) == 5
+
+
+def test_node_tables_give_the_models_scores(spark, tmp_path):
+    df = blobs(spark, 300)
+    forest = anomaly.train_forest(df, ["x", "y"], trees=7, sample=32)
+    want = {r.transaction_id: r.anomaly_score for r in forest.score(df).collect()}
+    got = {r.transaction_id: r.anomaly_score for r in nodes.forest_scores(df, forest, nodes.forest_nodes(spark, forest)).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    model = supervised.train_supervised(df, maxIter=4, maxDepth=3)
+    model.save(spark, str(tmp_path / "m"))
+    want = {r.transaction_id: r.fraud_probability for r in model.predict(df).collect()}
+    table = nodes.boosted_nodes(spark, str(tmp_path / "m"))
+    got = {r.transaction_id: r.fraud_probability for r in nodes.boosted_scores(df, model, table).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert table.select("tree").distinct().count() == 4
 
 
 def test_supervised_round_trip(spark, tmp_path):

@@ -125,6 +125,25 @@ def test_quality_gate(spark):
     assert ("column_exists", "currency") in failed and ("in_set", "currency") in failed
 
 
+def test_order_is_judged_across_files(spark, tmp_path):
+    import random
+    r = random.Random(1)
+    values = [r.choice([None, i // 3, i // 3 - r.randrange(5)]) for i in range(200)] + [None] * 5 + [3, None]
+    cuts = [0, 40, 41, 41, 90, 150, 200, 205, 207]
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        spark.createDataFrame([(v,) for v in values[a:b]], "v int").coalesce(1).write.parquet(str(tmp_path / f"p/part={n}"))
+    df = quality.with_places(spark.read.parquet(str(tmp_path / "p")))
+    held = [v for v in values if v is not None]
+    falls = sum(b < a for a, b in zip(held, held[1:]))
+    got = quality.out_of_order(df, "v").first()
+    assert (got.unexpected, got.total) == (falls, len(held)) and falls > 5
+    share = 1 - falls / len(held)
+    report = quality.quality_report(df, {"s": [quality.increasing("v"), quality.increasing("v", share - 0.01), quality.increasing("v", share + 0.01),
+                                               quality.increasing("part")]}).orderBy("position").collect()
+    assert [x.success for x in report] == [False, True, False, True]
+    assert quality.out_of_order(df.limit(0), "v").first() == (0, 0)
+
+
 def test_file_order(spark, tmp_path):
     df = spark.createDataFrame([(i, i) for i in range(100)] + [(100, 5)], "i int, v int").orderBy("i").coalesce(1)
     df.write.parquet(str(tmp_path / "p"))
