@@ -6,7 +6,13 @@ from U(0, 1); with t = floor(ln w / r + b) the sample is the pair (x, t) with th
 ln c - r (t - b) - r. Two documents agree on a sample with a chance equal to their
 generalised Jaccard similarity, sum of minima over sum of maxima.
 
-Terms become rows only inside a task: explode and a partial aggregate of ``K`` minima per
+The draws are made in an order that suits weight 1, which most terms have: then t is 0 and the
+value is the logarithm of a = c exp(-r (1 - b)), which follows Exp(1). So a is drawn first, from
+one hash, and r, c and b given a: with z = 1 + E / a and another exponential F, c = a z,
+r = ln z + F and b = 1 - ln z / r have the joint distribution above. Terms of weight 1 are thus compared by
+their hashes; only the smallest one, and terms of larger weight, need logarithms.
+
+Terms become rows only inside a task: explode and a partial aggregate of minima per
 text stand next to each other, so what is dealt out is one row per text. A minimum is kept
 as one long: the value in steps of 2^-20 above the low bits of the term and t.
 """
@@ -20,10 +26,12 @@ from riskengine.session import materialise
 
 WIDTH = 5
 SAMPLES = 128
-LANE = 4
+LANE = 16        # samples drawn from one copy of a term's row
 GAP = r"[\x20\x09-\x0D]+"
 VALUE_STEPS = 1 << 20
 NAME_BITS = 28
+NAME = (1 << NAME_BITS) - 1
+ORDER_BITS = 64 - NAME_BITS  # of a hash, above the term's low bits
 
 
 def terms(text: Column) -> Column:
@@ -42,40 +50,64 @@ def terms(text: Column) -> Column:
     return F.transform(F.array(ordered), counted)[0]
 
 
-def uniform(h: Column, piece: int) -> Column:
-    """In (0, 1), from one of three pieces of 21 bits of a hash."""
-    return (F.shiftrightunsigned(h, 21 * piece).bitwiseAND((1 << 21) - 1) + F.lit(0.5)) / F.lit(float(1 << 21))
+def order(term: Column, k: Column) -> Column:
+    """Sample k of a term as a hash that orders terms of weight 1, with the term's low bits below."""
+    return F.xxhash64(term, k).bitwiseAND(~NAME).bitwiseOR(term.bitwiseAND(NAME))
+
 
+def exponential(order: Column) -> Column:
+    """The value a of Exp(1) that an order stands for; it rises with the order."""
+    u = (F.shiftright(order, NAME_BITS) + F.lit(float(1 << (ORDER_BITS - 1)) + 0.5)) / F.lit(float(1 << ORDER_BITS))
+    return -F.log1p(-u)
 
-def sample(term: Column, log_weight: Column, k: Column) -> Column:
-    """Sample k of one term as a long that orders by value and names (term, t)."""
-    one, two = (F.xxhash64(term, k, F.lit(i)) for i in range(2))
-    r = -F.ln(uniform(one, 0) * uniform(one, 1))
-    log_c = F.ln(-F.ln(uniform(two, 0) * uniform(two, 1)))
-    b = uniform(one, 2)
-    t = F.floor(log_weight / r + b)
-    value = log_c - r * (t - b) - r
-    name = term.bitwiseXOR(t * 7919).bitwiseAND((1 << NAME_BITS) - 1)
+
+def packed(value: Column, name: Column) -> Column:
     return F.shiftleft(F.floor(value * VALUE_STEPS).cast("long"), NAME_BITS) + name
 
 
+def once(order: Column) -> Column:
+    """The sample (term, 0) of a term of weight 1."""
+    return packed(F.ln(exponential(order)), order.bitwiseAND(NAME))
+
+
+def often(term: Column, weight: Column, k: Column) -> Column:
+    """The sample (term, t) of a term of any weight."""
+    own = order(term, k)
+    more = F.xxhash64(term, k, F.lit(1))
+    half = lambda i: (F.shiftrightunsigned(more, 32 * i).bitwiseAND((1 << 32) - 1) + F.lit(0.5)) / F.lit(float(1 << 32))
+    a = exponential(own)
+    log_z = F.log1p(-F.ln(half(0)) / a)
+    r = log_z - F.ln(half(1))
+    b = 1 - log_z / r
+    t = F.floor(F.ln(weight.cast("double")) / r + b)
+    value = F.when(t == 0, F.ln(a)).otherwise(F.ln(a) + log_z - r * (t - b) - r)
+    return packed(value, term.bitwiseXOR(t * 7919).bitwiseAND(NAME))
+
+
 def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
     """One row per row of ``rows`` (unique by ``keys``) with words: keys and ``signature``, array<long>.
 
-    Samples are drawn ``LANE`` at a time, each lane from its own copy of the term rows: one
-    expression for all samples would be too long a method for the JVM to compile. If the
-    rows are dealt out by some of the keys, no further exchange is needed; otherwise a few
+    A term of weight 1 has one row per ``LANE`` samples, another one a row per sample; slots tell them
+    apart. If the rows are dealt out by some of the keys, no further exchange is needed; otherwise a few
     rows per text are exchanged. Texts without words are left out.
     """
-    lanes = F.array(*[F.lit(i) for i in range(-(-samples // LANE))])
+    lanes = -(-samples // LANE)
+    slots = [F.array(*[F.lit(i) for i in range(lanes)]), F.sequence(F.lit(lanes), F.lit(lanes + samples - 1))]
     x = rows.select(*keys, F.explode(terms(F.col(text))).alias("x")).select(
-        *keys, F.col("x.term").alias("term"), F.ln(F.col("x.weight").cast("double")).alias("log_weight"))
+        *keys, F.col("x.term").alias("term"), F.col("x.weight").alias("weight"))
+    each = x.select(*keys, "term", "weight", F.explode(F.when(F.col("weight") == 1, slots[0]).otherwise(slots[1])).alias("slot"))
+    single = F.col("weight") == 1
     names = [f"m{k}" for k in range(LANE)]
-    drawn = x.select(*keys, "term", "log_weight", F.explode(lanes).alias("lane")).select(
-        *keys, "lane", *[sample(F.col("term"), F.col("log_weight"), F.col("lane") * LANE + k).alias(n) for k, n in enumerate(names)])
-    least = drawn.groupBy(*keys, "lane").agg(*[F.min(n).alias(n) for n in names])
-    parts = F.sort_array(F.collect_list(F.struct("lane", F.array(*names).alias("m"))))
-    return least.groupBy(*keys).agg(F.slice(F.flatten(F.transform(parts, lambda p: p["m"])), 1, samples).alias("signature"))
+    drawn = each.select(*keys, "slot", *[F.when(single, order(F.col("term"), F.col("slot") * LANE + k)).alias(n) for k, n in enumerate(names)],
+                        F.when(~single, often(F.col("term"), F.col("weight"), F.col("slot") - lanes)).alias("more"))
+    least = drawn.groupBy(*keys, "slot").agg(*[F.min(n).alias(n) for n in names], F.min("more").alias("more"))
+    parts = F.sort_array(F.collect_list(F.struct("slot", F.when(F.col("slot") < lanes, F.array(*names)).alias("m"), "more")))
+    held = least.groupBy(*keys).agg(parts.alias("parts")).select(
+        *keys, F.slice(F.flatten(F.transform(F.filter("parts", lambda p: p["slot"] < lanes), lambda p: p["m"])), 1, samples).alias("orders"),
+        F.transform(F.filter("parts", lambda p: p["slot"] >= lanes), lambda p: p["more"]).alias("mores"))
+    singles = F.transform("orders", once)
+    return held.select(*keys, F.when(F.size("orders") == 0, F.col("mores")).when(F.size("mores") == 0, singles).otherwise(
+        F.zip_with(singles, "mores", lambda a, b: F.least(a, b))).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:

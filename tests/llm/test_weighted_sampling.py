@@ -53,6 +53,37 @@ def test_registered_samples_separate_three_quarters_from_a_half(spark):
     assert mixed <= 2
 
 
+def test_draws_follow_their_distributions(spark):
+    """a and the parts drawn given a: c and r are Gamma(2, 1), b is uniform, and neither pair is correlated."""
+    import numpy as np
+    n = 60_000
+    t, k = F.xxhash64(F.col("id")), F.lit(5)
+    more = F.xxhash64(t, k, F.lit(1))
+    half = lambda i: (F.shiftrightunsigned(more, 32 * i).bitwiseAND((1 << 32) - 1) + F.lit(0.5)) / F.lit(float(1 << 32))
+    x = spark.range(n).select(ws.exponential(ws.order(t, k)).alias("a"), (-F.ln(half(0))).alias("e"), (-F.ln(half(1))).alias("f")).toPandas()
+    a, e, f = (x[c].to_numpy() for c in "aef")
+    z = 1 + e / a
+    c, r = a * z, np.log(z) + f
+    b = 1 - np.log(z) / r
+    gamma = lambda v: 1 - (1 + v) * np.exp(-v)
+    for u in (1 - np.exp(-a), gamma(c), gamma(r), b):
+        assert np.abs(np.sort(u) - (np.arange(n) + 0.5) / n).max() < 1.7 / np.sqrt(n)  # Kolmogorov's bound at 0.5 %
+    pairs = np.corrcoef([gamma(c), gamma(r), b])
+    assert np.abs(pairs[np.triu_indices(3, 1)]).max() < 0.015
+
+
+def test_weights_agree_with_their_similarity(spark):
+    """One term of weights v and w: agreement v / w; and a weight 1 by the short way equals the long way."""
+    pairs = [(1, 1), (1, 2), (2, 3), (3, 10), (5, 6)]
+    rows = [(i, v, w) for i in range(3000) for v, w in pairs]
+    df = spark.createDataFrame(rows, "i int, v int, w int").withColumn("term", F.xxhash64("i"))
+    both = df.select("v", "w", (ws.often(F.col("term"), F.col("v"), F.lit(3)) == ws.often(F.col("term"), F.col("w"), F.lit(3))).cast("int").alias("same"),
+                     (ws.once(ws.order(F.col("term"), F.lit(3))) == ws.often(F.col("term"), F.lit(1), F.lit(3))).alias("short"))
+    got = {(x.v, x.w): (x.same, x.short) for x in both.groupBy("v", "w").agg(F.avg("same").alias("same"), F.min("short").alias("short")).collect()}
+    for (v, w), (same, short) in got.items():
+        assert abs(same - v / w) < 0.035 and short
+
+
 def test_edited_texts_and_order(spark):
     r = random.Random(4)
     texts = ["", None, "é\U0001f600x" * 9, "one two three", "a b c d e f g " * 300] + [" ".join(f"w{r.randrange(90)}" for _ in range(r.randrange(90))) for _ in range(40)]
