@@ -43,15 +43,15 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _UP, _DOWN = powers(_BASE, BLOCK + 1), powers(_INVERSE, BLOCK + 1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One hash per word, from running sums of byte x base^position, in blocks of bounded size."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = _LOWER) -> np.ndarray:
+    """One hash per word, from running sums of byte x base^position, in blocks of bounded size. ``fold`` maps bytes."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
         up, down = (_UP, _DOWN) if hi - lo <= BLOCK else (powers(_BASE, hi - lo + 1), _DOWN)
-        terms = (_LOWER[data[lo:hi]].astype(np.uint64) + np.uint64(1)) * up[:hi - lo]
+        terms = (fold[data[lo:hi]].astype(np.uint64) + np.uint64(1)) * up[:hi - lo]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = (sums[e] - sums[s]) * down[s]

@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2                    # id after each document
 BLOCK_IDS = 1_000_000
 PIECE = 8 << 20            # bytes of text split at a time
-CACHED_WORDS = 250_000     # some 40 MB a worker
+CACHED_WORDS = 750_000     # some 40 MB a worker
 GROUP = 50                 # words of one string given to the tokenizer: longer ones take more time a word
 OTHER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 ODD = f"^ | $|{OTHER_SPACE} | {OTHER_SPACE}"
@@ -79,31 +79,62 @@ def encode(column: pa.Array, name: str = TOKENIZER) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint32) if e else next(apart) if o else next(words)
 
 
+AS_IS = np.arange(256, dtype=np.uint8)
+
+
+def gathered(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all bytes of stretches, one stretch after another."""
+    ends = np.cumsum(size)
+    return np.repeat(starts - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Words:
     """Ids of words with a space before them, kept by a worker process for all its tasks.
 
     The first ``CACHED_WORDS`` distinct words stay; later ones are encoded again in each piece.
-    Results do not depend on what is cached.
+    Words are found by a hash and told apart by their bytes, so results do not depend on what is kept.
     """
 
     def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.cut = np.zeros(1, np.int64)
-
-    def find(self, t, opens: np.ndarray, table: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, size) for the words of ``table``."""
-        at = np.array([self.index.get(w, -1) for w in table], np.int64)
+        self.hashes = np.zeros(0, np.uint64)  # in order, with the word each belongs to
+        self.word = np.zeros(0, np.int64)
+        self.text, self.text_cut = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.cut = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def known(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The kept word that equals each of the given ones, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at = np.where(self.hashes[near] == h, self.word[near], -1)
+        at[(at >= 0) & (self.text_cut[at + 1] - self.text_cut[at] != size)] = -1
+        hit = np.flatnonzero((at >= 0) & (size > 0))
+        if len(hit):
+            same = data[gathered(starts[hit], size[hit])] == self.text[gathered(self.text_cut[at[hit]], size[hit])]
+            at[hit[~np.logical_and.reduceat(same, np.cumsum(size[hit]) - size[hit])]] = -1
+        return at
+
+    def find(self, t, opens: np.ndarray, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size) for the words of ``table``, which are distinct."""
+        offsets = np.frombuffer(table.buffers()[1], np.int64)[table.offset:table.offset + len(table) + 1]
+        data = np.frombuffer(table.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+        starts, size = offsets[:-1] - offsets[0], np.diff(offsets)
+        h = shingles.word_hashes(data, starts, starts + size, AS_IS)
+        at = self.known(h, data, starts, size)
         missing = np.flatnonzero(at < 0)
-        new = [table[i] for i in missing]
+        new = table.take(pa.array(missing)).to_numpy(zero_copy_only=False).tolist()
         parts = encode_whole(t, [" " + " ".join(new[i:i + GROUP]) for i in range(0, len(new), GROUP)])
         more = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         cut = np.append(np.flatnonzero(opens[more]), len(more)).astype(np.int64)
-        known = len(self.cut) - 1
-        at[missing] = known + np.arange(len(new))
+        first = len(self.cut) - 1
+        at[missing] = first + np.arange(len(new))
         ids, ends = np.concatenate([self.ids, more]), np.concatenate([self.cut, len(self.ids) + cut[1:]])
-        if known + len(new) <= CACHED_WORDS:
-            self.index.update(zip(new, range(known, known + len(new))))
+        if first + len(new) <= CACHED_WORDS:
+            order = np.argsort(h[missing], kind="stable")
+            place = np.searchsorted(self.hashes, h[missing][order])
+            self.hashes, self.word = np.insert(self.hashes, place, h[missing][order]), np.insert(self.word, place, first + order)
+            self.text_cut = np.concatenate([self.text_cut, self.text_cut[-1] + np.cumsum(size[missing])])
+            self.text = np.concatenate([self.text, data[gathered(starts[missing], size[missing])]])
             self.ids, self.cut = ids, ends
         return ids, ends[at], ends[at + 1] - ends[at]
 
@@ -121,9 +152,9 @@ def encode_words(name: str, texts: pa.Array) -> Iterator[np.ndarray]:
     flat = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
     at = at - at[0]
     code = flat.indices.to_numpy().astype(np.int64)
-    table = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    table = flat.dictionary
     first = np.unique(code[at[:-1]])  # words that open a text have no space before them
-    heads = encode_whole(t, [table[i] for i in first])
+    heads = encode_whole(t, table.take(pa.array(first)).to_pylist())
     every, begin, size = words_of(name).find(t, opens, table)
     ids = np.concatenate([every, *heads])
     length = np.array([len(h) for h in heads], np.int64)

@@ -23,6 +23,22 @@ def test_encode_equals_the_tokenizer():
     assert [x.tolist() for x in token_files.encode(pa.array(HARD * 2))] == plain(HARD * 2)
 
 
+@pytest.mark.parametrize("kept", [0, 7, 10**6])
+def test_words_are_told_apart_whatever_is_kept(monkeypatch, kept):
+    """Also if all words share one hash."""
+    monkeypatch.setattr(token_files, "CACHED_WORDS", kept)
+    texts = ["one two three", "two one three four", "é two é zwei zweí", "one", "four three two one é", "a bb aa b", "bb aa a"]
+    for constant in (False, True):
+        token_files.words_of.cache_clear()
+        if constant:
+            monkeypatch.setattr(token_files.shingles, "word_hashes", lambda d, a, b, f: np.zeros(len(a), np.uint64))
+        for _ in range(3):
+            for i in range(0, len(texts), 2):
+                part = texts[i:i + 2]
+                assert [x.tolist() for x in token_files.encode(pa.array(part))] == plain(part)
+    token_files.words_of.cache_clear()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_grammar_round_trip_and_random_access(seed):
     r = np.random.default_rng(seed)
