@@ -26,7 +26,7 @@ from riskengine.session import materialise
 
 WIDTH = 5
 SAMPLES = 128
-LANE = 16        # samples drawn from one copy of a term's row
+LANE = 8         # samples drawn from one copy of a term's row
 GAP = r"[\x20\x09-\x0D]+"
 VALUE_STEPS = 1 << 20
 NAME_BITS = 28
@@ -70,18 +70,24 @@ def once(order: Column) -> Column:
     return packed(F.ln(exponential(order)), order.bitwiseAND(NAME))
 
 
-def often(term: Column, weight: Column, k: Column) -> Column:
-    """The sample (term, t) of a term of any weight."""
-    own = order(term, k)
-    more = F.xxhash64(term, k, F.lit(1))
+def often(df: DataFrame, weight: Column, k: Column, out: str) -> DataFrame:
+    """Add ``out``: the sample (term, t) of the rows' terms, of any weight; NULL for a NULL weight.
+
+    Step by step, so that what is used several times is computed once.
+    """
+    own, more = f"{out}_own", f"{out}_more"
     half = lambda i: (F.shiftrightunsigned(more, 32 * i).bitwiseAND((1 << 32) - 1) + F.lit(0.5)) / F.lit(float(1 << 32))
-    a = exponential(own)
-    log_z = F.log1p(-F.ln(half(0)) / a)
-    r = log_z - F.ln(half(1))
-    b = 1 - log_z / r
-    t = F.floor(F.ln(weight.cast("double")) / r + b)
-    value = F.when(t == 0, F.ln(a)).otherwise(F.ln(a) + log_z - r * (t - b) - r)
-    return packed(value, term.bitwiseXOR(t * 7919).bitwiseAND(NAME))
+    a, z, r, b, t, lw = (f"{out}_{x}" for x in ("a", "z", "r", "b", "t", "lw"))
+    kept = df.columns
+    df = df.withColumn(lw, F.ln(weight.cast("double")))
+    df = df.withColumns({own: F.when(F.col(lw).isNotNull(), order(F.col("term"), k)), more: F.when(F.col(lw).isNotNull(), F.xxhash64("term", k, F.lit(1)))})
+    df = df.withColumn(a, exponential(F.col(own)))
+    df = df.withColumn(z, F.log1p(-F.ln(half(0)) / F.col(a)))
+    df = df.withColumn(r, F.col(z) - F.ln(half(1)))
+    df = df.withColumn(b, 1 - F.col(z) / F.col(r))
+    df = df.withColumn(t, F.floor(F.col(lw) / F.col(r) + F.col(b)))
+    later = F.when(F.col(t) == 0, F.lit(0.0)).otherwise(F.col(z) - F.col(r) * (F.col(t) - F.col(b)) - F.col(r))
+    return df.select(*kept, packed(F.ln(a) + later, F.col("term").bitwiseXOR(F.col(t) * 7919).bitwiseAND(NAME)).alias(out))
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
@@ -98,8 +104,8 @@ def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPL
     each = x.select(*keys, "term", "weight", F.explode(F.when(F.col("weight") == 1, slots[0]).otherwise(slots[1])).alias("slot"))
     single = F.col("weight") == 1
     names = [f"m{k}" for k in range(LANE)]
-    drawn = each.select(*keys, "slot", *[F.when(single, order(F.col("term"), F.col("slot") * LANE + k)).alias(n) for k, n in enumerate(names)],
-                        F.when(~single, often(F.col("term"), F.col("weight"), F.col("slot") - lanes)).alias("more"))
+    several = often(each, F.when(~single, F.col("weight")), F.col("slot") - lanes, "more")
+    drawn = several.select(*keys, "slot", "more", *[F.when(single, order(F.col("term"), F.col("slot") * LANE + k)).alias(n) for k, n in enumerate(names)])
     least = drawn.groupBy(*keys, "slot").agg(*[F.min(n).alias(n) for n in names], F.min("more").alias("more"))
     parts = F.sort_array(F.collect_list(F.struct("slot", F.when(F.col("slot") < lanes, F.array(*names)).alias("m"), "more")))
     held = least.groupBy(*keys).agg(parts.alias("parts")).select(

@@ -77,8 +77,9 @@ def test_weights_agree_with_their_similarity(spark):
     pairs = [(1, 1), (1, 2), (2, 3), (3, 10), (5, 6)]
     rows = [(i, v, w) for i in range(3000) for v, w in pairs]
     df = spark.createDataFrame(rows, "i int, v int, w int").withColumn("term", F.xxhash64("i"))
-    both = df.select("v", "w", (ws.often(F.col("term"), F.col("v"), F.lit(3)) == ws.often(F.col("term"), F.col("w"), F.lit(3))).cast("int").alias("same"),
-                     (ws.once(ws.order(F.col("term"), F.lit(3))) == ws.often(F.col("term"), F.lit(1), F.lit(3))).alias("short"))
+    for name, weight in (("of_v", F.col("v")), ("of_w", F.col("w")), ("of_1", F.lit(1))):
+        df = ws.often(df, weight, F.lit(3), name)
+    both = df.select("v", "w", (F.col("of_v") == F.col("of_w")).cast("int").alias("same"), (ws.once(ws.order(F.col("term"), F.lit(3))) == F.col("of_1")).alias("short"))
     got = {(x.v, x.w): (x.same, x.short) for x in both.groupBy("v", "w").agg(F.avg("same").alias("same"), F.min("short").alias("short")).collect()}
     for (v, w), (same, short) in got.items():
         assert abs(same - v / w) < 0.035 and short
