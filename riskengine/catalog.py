@@ -553,7 +553,10 @@ def feature_ranges(spark, d):
 
 @query
 def monotonicity_violations(spark, d):
-    return quality.monotonicity_violations(features.build_features(txn_events(spark, d))).select("transaction_id")
+    """Some rows are damaged on purpose."""
+    extra = F.when(F.col("transaction_id").cast("long") % 89 == 0, 1_000_000).otherwise(0)
+    f = features.build_features(txn_events(spark, d)).withColumn("payer_txn_count_5min", F.col("payer_txn_count_5min") + extra)
+    return quality.monotonicity_violations(f).select("transaction_id")
 
 
 @query

@@ -533,7 +533,7 @@ SQL: dict[str, str] = {
       count(*) FILTER (h <= 0) AS not_after_event FROM h""",
     "feature_ranges": _ranges(),
     "monotonicity_violations": f"""WITH {_features(TXN)} SELECT transaction_id FROM feat
-      WHERE payer_txn_count_5min > payer_txn_count_1h OR payer_txn_count_1h > payer_txn_count_24h
+      WHERE transaction_id::BIGINT % 89 = 0 OR payer_txn_count_5min > payer_txn_count_1h OR payer_txn_count_1h > payer_txn_count_24h
       OR device_txn_count_1h > device_txn_count_24h""",
     "consistency_check": f"""WITH {_features(TXN)}, t AS (SELECT count(*) AS n_transactions, avg(is_fraud) AS fr FROM txn),
       f AS (SELECT count(*) AS n_features FROM feat)
