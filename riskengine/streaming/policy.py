@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,16 +18,18 @@ from riskengine.operators.metrics import LATENCY_QUANTILES, ratio
 
 _OUT = ("transaction_id string, segment string, _us long, fraud_probability double, alert_threshold double, "
         "daily_count long, daily_budget long, should_alert boolean, budget_exceeded boolean")
+_HELD = pa.schema([("transaction_id", pa.string()), ("_us", pa.int64()), ("_day", pa.string()), ("fraud_probability", pa.float64())])
+CHUNK = 50_000  # rows of a segment worked at once
 _STATE = "scores array<double>, days array<string>, counts array<long>, issued array<long>"
 
 
 def alert_stream(scored: DataFrame, segment: str, budget: float = BUDGET, *, window: int = RECENT_SCORES,
-                 min_scores: int = MIN_SCORES, fallback: float = FALLBACK_THRESHOLD) -> DataFrame:
+                 min_scores: int = MIN_SCORES, fallback: float = FALLBACK_THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """Alert decisions per segment, in (time, id) order within each micro-batch.
 
     State per segment: the last ``window`` scores, and two counters for each event
     date, which are kept for good, so that a late row never finds a fresh quota. A segment is worked by one task per
-    micro-batch, whose size the source's files-per-trigger bounds.
+    micro-batch, ``chunk`` rows at a time; its ids wait in Arrow and its other columns in arrays of numbers.
     """
     rows = scored.select(F.col("transaction_id").cast("string"), F.col(segment).cast("string").alias("segment"),
                          micros("event_timestamp").alias("_us"),
@@ -35,25 +39,33 @@ def alert_stream(scored: DataFrame, segment: str, budget: float = BUDGET, *, win
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent, days, counts, issued = state.get if state.exists else ([], [], [], [])
         counters = {d: (n, a) for d, n, a in zip(days, counts, issued)}
-        pdf = pd.concat([f for f in frames if len(f)]).sort_values(["_us", "transaction_id"], kind="stable").reset_index(drop=True)
-        score = pdf["fraud_probability"].fillna(float("-inf")).to_numpy("float64")
-        known = np.concatenate([np.array(recent, np.float64), score])
-        limit = rolling.thresholds(known, window, budget, min_scores, fallback)[len(recent):]
-        wanted = (score > float("-inf")) & (score >= limit)  # no alert without a usable score, as in batch
-        count, quota, total = (np.zeros(len(pdf), np.int64) for _ in range(3))
-        for day, places in pdf.groupby("_day", sort=False, dropna=False).indices.items():
-            seen, done = counters.get(day, (0, 0))
-            count[places] = seen + np.arange(1, len(places) + 1)
-            quota[places] = np.maximum(1, (count[places] * budget).astype(np.int64))
-            total[places] = rolling.issued_so_far(wanted[places], quota[places], done)
-            counters[day] = (int(count[places[-1]]), int(total[places[-1]]))
-            pdf.loc[places, "_before"] = np.concatenate([[done], total[places][:-1]])
-        alert = total > pdf["_before"].to_numpy()
-        last = sorted(counters)
-        state.update((known[-window:].tolist(), last, [counters[d][0] for d in last], [counters[d][1] for d in last]))
-        yield pd.DataFrame({"transaction_id": pdf["transaction_id"], "segment": key[0], "_us": pdf["_us"], "fraud_probability": score,
-                            "alert_threshold": limit, "daily_count": count, "daily_budget": quota, "should_alert": alert,
-                            "budget_exceeded": wanted & ~alert})
+        t = pa.concat_tables([pa.Table.from_pandas(f, schema=_HELD, preserve_index=False) for f in frames if len(f)])
+        t = t.set_column(2, "_day", pc.dictionary_encode(t["_day"].combine_chunks(), null_encoding="encode"))
+        order = pc.sort_indices(t.select(["_us", "transaction_id"]), sort_keys=[("_us", "ascending"), ("transaction_id", "ascending")])
+        for at in range(0, len(order), chunk):
+            rows = t.take(order.slice(at, chunk))
+            score = rows["fraud_probability"].to_numpy()
+            score = np.where(np.isnan(score), float("-inf"), score)
+            known = np.concatenate([np.array(recent, np.float64), score])
+            limit = rolling.thresholds(known, window, budget, min_scores, fallback)[len(recent):]
+            wanted = (score > float("-inf")) & (score >= limit)  # no alert without a usable score, as in batch
+            count, quota, total, before = (np.zeros(len(score), np.int64) for _ in range(4))
+            day = rows["_day"].combine_chunks()
+            for code in np.unique(day.indices.to_numpy()):
+                places, name = np.flatnonzero(day.indices.to_numpy() == code), day.dictionary[int(code)].as_py()
+                seen, done = counters.get(name, (0, 0))
+                count[places] = seen + np.arange(1, len(places) + 1)
+                quota[places] = np.maximum(1, (count[places] * budget).astype(np.int64))
+                total[places] = rolling.issued_so_far(wanted[places], quota[places], done)
+                before[places] = np.concatenate([[done], total[places][:-1]])
+                counters[name] = (int(count[places[-1]]), int(total[places[-1]]))
+            alert = total > before
+            recent = known[-window:].tolist()
+            yield pd.DataFrame({"transaction_id": rows["transaction_id"].to_pandas(), "segment": key[0], "_us": rows["_us"].to_numpy(),
+                                "fraud_probability": score, "alert_threshold": limit, "daily_count": count, "daily_budget": quota,
+                                "should_alert": alert, "budget_exceeded": wanted & ~alert})
+        last = sorted(counters, key=lambda d: (d is None, d or ""))
+        state.update((recent, last, [counters[d][0] for d in last], [counters[d][1] for d in last]))
 
     done = rows.groupBy("segment").applyInPandasWithState(
         step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
