@@ -15,34 +15,45 @@ if there is no payer) is ignored while the row is remembered. NULL keys have no
 A key remembers the rows of its longest window and its last 1000 rows, both counted from the
 newest row less the lateness, and frauds until they cease to count; it forgets when its next
 rows arrive. Needs the RocksDB state store (``use_rocksdb``).
+
+Keys are worked by the group: a group is one of ``GROUPS`` numbers a key hashes to, so the cost of
+frames, sorting and Arrow is paid once for many light keys. The rows of a heavy key are taken in
+time order, ``CHUNK`` at a time, and it forgets after each; a chunk sees what the chunks before it
+left, which is all that can count for it. What rows only pass on waits in a spooled file, so of a
+micro-batch only a few numbers a row are held.
 """
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskengine.functions.timing import DAY, SECOND, micros
 from riskengine.operators.features import DEVICE_SPEC, INPUTS, PAYER_SPEC
 from riskengine.operators.history import FRACTION, EntityFeatures, usable_amount
 from riskengine.schema import FEATURE_SCHEMA
-from riskengine.streaming.timelog import HEAD, PIECE, SIZE, Log, Store, distinct_before
+from riskengine.streaming.timelog import SIZE, Log, Store, distinct_before
 
 ROWS, STARTS, ENDS = 0, 1, 2  # the logs of a key
-
-
-def _lists(columns) -> T.StructType:
-    return T.StructType([T.StructField(n, T.ArrayType({"bigint": T.LongType(), "string": T.StringType()}[t])) for n, t in columns])
-
-
-_HEAD = T.StructType([T.StructField(n, T.LongType()) for n in ("newest", "cut", "begun", "ceased")]
-                     + [T.StructField(f"log{k}", _lists(HEAD)) for k in (ROWS, STARTS, ENDS)])
-_PIECE_KEY = T.StructType([T.StructField("log", T.IntegerType()), T.StructField("number", T.LongType())])
-_PIECE = _lists(PIECE)
+GROUPS = 1024             # part of the state's layout: a checkpoint keeps to it
+CHUNK = 50_000            # rows of a key taken at once
+SPOOL_BYTES = 32 << 20    # of a group's rows in memory; more go to a local file
+OUT_ROWS = 10_000
+
+# heads and pieces are stored as JSON: one short text passes to the state store faster than nested lists
+_HEAD = T.StructType([T.StructField("head", T.StringType())])
+_PIECE = T.StructType([T.StructField("piece", T.StringType())])
+_KEY = T.StructType([T.StructField("key", T.StringType())])
+_PIECE_KEY = T.StructType([*_KEY.fields, T.StructField("log", T.IntegerType()), T.StructField("number", T.LongType())])
 _OLDEST = -2**62
 #: What the operators add to the rows on their way (names that a pandas frame of rows keeps).
 _HELPERS = ["rk_us", "rk_id", "rk_whole", "rk_part", "rk_known", "rk_is_label"]
@@ -92,8 +103,9 @@ class KeyHistory:
 
     def _features(self, us: np.ndarray) -> dict[str, np.ndarray]:
         out = {}
-        place, whole, part = self.rows.before(us)
-        windows = {s: self.rows.before(us - s * SECOND) for s in {s for _, s in (*self.spec.counts, *self.spec.sums)}}
+        spans = sorted({s for _, s in (*self.spec.counts, *self.spec.sums)})
+        (place, whole, part), *before = zip(*(np.split(c, 1 + len(spans)) for c in self.rows.before(np.concatenate([us, *(us - s * SECOND for s in spans)]))))
+        windows = dict(zip(spans, before))
         for name, s in self.spec.counts:
             out[name] = place - windows[s][0]
         for name, s in self.spec.sums:
@@ -104,7 +116,7 @@ class KeyHistory:
             out[name] = self.begun + self.starts.before(us)[0] - self.ceased - self.ends.before(us)[0]
         return out
 
-    def save(self) -> tuple:
+    def forget(self) -> None:
         if self.newest is not None:
             kept = self.newest - self.lateness
             place = int(self.rows.before(np.array([kept]))[0][0]) - self.bound
@@ -113,41 +125,127 @@ class KeyHistory:
             for log, total in ((self.starts, "begun"), (self.ends, "ceased")):
                 rows, _ = log.drop(kept, 2**62)
                 setattr(self, total, getattr(self, total) + rows)
+
+    def save(self) -> tuple:
+        self.forget()
         return (self.newest, self.cut, self.begun, self.ceased, self.rows.save(), self.starts.save(), self.ends.save())
 
 
+class KeyStore:
+    """The pieces of one key: beside its head while each log has one at most, else in ``table`` by (key, log, number)."""
+
+    def __init__(self, key: str, table, heads: list[tuple], beside: list[tuple]):
+        self.key, self.table = key, table
+        self.beside = {(int(log), int(number)): tuple(piece) for log, number, *piece in beside}
+        self.in_table = self._places(heads) - set(self.beside)
+        self.written: dict[tuple, tuple] = {}
+        self.removed: set[tuple] = set()
+
+    @staticmethod
+    def _places(heads: list[tuple]) -> set[tuple]:
+        return {(log, int(number)) for log, head in enumerate(heads) for number in head[0]}
+
+    def store(self) -> Store:
+        return Store(self.get, self.written.__setitem__, self.removed.add)
+
+    def get(self, at: tuple) -> tuple | None:
+        if at in self.beside:
+            return self.beside[at]
+        stored = self.table.getValue((self.key, *at))
+        return stored and tuple(json.loads(stored[0]))
+
+    def save(self, heads: list[tuple]) -> list[tuple]:
+        """Write the pieces, now that the heads of the logs are known; those to be kept beside them."""
+        now = self._places(heads)
+        light = all(len(head[0]) <= 1 for head in heads)
+        kept = [(*at, *(self.written.get(at) or self.get(at))) for at in sorted(now)] if light else []
+        for at in self.in_table & (self.removed | now if light else self.removed):
+            self.table.removeKey((self.key, *at))
+        if not light:
+            for at in now:
+                piece = self.written.get(at) or self.beside.get(at)
+                if piece is not None:
+                    self.table.updateValue((self.key, *at), (json.dumps(piece),))
+        return kept
+
+
 class HistoryState(StatefulProcessor):
-    """Emits every new row with its features."""
+    """Emits every new row with its features; its key is the group ``rk_group`` of the spec's keys."""
 
-    def __init__(self, spec: EntityFeatures, lateness_us: int, columns: list[str]):
-        self.spec, self.lateness, self.columns = spec, lateness_us, columns
+    def __init__(self, spec: EntityFeatures, lateness_us: int, arriving: pa.Schema, columns: list[str]):
+        self.spec, self.lateness, self.arriving, self.columns = spec, lateness_us, arriving, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", _HEAD)
-        pieces = handle.getMapState("pieces", _PIECE_KEY, _PIECE)
-        self.store = Store(pieces.getValue, pieces.updateValue, pieces.removeKey)
+        self.heads = handle.getMapState("heads", _KEY, _HEAD)
+        self.pieces = handle.getMapState("pieces", _PIECE_KEY, _PIECE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if len(f)]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["rk_us", "rk_id"], kind="stable").reset_index(drop=True)
-        us, is_label = pdf["rk_us"].to_numpy("int64"), pdf["rk_is_label"].to_numpy(bool)
-        if key[0] is None:
-            new, late = ~is_label, np.zeros(len(pdf), dtype=bool)
-            found = {n: np.zeros(len(pdf)) for n in self.spec.outputs}
-        else:
-            value = pdf[self.spec.distinct[0][1]]
-            # the payer tells repeats from new rows; the device does so for rows without a payer
-            unique = np.ones(len(pdf), dtype=bool) if self.spec.key == "payer_id" else pdf["payer_id"].isna().to_numpy()
-            state = KeyHistory(self.spec, self.lateness, self.store, self.head.get())
-            new, late, found = state.take(us, pdf["rk_id"].to_numpy(object), value.where(value.notna(), None).to_numpy(object),
-                                          pdf["rk_whole"].to_numpy("int64"), pdf["rk_part"].to_numpy("int64"),
-                                          pdf["rk_known"].to_numpy("int64"), is_label, unique)
-            self.head.update(state.save())
-        pdf["is_late"] = pdf["is_late"].to_numpy(bool) | late
-        out = pd.concat([pdf.drop(columns=list(found), errors="ignore"), pd.DataFrame(found)], axis=1)
-        yield out.loc[new, self.columns]
+        narrow = list(dict.fromkeys([self.spec.key, "payer_id", self.spec.distinct[0][1], *_HELPERS]))
+        parts = []
+        with tempfile.SpooledTemporaryFile(SPOOL_BYTES) as spool:
+            with pa.ipc.new_stream(spool, self.arriving) as out:
+                for f in rows:
+                    batch = pa.RecordBatch.from_pandas(f, schema=self.arriving, preserve_index=False)
+                    out.write_batch(batch)
+                    parts.append(batch.select(narrow))
+            if not parts:
+                return
+            new, late, found = self._found(pa.Table.from_batches(parts))
+            parts.clear()
+            spool.seek(0)
+            at, frames = 0, []
+            for batch in pa.ipc.open_stream(spool):
+                mine = slice(at, at + batch.num_rows)
+                at += batch.num_rows
+                pdf = batch.to_pandas()
+                pdf["is_late"] = pdf["is_late"].to_numpy(bool) | late[mine]
+                out = pd.concat([pdf, pd.DataFrame({n: c[mine] for n, c in found.items()})], axis=1)
+                frames.append(out.loc[new[mine], self.columns])
+                if sum(map(len, frames)) >= OUT_ROWS:
+                    yield pd.concat(frames)
+                    frames = []
+            if frames:
+                yield pd.concat(frames)
+
+    def _found(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """For rows of many keys: (which are new, which are late, their features)."""
+        spec, n = self.spec, t.num_rows
+        keys = pc.dictionary_encode(t[spec.key].combine_chunks())
+        code = pc.fill_null(keys.indices, -1)
+        order = pc.sort_indices(pa.table({"key": code, "us": t["rk_us"], "id": t["rk_id"]}),
+                                sort_keys=[("key", "ascending"), ("us", "ascending"), ("id", "ascending")]).to_numpy()  # a stable sort
+        code = code.to_numpy()[order]
+        numbers = {c: t[c].to_numpy() for c in ("rk_us", "rk_whole", "rk_part", "rk_known")}
+        is_label = t["rk_is_label"].to_numpy()
+        tie, value = t["rk_id"].combine_chunks(), t[spec.distinct[0][1]].combine_chunks()
+        # the payer tells repeats from new rows; the device does so for rows without a payer
+        unique = np.ones(n, dtype=bool) if spec.key == "payer_id" else t["payer_id"].is_null().to_numpy()
+        new, late = ~is_label, np.zeros(n, dtype=bool)
+        sums = {name for name, _ in spec.sums}
+        found = {c: np.zeros(n, np.float64 if c in sums else np.int64) for c in spec.outputs}
+        edges = np.flatnonzero(np.diff(code)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n]):
+            if code[a] < 0:
+                continue  # NULL has no history
+            key = keys.dictionary[int(code[a])].as_py()
+            stored = self.heads.getValue((key,))
+            *head, beside = json.loads(stored[0]) if stored else (None, [])
+            head = head if stored else None
+            kept = KeyStore(key, self.pieces, head[4:] if head else [], beside)
+            state = KeyHistory(spec, self.lateness, kept.store(), head)
+            for c in range(a, b, CHUNK):
+                if c > a:
+                    state.forget()
+                mine = order[c:min(c + CHUNK, b)]
+                us, whole, part, known = (v[mine] for v in numbers.values())
+                places = pa.array(mine)
+                new[mine], late[mine], got = state.take(us, tie.take(places).to_numpy(False), value.take(places).to_numpy(False),
+                                                        whole, part, known, is_label[mine], unique[mine])
+                for name, v in got.items():
+                    found[name][mine] = v
+            head = state.save()
+            self.heads.updateValue((key,), (json.dumps([*head, kept.save(head[4:])]),))
+        return new, late, found
 
     def close(self) -> None:
         pass
@@ -158,8 +256,11 @@ def _stage(df: DataFrame, spec: EntityFeatures, lateness_us: int) -> DataFrame:
     fields += [T.StructField(n, T.LongType()) for n in spec.longs]
     fields += [T.StructField(n, T.DoubleType()) for n, _ in spec.sums]
     out = T.StructType(fields)
-    return df.groupBy(spec.key).transformWithStateInPandas(
-        HistoryState(spec, lateness_us, out.names), outputStructType=out, outputMode="Append", timeMode="None")
+    # NULL keys need no state: they go to all groups
+    group = F.pmod(F.when(F.col(spec.key).isNull(), F.xxhash64("rk_id")).otherwise(F.xxhash64(spec.key)), F.lit(GROUPS)).cast("int")
+    arriving = to_arrow_schema(df.schema)
+    return df.withColumn("rk_group", group).groupBy("rk_group").transformWithStateInPandas(
+        HistoryState(spec, lateness_us, arriving, out.names), outputStructType=out, outputMode="Append", timeMode="None")
 
 
 def keyed_rows(events: DataFrame, lateness_seconds: int = 0, labels: DataFrame | None = None) -> DataFrame:

@@ -160,7 +160,9 @@ class Log:
         if not k:
             return 0, None
         rows, last = int(self.n[:k].sum()), int(self.last[k - 1])
-        self.gone |= {int(p) for p in self.piece[:k]}
+        for p in self.piece[:k].tolist():
+            self.gone.add(p)
+            self.loaded.pop(p, None)
         for name, _ in HEAD:
             setattr(self, name, getattr(self, name)[k:])
         return rows, last

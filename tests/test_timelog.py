@@ -194,3 +194,60 @@ def test_the_device_has_no_sums_or_frauds():
     _, _, _, found, _ = feed(rows, DEVICE_SPEC, Kept(), None)
     assert set(found) == {"device_txn_count_1h", "device_txn_count_24h", "device_distinct_payers_7d"}
     assert found["device_distinct_payers_7d"].tolist() == [0, 1, 2] + [3] * 17
+
+
+class Table(dict):
+    """A map state of the operator."""
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]  # only what is there is removed
+
+
+def test_a_group_of_keys_in_chunks_equals_each_key_at_once(monkeypatch):
+    """A heavy key is never taken whole, and what a chunk leaves is all that the next one needs."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from riskengine.streaming import keyed
+    r = random.Random(4)
+    columns = {"transaction_id": pa.string(), "payer_id": pa.string(), "device_id": pa.string(), "payee_vpa": pa.string(), "rk_us": pa.int64(),
+               "rk_id": pa.string(), "rk_whole": pa.int64(), "rk_part": pa.int64(), "rk_known": pa.int64(), "rk_is_label": pa.bool_(), "is_late": pa.bool_()}
+    never = np.iinfo(np.int64).max
+
+    def rows(n, first, key):
+        us = sorted(first + r.randrange(3 * D) // (D // 50) * (D // 50) for _ in range(n))
+        ids = [f"{key}{first}-{r.randrange(n)}" for _ in range(n)]  # some come twice
+        return [(i, key, "d", f"m{r.randrange(9)}", t, i, r.randrange(50), 0, t + r.randrange(D) if r.random() < .3 else never, False, False)
+                for t, i in zip(us, ids)]
+    batches = [rows(400, k * 2 * D, "a") + rows(7, k * 2 * D, "b") + rows(5, k * 2 * D, None) for k in range(3)]
+    arriving = pa.schema(list(columns.items()))
+
+    def run(chunk, out_rows):
+        sizes = []
+        take = KeyHistory.take
+
+        def spy(self, us, *rest):
+            sizes.append(len(us))
+            return take(self, us, *rest)
+        monkeypatch.setattr(keyed, "CHUNK", chunk)
+        monkeypatch.setattr(keyed, "OUT_ROWS", out_rows)
+        monkeypatch.setattr(keyed, "SPOOL_BYTES", chunk)
+        monkeypatch.setattr(KeyHistory, "take", spy)
+        state = keyed.HistoryState(PAYER_SPEC, D, arriving, [*columns, *PAYER_SPEC.outputs])
+        state.heads, state.pieces = Table(), Table()
+        out = []
+        for batch in batches:
+            frames = [pd.DataFrame(batch[k::3], columns=list(columns)) for k in range(3)]
+            out += [f for f in state.handleInputRows((1,), iter(frames), None)]
+        monkeypatch.setattr(KeyHistory, "take", take)
+        return sorted(map(tuple, pd.concat(out).astype(object).where(lambda d: d.notna(), None).values.tolist()), key=str), sizes, out
+
+    whole, _, _ = run(10**6, 10**6)
+    parts, sizes, frames = run(30, 50)
+    assert parts == whole and max(sizes) == 30 and len(frames) > 6
+    assert len({x[0] for x in whole if x[1] == "a"}) > 300 and sum(x[1] is None for x in whole) == 15
