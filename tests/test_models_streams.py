@@ -305,3 +305,30 @@ def test_keyed_stream_counts_more_than_a_thousand_rows_of_a_key(spark, tmp_path)
     assert max(x["payer_txn_count_24h"] for x in got.values()) == 1499
     assert max(x["payer_past_fraud_count_30d"] for x in got.values()) > 50
     assert_same(got, brute(rows))
+
+
+def test_alert_policy_in_chunks_of_a_segment(spark, tmp_path):
+    r = random.Random(19)
+    rows = [(f"t{i:04d}", datetime(2025, 6, 1) + timedelta(minutes=31 * (i // 2)), round(r.random(), 2), 0) for i in range(300)]
+    drops(rows, SCORED, spark, str(tmp_path / "in"), 2)
+    events = source.read_events(spark, str(tmp_path / "in"), spark.createDataFrame([], SCORED).schema, 1).withColumn("seg", F.lit("all"))
+    source.append_to(policy.alert_stream(events, "seg", 0.02, window=120, chunk=37), str(tmp_path / "cp"), str(tmp_path / "out"))
+    want = fold(rows, 0.02, 120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 300
+    for g in got:
+        assert (g["alert_threshold"], g["daily_count"], g["daily_budget"], g["should_alert"], g["budget_exceeded"]) == want[g["transaction_id"]]
+
+
+def test_large_keys_are_hot_in_tables_of_any_size(spark, sf, monkeypatch):
+    from riskengine import catalog
+    limits = []
+    profile = catalog.heat.profile_keys
+
+    def spy(df, key, hot_rows=None, **kw):
+        limits.append(hot_rows)
+        return profile(df, key, hot_rows, **kw)
+    monkeypatch.setattr(catalog.heat, "profile_keys", spy)
+    monkeypatch.setattr(catalog.heat, "HOT_ROWS", 20)
+    catalog.QUERIES["full_features_hot_keys"](spark, sf)
+    assert len(limits) == 2 and max(limits) <= 20
