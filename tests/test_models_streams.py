@@ -320,6 +320,21 @@ def test_alert_policy_in_chunks_of_a_segment(spark, tmp_path):
         assert (g["alert_threshold"], g["daily_count"], g["daily_budget"], g["should_alert"], g["budget_exceeded"]) == want[g["transaction_id"]]
 
 
+def test_drops_are_as_many_files_each_and_computed_once(spark, tmp_path, monkeypatch):
+    """A large drop is written by several tasks, and one trigger still takes all of it and nothing of the next."""
+    from riskengine import catalog
+    monkeypatch.setattr(catalog, "LEAST_ROWS", 100)
+    df = spark.range(0, 900, 1, 4).select(F.col("id").alias("x"), (F.col("id") % 3).alias("slot"))
+    files = catalog._dropped([d.drop("slot") for d in catalog._parted(df, F.col("slot"), 3)], str(tmp_path / "in"))
+    assert files == catalog.DROP_FILES > 1
+    seen = []
+    events = source.read_events(spark, str(tmp_path / "in"), df.drop("slot").schema, files)
+    source.run_to_end(events, str(tmp_path / "cp"), lambda b, i: seen.append(sorted(r.x for r in b.collect())))
+    assert seen == [list(range(k, 900, 3)) for k in range(3)]
+    few = catalog._dropped([df.where("x < 9"), df], str(tmp_path / "few"))
+    assert few == 1
+
+
 def test_large_keys_are_hot_in_tables_of_any_size(spark, sf, monkeypatch):
     from riskengine import catalog
     limits = []
