@@ -215,7 +215,8 @@ class HistoryState(StatefulProcessor):
         order = pc.sort_indices(pa.table({"key": code, "us": t["rk_us"], "id": t["rk_id"]}),
                                 sort_keys=[("key", "ascending"), ("us", "ascending"), ("id", "ascending")]).to_numpy()  # a stable sort
         code = code.to_numpy()[order]
-        numbers = {c: t[c].to_numpy() for c in ("rk_us", "rk_whole", "rk_part", "rk_known")}
+        # a row without a time comes last among those of its key and lies before all times
+        numbers = {c: pc.fill_null(t[c], int(np.iinfo(np.int64).min)).to_numpy() for c in ("rk_us", "rk_whole", "rk_part", "rk_known")}
         is_label = t["rk_is_label"].to_numpy()
         tie, value = t["rk_id"].combine_chunks(), t[spec.distinct[0][1]].combine_chunks()
         # the payer tells repeats from new rows; the device does so for rows without a payer
