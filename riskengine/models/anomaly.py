@@ -100,41 +100,46 @@ class IsolationForest:
         """Add the isolation score in (0, 1]; higher is easier to isolate."""
         trees = []
         for _, g in self.nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
-            place = {c: np.searchsorted(g["node"].to_numpy(), g[c].to_numpy()) for c in ("left", "right")}  # nodes by their places
-            trees.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), place["left"], place["right"], g["depth"].to_numpy()))
+            node, leaf = g["node"].to_numpy(), g["feature"].to_numpy() < 0
+            # nodes by their places, a leaf as its own children: all rows take as many steps as the tree has levels
+            child = np.stack([np.where(leaf, np.arange(len(g)), np.searchsorted(node, g[c].to_numpy())) for c in ("left", "right")], axis=1).ravel()
+            trees.append((np.where(leaf, 0, g["feature"].to_numpy()), g["threshold"].to_numpy(), child, g["depth"].to_numpy(), int(node.max()).bit_length() - 1))
         shared = df.sparkSession.sparkContext.broadcast(trees)
         scale = mean_path(self.sample)
 
-        @F.pandas_udf("double")
-        def isolation(x: pd.Series) -> pd.Series:
-            if len(x) == 0:
-                return pd.Series([], dtype="float64")
-            m = np.stack(x.to_numpy())
-            total = np.zeros(len(m))
-            every = np.arange(len(m))
-            for feature, threshold, left, right, depth in shared.value:
+        def walked(m: np.ndarray) -> pd.Series:
+            total, values = np.zeros(len(m)), m.ravel()
+            begin = np.arange(len(m)) * m.shape[1]
+            for feature, threshold, child, depth, levels in shared.value:
                 at = np.zeros(len(m), dtype=np.int64)
-                inner = feature[at] >= 0
-                while inner.any():
-                    rows = every[inner]
-                    here = at[rows]
-                    low = m[rows, feature[here]] <= threshold[here]
-                    at[rows] = np.where(low, left[here], right[here])
-                    inner = feature[at] >= 0
+                for _ in range(levels):
+                    low = values[begin + feature[at]] <= threshold[at]
+                    at = child[2 * at + ~low]
                 total += depth[at]
             return pd.Series(2.0 ** (-(total / len(shared.value)) / scale))
 
-        x = features if features is not None else F.array(*[F.col(c).cast("double") for c in self.features])
-        return df.withColumn(out, isolation(x))
+        @F.pandas_udf("double")
+        def of_array(x: pd.Series) -> pd.Series:
+            return walked(np.stack(x.to_numpy())) if len(x) else pd.Series([], dtype="float64")
+
+        @F.pandas_udf("double")
+        def of_columns(*x: pd.Series) -> pd.Series:
+            return walked(np.stack([c.to_numpy(np.float64) for c in x], axis=1))
+
+        if features is not None:
+            return df.withColumn(out, of_array(features))
+        return df.withColumn(out, of_columns(*[F.col(c).cast("double") for c in self.features]))
 
     def score(self, df: DataFrame, out: str = "anomaly_score", per_batch: bool = False) -> DataFrame:
         """Scores scaled to [0, 1] by the training range (or by this table's own range)."""
         raw = self.raw_scores(df)
         if per_batch:
             r = raw.agg(F.min("raw_score"), F.max("raw_score")).first()
-            low, high = r[0], r[1]
-        else:
-            low, high = self.low, self.high
+            return self.scaled(raw, out, r[0], r[1])
+        return self.scaled(raw, out, self.low, self.high)
+
+    def scaled(self, raw: DataFrame, out: str, low: float | None, high: float | None) -> DataFrame:
+        """``raw_score`` replaced by ``out``: its place between low and high, which have the scores 0 and 1."""
         if low is None or low == high:
             s = F.lit(1.0)
         else:
@@ -154,23 +159,51 @@ class IsolationForest:
         return IsolationForest(meta["features"], nodes, meta["sample"], meta["low"], meta["high"])
 
 
-def train_forest(df: DataFrame, features: list[str] | None = None, *, trees: int = 100, sample: int = 256,
-                 seed: int = 42, id_col: str = "transaction_id") -> IsolationForest:
+def train_forest(df: DataFrame, features: list[str] | None = None, **options) -> IsolationForest:
+    """A forest of ``df`` (see :func:`grow_forest`) and the range of its scores there."""
+    forest = grow_forest(df, features, **options)
+    forest.low, forest.high = _range(forest.raw_scores(df))
+    return forest
+
+
+def train_and_score(df: DataFrame, features: list[str] | None = None, *, keep: list[str] | None = None, out: str = "anomaly_score",
+                    **options) -> tuple[IsolationForest, DataFrame]:
+    """:func:`train_forest`, and the rows of ``df`` (their columns ``keep``, or all) with their scores by it.
+
+    Each row walks the trees once: its raw score is stored, and tells both the range and the score.
+    """
+    forest = grow_forest(df, features, **options)
+    raw = materialise(forest.raw_scores(df).select(*(df.columns if keep is None else keep), "raw_score"), "forest-raw")
+    forest.low, forest.high = _range(raw)
+    return forest, forest.scaled(raw, out, forest.low, forest.high)
+
+
+def _range(raw: DataFrame) -> tuple[float, float]:
+    r = raw.agg(F.min("raw_score"), F.max("raw_score")).first()
+    return float(r[0]), float(r[1])
+
+
+def grow_forest(df: DataFrame, features: list[str] | None = None, *, trees: int = 100, sample: int = 256,
+                seed: int = 42, id_col: str = "transaction_id") -> IsolationForest:
     """Grow ``trees`` trees of ``sample`` rows each.
 
     The trees * sample rows with the smallest draws form one pool (all rows, if there are not as
     many); of the pool, each tree takes the ``sample`` rows with the smallest draws of its own. The
-    last draw of the pool is found by counting, not by sorting; rows of equal draws belong
-    to it together.
+    last draw of the pool is found by counting, not by sorting, among the rows below a draw that about
+    twice as many rows lie below (among all rows, if too few do); rows of equal draws belong to it together.
     """
     features = list(features or REQUIRED)
     check_contract(df, features)
     key = F.col(id_col).cast("string")
     rows = df.select(key.alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"), drawn(seed, key).alias("_u"))
     most = trees * sample
-    last = kth_largest(rows.select((-F.col("_u")).cast("double").alias("_v")), [], "_v",
+    n = df.count()
+    near = materialise(rows.where(F.col("_u") <= 16 ** DRAW_DIGITS * 2 * most // max(n, 2 * most)), "forest-near")
+    if near.count() < min(most, n):  # repeated ids may crowd above that draw
+        near = materialise(rows, "forest-near")
+    last = kth_largest(near.select((-F.col("_u")).cast("double").alias("_v")), [], "_v",
                        [("k", lambda n: F.least(F.lit(most), n))]).select((-F.col("value")).cast("long").alias("_last"))
-    pool = materialise(rows.join(F.broadcast(last), F.col("_u") <= F.col("_last")).select("_id", "x"), "forest-pool")  # one number
+    pool = materialise(near.join(F.broadcast(last), F.col("_u") <= F.col("_last")).select("_id", "x"), "forest-pool")  # one number
     size = pool.count()
     each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))  # at most trees * trees * sample rows
     order = Window.partitionBy("tree").orderBy(drawn(seed, "tree", "_id"), "_id")
@@ -186,10 +219,7 @@ def train_forest(df: DataFrame, features: list[str] | None = None, *, trees: int
         return out
 
     nodes = dealt.select("tree", "_id", "x").groupBy("tree").applyInPandas(build, _NODES).toPandas()
-    forest = IsolationForest(features, nodes, used)
-    r = forest.raw_scores(df).agg(F.min("raw_score"), F.max("raw_score")).first()
-    forest.low, forest.high = float(r[0]), float(r[1])
-    return forest
+    return IsolationForest(features, nodes, used)
 
 
 def permutation_importance(forest: IsolationForest, df: DataFrame, *, rows: int | None = None, seed: int = 7,
