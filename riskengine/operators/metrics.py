@@ -120,10 +120,16 @@ def _rates(df: DataFrame) -> DataFrame:
 
 
 def budget_curve(scored: DataFrame, budgets: list[float] | None = None, *,
-                 label: str = "is_fraud", **kw) -> DataFrame:
-    """Precision and recall under the daily top-k policy, one row per budget."""
+                 label: str = "is_fraud", cutoffs: DataFrame | None = None, **kw) -> DataFrame:
+    """Precision and recall under the daily top-k policy, one row per budget.
+
+    ``cutoffs``: stored :func:`alert_cutoffs` of these budgets (others are left out), if there are some already.
+    """
     budgets = budgets or BUDGETS
-    cutoffs = materialise(alert_cutoffs(scored, budgets, **kw), "cutoffs")  # read twice, one row per day and budget
+    if cutoffs is None:
+        cutoffs = materialise(alert_cutoffs(scored, budgets, **kw), "cutoffs")  # read twice, one row per day and budget
+    else:
+        cutoffs = cutoffs.filter(F.col("alert_budget").isin([float(b) for b in budgets]))
     hits = alerts_by_budget(scored, budgets, cutoffs=cutoffs, **kw).groupBy("alert_budget").agg(
         (F.count(F.when(F.col("alert"), 1)) / F.count(F.lit(1))).alias("actual_alert_rate"),
         *confusion(F.col("alert"), label))
@@ -163,9 +169,9 @@ def cost_benefit(at_budget: DataFrame, fraud_loss: float = FRAUD_LOSS,
         "roi": F.when(spent > 0, saved / spent - 1).otherwise(0.0)})
 
 
-def ranking_metrics(scored: DataFrame, score: str = SCORE, label: str = "is_fraud") -> DataFrame:
-    """ROC-AUC with ties counted half, and step-wise average precision."""
-    c = score_curve(scored, score, label)
+def ranking_metrics(scored: DataFrame, score: str = SCORE, label: str = "is_fraud", *, curve: DataFrame | None = None) -> DataFrame:
+    """ROC-AUC with ties counted half, and step-wise average precision; ``curve`` is the table's :func:`score_curve`, if made already."""
+    c = score_curve(scored, score, label) if curve is None else curve
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     neg_total = F.col("total_n") - F.col("total_pos")
     neg_below = neg_total - (F.col("n_above") - F.col("pos_above"))
@@ -180,9 +186,9 @@ def ranking_metrics(scored: DataFrame, score: str = SCORE, label: str = "is_frau
 
 
 def recall_at_precision(scored: DataFrame, targets: list[float], score: str = SCORE,
-                        label: str = "is_fraud") -> DataFrame:
+                        label: str = "is_fraud", *, curve: DataFrame | None = None) -> DataFrame:
     """Best recall with precision at or above each target, and the highest score giving it."""
-    c = score_curve(scored, score, label)
+    c = score_curve(scored, score, label) if curve is None else curve
     t = F.explode(F.array(*[F.lit(float(x)) for x in targets]))
     best = (c.select(t.alias("target_precision"), "score", "n_above", "pos_above", "total_pos")
             .filter(F.col("pos_above") / F.col("n_above") >= F.col("target_precision"))
@@ -243,16 +249,18 @@ def tier_distribution(scored: DataFrame, score: str = SCORE, label: str = "is_fr
 
 
 def evaluation_report(scored: DataFrame, budget: float = BUDGET, budgets: list[float] | None = None,
-                      score: str = SCORE, label: str = "is_fraud") -> DataFrame:
-    """The whole report as (section, metric, value) rows."""
+                      score: str = SCORE, label: str = "is_fraud", *, curve: DataFrame | None = None) -> DataFrame:
+    """The whole report as (section, metric, value) rows; ``curve`` as for :func:`ranking_metrics`."""
     def long(df, section, name=None):
         cols = [c for c in df.columns if c != name]
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
                                     for c in cols])).alias("m")
         head = F.lit(section) if name is None else F.concat(F.lit(section + "@"), F.col(name).cast("string"))
         return df.select(head.alias("section"), pairs).select("section", "m.metric", "m.value")
-    curve = budget_curve(scored, budgets, score=score, label=label)
-    at = precision_at_budget(scored, budget, score=score, label=label)
-    return (long(ranking_metrics(scored, score, label), "ranking")
+    budgets = budgets or BUDGETS
+    cutoffs = materialise(alert_cutoffs(scored, list(dict.fromkeys([*budgets, budget])), score=score), "cutoffs")  # of all budgets at once
+    by_budget = budget_curve(scored, budgets, score=score, label=label, cutoffs=cutoffs)
+    at = precision_at_budget(scored, budget, score=score, label=label, cutoffs=cutoffs)
+    return (long(ranking_metrics(scored, score, label, curve=curve), "ranking")
             .unionByName(long(cost_benefit(at), "budget"))
-            .unionByName(long(curve, "curve", "alert_budget")))
+            .unionByName(long(by_budget, "curve", "alert_budget")))

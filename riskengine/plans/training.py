@@ -6,11 +6,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskengine.models.anomaly import IsolationForest, train_forest
+from riskengine.models.anomaly import IsolationForest, train_and_score
 from riskengine.models.supervised import SupervisedModel, train_supervised
-from riskengine.operators.alerts import BUDGET
+from riskengine.operators.alerts import BUDGET, SCORE
 from riskengine.operators.metrics import (confusion_at_threshold, evaluation_report, ranking_metrics,
                                           recall_at_precision)
+from riskengine.operators.ranking import score_curve
 from riskengine.operators.split import (SplitDates, calculate_split, split_stats, temporal_split,
                                         validate_no_leakage, validation_tail)
 from riskengine.session import materialise
@@ -29,23 +30,32 @@ class Trained:
     split: DataFrame
     thresholds: DataFrame = field(repr=False, default=None)
     confusion: DataFrame = field(repr=False, default=None)
+    curve: DataFrame = field(repr=False, default=None)  # of the test scores
+
+
+def checked_split(table: DataFrame, test_days: int = 30, buffer_hours: int = 1) -> tuple[SplitDates, DataFrame, DataFrame]:
+    """Split dates, training and test rows; an error if anything leaks."""
+    dates = calculate_split(table, test_days, buffer_hours)
+    train, test = temporal_split(table, dates)
+    validate_no_leakage(train, test, dates)
+    return dates, train, test
 
 
 def run_training(table: DataFrame, *, two_stage: bool = True, test_days: int = 30, buffer_hours: int = 1,
                  validation_share: float = 0.2, budget: float = BUDGET, output: str | None = None,
-                 trees: int = 100, columns: list[str] | None = None, **gbt) -> Trained:
+                 trees: int = 100, columns: list[str] | None = None,
+                 parted: tuple[SplitDates, DataFrame, DataFrame] | None = None, **gbt) -> Trained:
     """Train on ``table`` (features, raw columns, label, times) and evaluate on its last days.
 
-    Two stages add the anomaly score, learnt without labels, as one more column.
+    Two stages add the anomaly score, learnt without labels, as one more column. ``parted`` is the
+    :func:`checked_split` of the table, if made already.
     """
     spark = table.sparkSession
-    dates = calculate_split(table, test_days, buffer_hours)
-    train, test = temporal_split(table, dates)
-    validate_no_leakage(train, test, dates)
+    dates, train, test = parted or checked_split(table, test_days, buffer_hours)
     forest = None
     if two_stage:
-        forest = train_forest(train, trees=trees)
-        train, test = forest.score(train), forest.score(test)
+        forest, train = train_and_score(train, trees=trees)
+        test = forest.score(test)
         if columns is not None:
             columns = [*columns, "anomaly_score"]
     labelled = train.filter(F.col("is_fraud").isin(0, 1))
@@ -54,9 +64,10 @@ def run_training(table: DataFrame, *, two_stage: bool = True, test_days: int = 3
     model = train_supervised(fit_rows, columns, validation="is_validation", **gbt)
     keep = ("transaction_id", "event_timestamp", "is_fraud")
     scores = materialise(model.predict(test, keep), "scores")
-    report = evaluation_report(scores, budget)
+    curve = score_curve(scores, SCORE, "is_fraud")
+    report = evaluation_report(scores, budget, curve=curve)
     done = Trained(dates, forest, model, scores, report, split_stats(table, dates),
-                   recall_at_precision(scores, TARGET_PRECISIONS), confusion_at_threshold(scores, 0.5))
+                   recall_at_precision(scores, TARGET_PRECISIONS, curve=curve), confusion_at_threshold(scores, 0.5), curve)
     if output:
         save_training(spark, done, output)
     return done
@@ -70,11 +81,13 @@ def save_training(spark: SparkSession, done: Trained, output: str) -> None:
     write_report(done.model.importance(), f"{output}/importance")
 
 
-def compare_stages(table: DataFrame, **kw) -> DataFrame:
-    """Ranking metrics of the single-stage and two-stage models, side by side."""
+def compare_stages(table: DataFrame, *, test_days: int = 30, buffer_hours: int = 1, **kw) -> DataFrame:
+    """Ranking metrics of the single-stage and two-stage models, side by side, on one split."""
+    parted = checked_split(table, test_days, buffer_hours)
     rows = None
     for name, two in (("single_stage", False), ("two_stage", True)):
-        m = ranking_metrics(run_training(table, two_stage=two, **kw).test_scores)
+        done = run_training(table, two_stage=two, parted=parted, **kw)
+        m = ranking_metrics(done.test_scores, curve=done.curve)
         m = m.withColumn("model", F.lit(name))
         rows = m if rows is None else rows.unionByName(m)
     return rows
