@@ -18,26 +18,30 @@ import numpy as np
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIB3x")
 LEAST = 24         # times a pair must occur in a block
-BUCKETS = 1 << 16  # of the pair counts that tell which pairs are worth a sort
+SLOT_BITS = 16     # of the hashed pair counts that tell which pairs are worth a sort
 
 
-def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (left << 32 | right) with at least ``least`` places, most frequent first; and all places
-    that may hold one, with their pairs.
+    that may hold one.
 
     A hashed count picks the places worth sorting; the counts of those are exact.
     """
-    slot = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(16)).astype(np.intp)
-    heavy = np.bincount(slot, minlength=BUCKETS) >= least
+    pair = seq[:-1].astype(np.uint64)
+    pair <<= np.uint64(32)
+    pair |= seq[1:]
+    slot = pair * np.uint64(0x9E3779B97F4A7C15)
+    slot >>= np.uint64(64 - SLOT_BITS)
+    slot = slot.view(np.int64)
+    heavy = np.bincount(slot, minlength=1 << SLOT_BITS) >= least
     at = np.flatnonzero(heavy[slot])
-    here = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-    kept = np.sort(here)
+    kept = np.sort(pair[at])
     first = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]])) if len(kept) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate([first, [len(kept)]]))
     many = count >= least
     pairs, count = kept[first][many], count[many]
-    order = np.lexsort((pairs, -count))
-    return pairs[order], at, here
+    order = np.argsort(-count, kind="stable")  # pairs of equal counts stay in their order
+    return pairs[order], at
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> bytes:
@@ -47,7 +51,7 @@ def compress(ids: np.ndarray, least: int = LEAST) -> bytes:
     rules: list[np.ndarray] = []
     total = 0
     while len(seq) > 1:
-        pairs, at, here = frequent_pairs(seq, least)
+        pairs, at = frequent_pairs(seq, least)
         # a pair joins this round if no better pair ends where it starts or starts where it ends
         left, right = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         chosen = independent(left, right)
@@ -56,10 +60,11 @@ def compress(ids: np.ndarray, least: int = LEAST) -> bytes:
         new_left, new_right = left[chosen], right[chosen]
         by_pair = np.argsort(pairs[chosen])
         table = pairs[chosen][by_pair]
-        opens = np.zeros(int(seq.max()) + 1, dtype=bool)
-        opens[new_left] = True
-        may = opens[seq[at]]
-        at, here = at[may], here[may]
+        opens, closes = np.zeros((2, first + total), dtype=bool)
+        opens[new_left], closes[new_right] = True, True
+        at = at[opens[seq[at]]]
+        at = at[closes[seq[at + 1]]]  # few places are left to look up
+        here = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         k = np.minimum(np.searchsorted(table, here), len(table) - 1)
         hit = table[k] == here
         at, k = at[hit], k[hit]
@@ -69,7 +74,6 @@ def compress(ids: np.ndarray, least: int = LEAST) -> bytes:
             begin = np.flatnonzero(run)
             nth = np.arange(len(at)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(at)]])))
             at, k = at[nth % 2 == 0], k[nth % 2 == 0]
-        seq = seq.copy()
         seq[at] = (first + total + by_pair[k]).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False

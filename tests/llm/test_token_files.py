@@ -68,3 +68,14 @@ def test_files_equal_the_tokenizer(spark, block_ids):
 
 def test_empty_table(spark):
     assert token_files.write_and_read(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_places_of_chosen_pairs_are_looked_up(monkeypatch):
+    """A place counts as such if its first id opens and its second one closes a chosen pair; the input stays as it is."""
+    ids = np.array([9, 10] * 1000 + [7, 8] * 500 + [7, 9, 10] * 300, np.uint32)
+    before, looked_up, inner = ids.copy(), [], np.searchsorted
+    monkeypatch.setattr(grammar.np, "searchsorted", lambda a, v, *x, **k: looked_up.append(len(v)) or inner(a, v, *x, **k))
+    block = grammar.compress(ids, 200)
+    monkeypatch.undo()
+    assert (ids == before).all() and (grammar.decompress(block) == ids).all()
+    assert looked_up[0] == 1300 + 500  # of 9 10 and 7 8; the 300 of 7 9 are none, since 9 opens a better pair
