@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskengine.llm import components, shingles
-from riskengine.llm.text import key_of, maybe_in, small_batches, whole, without
+from riskengine.llm.text import key_of, maybe_in, small_batches, tidy, whole, without
 from riskengine.session import materialise
 
 SIMILARITY = (3, 4)   # as a fraction, so that comparisons are exact
@@ -62,7 +62,7 @@ def sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary())})
 
     schema = "chunk int, counts binary"
-    parts = texts.mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect()
+    parts = texts.mapInArrow(tidy(count), schema).repartition(CHUNKS, "chunk").mapInArrow(tidy(add), schema).collect()
     out = np.zeros((CHUNKS, size // CHUNKS), np.int64)
     for p in parts:  # CHUNKS rows of bounded size
         out[p.chunk] += np.frombuffer(p.counts, np.int64)
@@ -144,9 +144,9 @@ def graph(df: DataFrame, text: str = "text", similarity: tuple[int, int] = SIMIL
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sigs))], names=["key", "sig"])
 
-    docs = materialise(named.mapInArrow(describe, out_schema), "ngram-documents")
-    sorted_posts = texts.mapInArrow(post, "key long, sig long").repartition("key").sortWithinPartitions("key", "sig")
-    posts = materialise(sorted_posts.mapInArrow(shared_only, "key long, sig long"), "ngram-postings")
+    docs = materialise(named.mapInArrow(tidy(describe), out_schema), "ngram-documents")
+    sorted_posts = texts.mapInArrow(tidy(post), "key long, sig long").repartition("key").sortWithinPartitions("key", "sig")
+    posts = materialise(sorted_posts.mapInArrow(tidy(shared_only), "key long, sig long"), "ngram-postings")
 
     met = posts.groupBy("sig").agg(F.count("*").alias("met"))
     nodes = docs.where("_sig <> 0").groupBy(F.col("_sig").alias("sig")).agg(
@@ -265,7 +265,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: t
                 found = list(shingles.sets(piece))
                 yield pa.RecordBatch.from_arrays([pa.array([shingles.signature(s) for s in found], pa.int64()),
                                                   pa.array([s.tobytes() for s in found], pa.binary())], names=["sig", "blob"])
-    bodies = texts.select("_text_hash", "_text").mapInArrow(blobs, "sig long, blob binary").join(
+    bodies = texts.select("_text_hash", "_text").mapInArrow(tidy(blobs), "sig long, blob binary").join(
         chosen.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
     bodies = materialise(bodies, "ngram-sets")
     one = {r: bodies.select(F.col("sig").alias(r), F.col("blob").alias(f"blob_{r}")) for r in "ab"}
@@ -280,7 +280,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: t
                 common = int(np.count_nonzero(joint[1:] == joint[:-1]))
                 ok.append(common * similarity[1] >= (len(x) + len(y) - common) * similarity[0])
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(tidy(check), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

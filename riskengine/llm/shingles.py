@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-BLOCK = 1 << 20  # bytes hashed at a time
+BLOCK = 1 << 16  # bytes hashed at a time: sums of eight bytes each that stay in a core's cache
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

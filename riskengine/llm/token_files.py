@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskengine.llm import grammar, shingles
-from riskengine.llm.text import small_batches, whole
+from riskengine.llm.text import small_batches, tidy, whole
 from riskengine.session import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -197,7 +197,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", nam
     small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), whole(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     dealt = rows.repartitionByRange("key", F.xxhash64("text"), "row").sortWithinPartitions("key", "text")
-    dealt.select("key", "text").mapInArrow(blocks, SCHEMA).write.parquet(path)
+    dealt.select("key", "text").mapInArrow(tidy(blocks), SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -221,7 +221,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(stop - sizes), pa.array(sizes), pa.array(crc, pa.int64())],
                     names=["part", "block", "key", "inside", "n_tokens", "ids_crc32"])
 
-    docs = files.mapInArrow(decode, "part int, block int, key long, inside long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(tidy(decode), "part int, block int, key long, inside long, n_tokens long, ids_crc32 long")
     total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")
     block = files.select("part", "block", total)
     group = (F.col("part") / 1024).cast("int").alias("group")

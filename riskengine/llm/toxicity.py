@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskengine.llm import shingles
-from riskengine.llm.text import maybe_in, small_batches, whole
+from riskengine.llm.text import maybe_in, small_batches, tidy, whole
 from riskengine.session import materialise
 
 BITS = 19                      # buckets of the hashed counts
@@ -144,7 +144,7 @@ def summed(rows: DataFrame, make, kinds: int) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), pa.array([a.tobytes()], pa.binary())],
                                              names=["kind", "chunk", "counts"])
     schema = "kind int, chunk int, counts binary"
-    parts = (rows.mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect())
+    parts = (rows.mapInArrow(tidy(count), schema).repartition(CHUNKS, "chunk").mapInArrow(tidy(add), schema).collect())
     out: list = [{} for _ in range(kinds)]
     for p in parts:  # bounded: kinds x chunks
         out[p.kind][p.chunk] = out[p.kind].get(p.chunk, 0) + np.frombuffer(p.counts, np.int64)
@@ -263,7 +263,7 @@ def passages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             p = m.probability(np.array(best), np.array(count, float))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array(found, segment)],
                                              names=[*batch.schema.names[:-1], "_score", "_segments"])
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(tidy(score), schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
