@@ -12,7 +12,7 @@ one hash, and r, c and b given a: with z = 1 + E / a and another exponential F,
 r = ln z + F and b = 1 - ln z / r have the joint distribution above. Terms of weight 1 are thus compared by
 their hashes; only the smallest one, and terms of larger weight, need logarithms.
 
-Terms become rows only inside a task: explode and a partial aggregate of minima per
+Terms of weight 1 that a text and its edited text share are drawn once for both. Terms become rows only inside a task: explode and a partial aggregate of minima per
 text stand next to each other, so what is dealt out is one row per text. A minimum is kept
 as one long: the value in steps of 2^-20 above the low bits of the term and t. A signature holds 16 bits
 of a hash of each minimum; different samples share them with a chance of 2^-16, far below the error of 128 samples.
@@ -40,7 +40,8 @@ def terms(text: Column) -> Column:
     words = F.transform(F.filter(F.split(text, GAP), lambda w: w != ""), lambda w: F.xxhash64(w))
     at = lambda h: F.when(F.size(h) >= WIDTH, F.sequence(F.lit(0), F.size(h) - WIDTH)).otherwise(
         F.when(F.size(h) > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    grams = lambda h: F.transform(at(h), lambda i: F.xxhash64(F.slice(h, i + 1, WIDTH)))
+    # places past the end are NULL, which a hash passes over
+    grams = lambda h: F.transform(at(h), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
     ordered = F.transform(F.array(F.transform(F.array(words), grams)[0]), lambda a: F.sort_array(a))[0]
 
     def counted(s: Column) -> Column:
@@ -91,32 +92,74 @@ def often(df: DataFrame, weight: Column, k: Column, out: str) -> DataFrame:
     return df.select(*kept, packed(F.ln(a) + later, F.col("term").bitwiseXOR(F.col(t) * 7919).bitwiseAND(NAME)).alias(out))
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """One row per row of ``rows`` (unique by ``keys``) with words: keys and ``signature``, array<short>, a name of each sample.
+def drawn(x: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """From rows (keys, term, weight): keys, ``orders`` and ``mores``, the minima of terms of weight 1 and of the others.
 
     A term of weight 1 has one row per ``LANE`` samples, another one a row per sample; slots tell them
     apart. If the rows are dealt out by some of the keys, no further exchange is needed; otherwise a few
-    rows per text are exchanged. Texts without words are left out.
+    rows per text are exchanged. A row without a term draws nothing, and its keys stay.
     """
     lanes = -(-samples // LANE)
-    slots = [F.array(*[F.lit(i) for i in range(lanes)]), F.sequence(F.lit(lanes), F.lit(lanes + samples - 1))]
-    x = rows.select(*keys, F.explode(terms(F.col(text))).alias("x")).select(
-        *keys, F.col("x.term").alias("term"), F.col("x.weight").alias("weight"))
-    each = x.select(*keys, "term", "weight", F.explode(F.when(F.col("weight") == 1, slots[0]).otherwise(slots[1])).alias("slot"))
+    slots = [F.array(*[F.lit(i) for i in range(lanes)]), F.sequence(F.lit(lanes), F.lit(lanes + samples - 1)), F.array(F.lit(-1))]
     single = F.col("weight") == 1
+    each = x.select(*keys, "term", "weight", F.explode(F.when(single, slots[0]).when(F.col("weight") > 1, slots[1]).otherwise(slots[2])).alias("slot"))
     names = [f"m{k}" for k in range(LANE)]
-    several = often(each, F.when(~single, F.col("weight")), F.col("slot") - lanes, "more")
-    drawn = several.select(*keys, "slot", "more", *[F.when(single, order(F.col("term"), F.col("slot") * LANE + k)).alias(n) for k, n in enumerate(names)])
-    least = drawn.groupBy(*keys, "slot").agg(*[F.min(n).alias(n) for n in names], F.min("more").alias("more"))
+    several = often(each, F.when(F.col("weight") > 1, F.col("weight")), F.col("slot") - lanes, "more")
+    values = several.select(*keys, "slot", "more", *[F.when(single, order(F.col("term"), F.col("slot") * LANE + k)).alias(n) for k, n in enumerate(names)])
+    least = values.groupBy(*keys, "slot").agg(*[F.min(n).alias(n) for n in names], F.min("more").alias("more"))
     parts = F.sort_array(F.collect_list(F.struct("slot", F.when(F.col("slot") < lanes, F.array(*names)).alias("m"), "more")))
-    held = least.groupBy(*keys).agg(parts.alias("parts")).select(
-        *keys, F.slice(F.flatten(F.transform(F.filter("parts", lambda p: p["slot"] < lanes), lambda p: p["m"])), 1, samples).alias("orders"),
+    return least.groupBy(*keys).agg(parts.alias("parts")).select(
+        *keys, F.slice(F.flatten(F.transform(F.filter("parts", lambda p: (p["slot"] >= 0) & (p["slot"] < lanes)), lambda p: p["m"])), 1, samples).alias("orders"),
         F.transform(F.filter("parts", lambda p: p["slot"] >= lanes), lambda p: p["more"]).alias("mores"))
-    singles = F.transform("orders", once)
-    least = F.when(F.size("orders") == 0, F.col("mores")).when(F.size("mores") == 0, singles).otherwise(
-        F.zip_with(singles, "mores", lambda a, b: F.least(a, b)))
-    # only equality counts from here on
-    return held.select(*keys, F.transform(least, lambda v: (F.hash(v).bitwiseAND(0xFFFF) - 0x8000).cast("short")).alias("signature"))
+
+
+def smaller(a: Column, b: Column) -> Column:
+    """The minima of two sets of terms; a set without terms has none."""
+    return F.when(F.size(a) == 0, b).when(F.size(b) == 0, a).otherwise(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+
+
+def names_of(least: Column) -> Column:
+    """A name of each sample: only equality counts from here on."""
+    return F.transform(least, lambda v: (F.hash(v).bitwiseAND(0xFFFF) - 0x8000).cast("short"))
+
+
+def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
+    """One row per row of ``rows`` (unique by ``keys``) with words: keys and ``signature``, array<short>, a name of each sample.
+
+    Texts without words are left out.
+    """
+    x = rows.select(*keys, F.explode(terms(F.col(text))).alias("x")).select(
+        *keys, F.col("x.term").alias("term"), F.col("x.weight").alias("weight"))
+    return drawn(x, keys, samples).select(*keys, names_of(smaller(F.transform("orders", once), F.col("mores"))).alias("signature"))
+
+
+BOTH = 2  # side of the terms of weight 1 that both texts of a row have
+
+
+def signatures_of_both(rows: DataFrame, keys: list[str], texts: tuple[str, str], also: list[str], samples: int = SAMPLES) -> DataFrame:
+    """One row per row of ``rows`` (unique by ``keys``): the keys, the columns ``also``, and ``own`` and ``changed``,
+    the signatures of both texts (see :func:`signatures`), empty for a text without words.
+
+    Terms of weight 1 that both texts have are drawn once: a text's minima are the smaller ones of
+    these terms and of the rest of its terms. What is passed on travels with one row without a term,
+    so signatures need not be dealt out to meet it.
+    """
+    at = rows.select(*keys, F.struct(*also).alias("also"), F.array(*[terms(F.col(t)) for t in texts]).alias("t"))
+    ones = lambda i: F.transform(F.filter(F.col("t")[i], lambda e: e["weight"] == 1), lambda e: e["term"])
+    at = at.withColumns({"a": ones(0), "b": ones(1)}).withColumn("c", F.array_intersect("a", "b"))
+    tagged = lambda terms, side: F.transform(terms, lambda e: F.struct(F.lit(side).alias("side"), e.alias("term"), F.lit(1).alias("weight")))
+    heavy = lambda i: F.transform(F.filter(F.col("t")[i], lambda e: e["weight"] > 1), lambda e: F.struct(
+        F.lit(i).alias("side"), e["term"].alias("term"), e["weight"].alias("weight")))
+    none = F.array(F.struct(F.lit(BOTH).alias("side"), F.lit(None).cast("long").alias("term"), F.lit(None).cast("int").alias("weight")))
+    every = F.concat(tagged(F.col("c"), BOTH), tagged(F.array_except("a", "c"), 0), tagged(F.array_except("b", "c"), 1), heavy(0), heavy(1), none)
+    x = at.select(*keys, "also", F.explode(every).alias("x")).select(
+        *keys, *[F.col(f"x.{c}").alias(c) for c in ("side", "term", "weight")], F.when(F.col("x.term").isNull(), F.col("also")).alias("also"))
+    sides = drawn(x, [*keys, "side", "also"], samples).groupBy(*keys).agg(
+        F.first("also", ignorenulls=True).alias("also"), *[F.max(F.when(F.col("side") == i, F.col(c))).alias(f"{c}{i}") for i in range(BOTH + 1) for c in ("orders", "mores") if (c, i) != ("mores", BOTH)])
+    empty = F.array().cast("array<bigint>")
+    part = lambda c: F.coalesce(F.col(c), empty)
+    least = [smaller(F.transform(smaller(part(f"orders{BOTH}"), part(f"orders{i}")), once), part(f"mores{i}")) for i in (0, 1)]
+    return sides.select(*keys, *[F.col(f"also.{c}").alias(c) for c in also], names_of(least[0]).alias("own"), names_of(least[1]).alias("changed"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -175,15 +218,9 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", samples
     both = numbered.join(heads, CONTENT)
     head = F.when(F.col("copy") < F.col("copies"), F.left("text", quarter)).otherwise(F.col("head"))
     both = both.withColumn("edited", F.concat(F.left("text", F.col("n") - quarter), head))
-    row = [*CONTENT, "copy"]
-    texts = both.select(*row, F.posexplode(F.array("text", "edited")).alias("which", "t"))
-    none = F.array().cast("array<short>")
-    sig = signatures(texts, [*row, "which"], "t", samples).groupBy(*row).agg(
-        F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"),
-        F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("changed"))
-    named = both.select(*row, "copies", "key", "n", F.sha2("edited", 256).alias("edited_sha256"))
-    signed = materialise(named.join(sig, row, "left").withColumns(
-        {c: F.coalesce(c, none) for c in ("own", "changed")}), "cws-signatures")
+    signed = materialise(signatures_of_both(
+        both.withColumn("edited_sha256", F.sha2("edited", 256)), [*CONTENT, "copy"], ("text", "edited"),
+        ["copies", "key", "n", "edited_sha256"], samples), "cws-signatures")
     following = signed.where("copy = 1").select(F.col("k0").alias("n_k0"), F.col("h").alias("n_h"), F.col("own").alias("after"))
     nexts = order.select(*CONTENT, "n_k0", "n_h").join(following, ["n_k0", "n_h"]).select(*CONTENT, "after")
     after = F.when(F.col("copy") < F.col("copies"), F.col("own")).otherwise(F.col("after"))

@@ -115,3 +115,41 @@ def test_repeated_null_and_empty(spark):
     assert ws.fingerprints(spark.createDataFrame([], schema)).count() == 0
     one = ws.fingerprints(spark.createDataFrame([(7, t)], schema)).first()
     assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256((t[:-4] + t[:4]).encode()).hexdigest()
+
+
+def test_signatures_of_both_equal_those_of_each(spark):
+    """Terms in common, of other weights in the two texts, in one of them only, and texts of fewer words than a shingle."""
+    r = random.Random(6)
+    rows = [(0, "", "", None), (1, "a b", "", "x"), (2, "", "a b c d e f", "y"), (3, "a b c d e f g " * 9, "a b c d e f g", "z"), (4, "a b c", "a b c", "w")]
+    for i in range(5, 60):
+        base = [f"w{r.randrange(r.choice([6, 400]))}" for _ in range(r.randrange(120))]
+        cut = r.randrange(len(base) + 1)
+        rows.append((i, " ".join(base), " ".join(base[:cut] * r.choice([1, 1, 3]) + base[:r.randrange(9)]), f"note {i}"))
+    df = spark.createDataFrame(rows, "i long, a string, b string, note string")
+    each = {n: {x.i: x.signature for x in ws.signatures(df, ["i"], n, 20).collect()} for n in "ab"}
+    got = ws.signatures_of_both(df, ["i"], ("a", "b"), ["note"], 20).collect()
+    assert sorted((x.i, x.note) for x in got) == [(i, n) for i, _, _, n in rows]
+    for x in got:
+        assert x.own == each["a"].get(x.i, []) and x.changed == each["b"].get(x.i, [])
+
+
+def test_signatures_are_not_dealt_out_to_meet_what_is_passed_on(spark):
+    """Texts dealt out once by some of the keys: terms, minima and passed-on columns need no further exchange."""
+    df = spark.createDataFrame([(i, i % 3, f"a b c d e f {i}", f"a b c d {i}") for i in range(20)], "i long, j long, a string, b string").repartition(3, "i")
+    drawn = ws.signatures_of_both(df, ["i", "j"], ("a", "b"), ["j"], 8)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_fingerprints_draw_shared_terms_once(spark, monkeypatch):
+    """Rows that are drawn for a text and its edited text: fewer than their terms together."""
+    counted = []
+    real = ws.drawn
+
+    def spy(x, keys, samples):
+        counted.append(x.where("term is not null").count())
+        return real(x, keys, samples)
+    monkeypatch.setattr(ws, "drawn", spy)
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(6)]
+    assert ws.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), samples=8).count() == 6
+    assert len(counted) == 1 and counted[0] < 6 * 96 * 1.5
